@@ -38,8 +38,39 @@ def newlines(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def match_structs(content: Column, pattern: str, groups: tuple[int, ...] = (1,)) -> Column:
-    """All matches as ``array<struct<line, start, stop, g1..>>``.
+def sql_text(text: str) -> str:
+    """A string literal for expression texts."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_MATCHES = """
+CASE WHEN {text} RLIKE {p} THEN transform(array(
+  transform(
+    filter(
+      CAST(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0){extracts}) AS ARRAY<STRUCT<gap: STRING, hit: STRING{typed}>>),
+      p -> p.hit IS NOT NULL),
+    p -> struct(
+      octet_length(p.gap) - octet_length(replace(p.gap, '\\n', '')) AS gap_nl,
+      octet_length(p.hit) - octet_length(replace(p.hit, '\\n', '')) AS hit_nl,
+      length(p.gap) AS gap_len, length(p.hit) AS hit_len{named}))),
+  pieces -> CASE WHEN size(pieces) > 0 THEN flatten(aggregate(
+    sequence(0, CAST((size(pieces) - 1) DIV {chunk} AS INT)),
+    struct(1 AS line, 0 AS off, CAST(array() AS ARRAY<{out}>) AS done, CAST(array() AS {out}) AS out),
+    (acc, c) -> aggregate(
+      slice(pieces, c * {chunk} + 1, {chunk}),
+      acc,
+      (a, p) -> struct(
+        a.line + p.gap_nl + p.hit_nl AS line,
+        a.off + p.gap_len + p.hit_len AS off,
+        a.done AS done,
+        concat(a.out, array(struct(a.line + p.gap_nl AS line, a.off + p.gap_len AS start, a.off + p.gap_len + p.hit_len AS stop{carried}))) AS out),
+      a -> struct(a.line AS line, a.off AS off, concat(a.done, array(a.out)) AS done, CAST(array() AS {out}) AS out)),
+    acc -> acc.done)) ELSE CAST(array() AS {out}) END)[0]
+ELSE CAST(array() AS {out}) END"""
+
+
+def match_structs(text: str, pattern: str, groups: tuple[int, ...] = (1,)) -> Column:
+    """All matches in column ``text`` as ``array<struct<line, start, stop, g1..>>``.
 
     ``start`` and ``stop`` are 0-based character offsets, ``line`` is the
     1-based line of the match start.  One linear walk over the pieces between
@@ -47,72 +78,21 @@ def match_structs(content: Column, pattern: str, groups: tuple[int, ...] = (1,))
     becomes quadratic on files with very many matches.
     """
     names = [f"g{i + 1}" for i in range(len(groups))]
-    pieces = F.arrays_zip(
-        F.split(content, pattern, -1),
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
-        *[F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in groups],
-    ).cast("array<struct<gap:string,hit:string" + "".join(f",{n}:string" for n in names) + ">>")
-    found = F.filter(pieces, lambda p: p["hit"].isNotNull())
-    sized = F.transform(
-        found,
-        lambda p: F.struct(
-            newlines(p["gap"]).alias("gap_nl"),
-            newlines(p["hit"]).alias("hit_nl"),
-            F.length(p["gap"]).alias("gap_len"),
-            F.length(p["hit"]).alias("hit_len"),
-            *[p[n].alias(n) for n in names],
-        ),
-    )
-    out_type = "array<struct<line:int,start:int,stop:int" + "".join(f",{n}:string" for n in names) + ">>"
-    empty = F.array().cast(out_type)
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["off"] + p["gap_len"]
-        line = acc["line"] + p["gap_nl"]
-        one = F.struct(
-            line.alias("line"),
-            start.alias("start"),
-            (start + p["hit_len"]).alias("stop"),
-            *[p[n].alias(n) for n in names],
-        )
-        return F.struct(
-            (line + p["hit_nl"]).alias("line"),
-            (start + p["hit_len"]).alias("off"),
-            acc["done"].alias("done"),
-            F.concat(acc["out"], F.array(one)).alias("out"),
-        )
-
-    def close(acc: Column) -> Column:
-        return F.struct(
-            acc["line"].alias("line"),
-            acc["off"].alias("off"),
-            F.concat(acc["done"], F.array(acc["out"])).alias("done"),
-            empty.alias("out"),
+    p = sql_text(pattern)
+    fields = "".join(f", {n}: STRING" for n in names)
+    return F.expr(
+        _MATCHES.format(
+            text=text,
+            p=p,
+            chunk=CHUNK,
+            extracts="".join(f", regexp_extract_all({text}, {p}, {g})" for g in groups),
+            typed=fields,
+            named="".join(f", p.{n} AS {n}" for n in names),
+            carried="".join(f", p.{n} AS {n}" for n in names),
+            out=f"ARRAY<STRUCT<line: INT, start: INT, stop: INT{fields}>>",
         )
-
-    zero = F.struct(
-        F.lit(1).alias("line"),
-        F.lit(0).alias("off"),
-        F.array().cast(f"array<{out_type}>").alias("done"),
-        empty.alias("out"),
     )
 
-    def fold(all_pieces: Column) -> Column:
-        last_chunk = F.floor((F.size(all_pieces) - 1) / F.lit(CHUNK)).cast("int")
-        return F.flatten(
-            F.aggregate(
-                F.sequence(F.lit(0), last_chunk),
-                zero,
-                lambda acc, c: F.aggregate(
-                    F.slice(all_pieces, c * CHUNK + 1, F.lit(CHUNK)), acc, step, close
-                ),
-                lambda acc: acc["done"],
-            )
-        )
-
-    walked = let(sized, lambda s: F.when(F.size(s) > 0, fold(s)).otherwise(empty))
-    return F.when(content.rlike(pattern), walked).otherwise(empty)
-
 
 def glob_regex(glob: str) -> str:
     """Shell-style glob as an anchored regex; ``*`` crosses folder borders."""

@@ -25,6 +25,7 @@ COMPONENT_TYPE = (
 )
 TYPES = {"models": MODEL_TYPE, "routes": ROUTE_TYPE, "components": COMPONENT_TYPE}
 
+TEXT = "content"
 LANGUAGE_ORDER = ["python", "typescript", "javascript", "ruby", "go", "java", "prisma"]
 
 
@@ -52,7 +53,7 @@ def _library(name: Column, line: Column, confidence: str, note: str) -> Column:
 
 def _named_models(pattern: str, orm: str, confidence: str = "high") -> Callable[[Column], Column]:
     def build(text: Column) -> Column:
-        return F.transform(match_structs(text, rx(pattern)), lambda m: _model(m["g1"], m["line"], orm, confidence))
+        return F.transform(match_structs(TEXT, rx(pattern)), lambda m: _model(m["g1"], m["line"], orm, confidence))
 
     return build
 
@@ -89,11 +90,11 @@ def typeorm_models(text: Column) -> Column:
 
         return F.transform(entities, one)
 
-    entities = match_structs(text, rx(V.TYPEORM_ENTITY))
+    entities = match_structs(TEXT, rx(V.TYPEORM_ENTITY))
     found = let(
         entities,
         lambda es: F.when(
-            F.size(es) > 0, let(match_structs(text, rx(V.NEXT_CLASS)), lambda cs: build(es, cs))
+            F.size(es) > 0, let(match_structs(TEXT, rx(V.NEXT_CLASS)), lambda cs: build(es, cs))
         ).otherwise(F.array().cast(f"array<{MODEL_TYPE}>")),
     )
     return F.when(text.contains("@Entity("), found).otherwise(F.array().cast(f"array<{MODEL_TYPE}>"))
@@ -106,7 +107,7 @@ def sequelize_models(text: Column) -> Column:
 
 
 def express_routes(text: Column) -> Column:
-    found = match_structs(text, rx(V.EXPRESS_ROUTE, ignore_case=True), (1, 2))
+    found = match_structs(TEXT, rx(V.EXPRESS_ROUTE, ignore_case=True), (1, 2))
     return F.transform(
         found,
         lambda m: _route(m["g2"], F.upper(m["g1"]), F.concat(F.lit("anonymous@"), m["line"].cast("string")), m["line"], "express"),
@@ -114,7 +115,7 @@ def express_routes(text: Column) -> Column:
 
 
 def ts_classes(text: Column) -> Column:
-    return F.transform(match_structs(text, rx(V.TS_CLASS)), lambda m: _library(m["g1"], m["line"], "medium", V.NOTE_TS_CLASS))
+    return F.transform(match_structs(TEXT, rx(V.TS_CLASS)), lambda m: _library(m["g1"], m["line"], "medium", V.NOTE_TS_CLASS))
 
 
 def module_exports(text: Column) -> Column:
@@ -123,7 +124,7 @@ def module_exports(text: Column) -> Column:
     def build(exports: Column) -> Column:
         names = _names(exports)
         fresh = let(
-            F.struct(names.alias("exported"), _names(match_structs(text, rx(V.TS_CLASS))).alias("classes")),
+            F.struct(names.alias("exported"), _names(match_structs(TEXT, rx(V.TS_CLASS))).alias("classes")),
             lambda known: F.filter(
                 exports,
                 lambda e, i: ~F.array_contains(known["classes"], e["g1"])
@@ -133,7 +134,7 @@ def module_exports(text: Column) -> Column:
         return F.transform(fresh, lambda m: _library(m["g1"], m["line"], "medium", V.NOTE_MODULE_EXPORTS))
 
     empty = F.array().cast(f"array<{COMPONENT_TYPE}>")
-    return F.when(text.contains("module.exports"), let(match_structs(text, rx(V.MODULE_EXPORTS)), build)).otherwise(empty)
+    return F.when(text.contains("module.exports"), let(match_structs(TEXT, rx(V.MODULE_EXPORTS)), build)).otherwise(empty)
 
 
 def prisma_models(text: Column) -> Column:
@@ -178,7 +179,7 @@ def prisma_models(text: Column) -> Column:
 
 
 def rails_routes(text: Column) -> Column:
-    found = match_structs(text, rx(V.RAILS_ROUTE, ignore_case=True), (1, 2))
+    found = match_structs(TEXT, rx(V.RAILS_ROUTE, ignore_case=True), (1, 2))
 
     def one(m: Column) -> Column:
         verb = F.upper(m["g1"])
@@ -191,9 +192,9 @@ def rails_routes(text: Column) -> Column:
 
 
 def ruby_classes(text: Column) -> Column:
-    models = F.concat(_names(match_structs(text, rx(V.ACTIVE_RECORD_CLASS))), _names(match_structs(text, rx(V.SEQUEL_CLASS))))
+    models = F.concat(_names(match_structs(TEXT, rx(V.ACTIVE_RECORD_CLASS))), _names(match_structs(TEXT, rx(V.SEQUEL_CLASS))))
     other = let(
-        models, lambda known: F.filter(match_structs(text, rx(V.RUBY_CLASS)), lambda m: ~F.array_contains(known, m["g1"]))
+        models, lambda known: F.filter(match_structs(TEXT, rx(V.RUBY_CLASS)), lambda m: ~F.array_contains(known, m["g1"]))
     )
     return F.transform(other, lambda m: _library(m["g1"], m["line"], "medium", V.NOTE_RUBY_CLASS))
 
@@ -215,7 +216,7 @@ def _go_structs(text: Column) -> Column:
         )
         return F.struct(m["line"].alias("line"), m["g1"].alias("g1"), body.alias("body"))
 
-    return F.zip_with(match_structs(text, head), F.when(text.rlike(head), tails).otherwise(F.array().cast("array<string>")), with_body)
+    return F.zip_with(match_structs(TEXT, head), F.when(text.rlike(head), tails).otherwise(F.array().cast("array<string>")), with_body)
 
 
 def _go_orm(body: Column) -> Column:
@@ -236,7 +237,7 @@ def go_models(text: Column) -> Column:
 
 def _go_routes(pattern: str, framework: str) -> Callable[[Column], Column]:
     def build(text: Column) -> Column:
-        found = match_structs(text, pattern, (1, 2))
+        found = match_structs(TEXT, pattern, (1, 2))
 
         def one(m: Column) -> Column:
             verb = F.upper(m["g1"])
@@ -254,7 +255,7 @@ def go_struct_components(text: Column) -> Column:
     other = let(
         models,
         lambda known: F.filter(
-            match_structs(text, rx(V.GO_STRUCT)), lambda m: m["g1"].rlike(r"^\p{Lu}") & ~F.array_contains(known, m["g1"])
+            match_structs(TEXT, rx(V.GO_STRUCT)), lambda m: m["g1"].rlike(r"^\p{Lu}") & ~F.array_contains(known, m["g1"])
         ),
     )
     return F.transform(other, lambda m: _library(m["g1"], m["line"], "low", V.NOTE_GO_STRUCT))
@@ -270,7 +271,7 @@ def jpa_models(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(column), F.lit(3)), F.regexp_extract_all(text, F.lit(column), F.lit(2))
     ).cast("array<struct<name:string,kind:string>>")
     fields = F.transform(pairs, lambda p: _field(p["name"], F.lower(p["kind"])))
-    first = F.slice(match_structs(text, rx(V.JAVA_CLASS)), 1, 1)
+    first = F.slice(match_structs(TEXT, rx(V.JAVA_CLASS)), 1, 1)
     empty = F.array().cast(f"array<{MODEL_TYPE}>")
     found = F.transform(first, lambda m: _model(m["g1"], m["line"], "jpa", "high", fields))
     return F.when(text.contains(V.JPA_ENTITY), found).otherwise(empty)
@@ -279,7 +280,7 @@ def jpa_models(text: Column) -> Column:
 def spring_routes(text: Column) -> Column:
     methods = constant_map(V.SPRING_METHOD)
     return F.transform(
-        match_structs(text, rx(V.SPRING_MAPPING), (1, 2)),
+        match_structs(TEXT, rx(V.SPRING_MAPPING), (1, 2)),
         lambda m: _route(m["g2"], methods[m["g1"]], F.concat(F.lit("handler@"), m["line"].cast("string")), m["line"], "spring"),
     )
 
@@ -290,7 +291,7 @@ def java_class_components(text: Column) -> Column:
         other = F.filter(classes, lambda m: ~F.equal_null(m["g1"], entity))
         return F.transform(other, lambda m: _library(m["g1"], m["line"], "low", V.NOTE_JAVA_CLASS))
 
-    return let(match_structs(text, rx(V.JAVA_CLASS)), build)
+    return let(match_structs(TEXT, rx(V.JAVA_CLASS)), build)
 
 
 # --- registry and drivers ------------------------------------------------------

@@ -164,7 +164,7 @@ def scan_sensitive_fields(corpus: DataFrame, terms: DataFrame | None = None) ->
 
 def match_line_numbers(corpus: DataFrame, pattern: str) -> DataFrame:
     """(project, path, pos, line, hit) of a one-group pattern over whole files."""
-    found = match_structs(F.col("content"), rx(pattern), (1,))
+    found = match_structs("content", rx(pattern), (1,))
     return corpus.select("project", "path", F.posexplode(found).alias("pos", "m")).select(
         "project", "path", "pos", "m.line", F.col("m.g1").alias("hit")
     )
