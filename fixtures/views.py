@@ -527,6 +527,7 @@ def _build(spark, name: str):
     df = spark.sql(VIEWS[name])
     if name != "code_corpus":
         return df
-    # the text of a file is a large expression here, a column in real corpora:
-    # the generator keeps filters from copying it
+    # path and text of a file are large expressions here, columns in real
+    # corpora: the generators keep filters from copying them
+    df = df.select("project", F.explode(F.array("path")).alias("path"), "lang", "content")
     return df.select("project", "path", "lang", F.explode(F.array("content")).alias("content"))

@@ -358,14 +358,14 @@ def judged_routes(sources: DataFrame, config: DataFrame, dets: list[dict]) -> Da
     routes = routes_with_guards(sources, [list(s) for s in sets])
     public = config.select("project", F.transform("public_route_patterns", lambda p: F.concat(F.lit("(?Ud)"), p)).alias("public"))
     joined = routes.join(public, "project", "left")
-    is_public = F.coalesce(F.exists("public", lambda p: F.col("route").rlike(p)), F.lit(False))
+    is_public = F.coalesce(F.exists("public", lambda p: F.rlike(F.col("route"), p)), F.lit(False))
     item = F.concat("method", F.lit(" "), "route", F.lit(" ("), "source_file", F.lit(":"), F.col("line").cast("string"), F.lit(")"))
     table = _struct_array(rows, "ctl:int,set:int,excluded:array")
     return joined.select(
         "project", "ord", "route", item.alias("item"), "guarded", is_public.alias("is_public"), F.explode(table).alias("c")
     ).select(
         "project", "ord", "item", "c.ctl",
-        (F.col("is_public") | F.get("guarded", F.col("c.set")) | F.exists("c.excluded", lambda p: F.col("route").rlike(p))).alias("covered"),
+        (F.col("is_public") | F.get("guarded", F.col("c.set")) | F.exists("c.excluded", lambda p: F.rlike(F.col("route"), p))).alias("covered"),
     )
 
 
