@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fixtures import q_checks, q_controls, q_scan  # noqa: F401
+from fixtures import q_checks, q_controls, q_drafts, q_scan  # noqa: F401
 from fixtures.registry import BUILDERS, ORACLES, Tables
 from fleetlens.session import ship
 

@@ -275,6 +275,22 @@ def _(t):
     return C.controls_merge(base, t.project_controls).select("framework", "id", "layer", "ord", "title", "severity")
 
 
+@query(
+    "controls_read",
+    """SELECT lower(p.framework) AS framework, CASE v.n WHEN 0 THEN p.id ELSE concat('B', p.ord) END AS id, v.n::BIGINT AS ord, concat('R', p.ord * (1 - v.n // 2)) AS ref,
+  CASE v.n WHEN 0 THEN p.title ELSE 'T' END AS title, CASE v.n WHEN 0 THEN p.severity ELSE 'must' END AS severity,
+  CASE v.n WHEN 0 THEN 'source_grep' ELSE 'm' END AS method, CASE v.n WHEN 0 THEN NULL ELSE 'a' END AS tag
+FROM project_controls p CROSS JOIN (VALUES (0), (2)) v(n) WHERE p.ord % 13 <> 5""",
+)
+def _(t):
+    from fleetlens.sources.documents import controls_read
+
+    return controls_read(t.controls_yaml).select(
+        "framework", "id", "ord", F.when(F.col("ord") == 0, F.col("framework_ref")).otherwise("R0").alias("ref"), "title", "severity",
+        F.get_json_object("detection", "$.method").alias("method"), F.get_json_object("applicability", "$.tags[0]").alias("tag"),
+    )
+
+
 VERDICTS_SQL = f"""SELECT r.project, r.id, CASE WHEN a.id IS NOT NULL THEN 'skipped' ELSE r.verdict END AS verdict, coalesce(a.target, r.target) AS target, coalesce(a.message, r.message) AS message,
   CASE WHEN a.id IS NOT NULL THEN '' ELSE r.uncovered END AS uncovered
 FROM ({' UNION ALL '.join(f'SELECT {RESULT} FROM ({s}) q' for s in (ENCRYPTED_SQL, OBLIGATION_SQL, ANY_SQL, NONE_SQL, GUARD_SQL, EVIDENCE_SQL))}) r

@@ -452,6 +452,13 @@ VIEWS["manifest_json"] = f"""
 SELECT {project('l_orderkey')} AS project, concat('m', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '.json') AS path,
   CASE WHEN l_partkey % 8 = 7 THEN '{{"entries": [' ELSE concat('{{"entries": [{{"pact_key": "PACT:a:', CAST(l_suppkey AS STRING), '", "contract_path": null, "source_file": "x"}}, 5, {{"test_path": "t"}}]}}') END AS content
 FROM lineitem"""
+VIEWS["controls_yaml"] = """
+SELECT 'org' AS project, concat('controls/', CAST(ord AS STRING), '.yaml') AS path,
+  CASE WHEN ord % 13 = 5 THEN 'framework: [' ELSE concat('framework: ', framework, chr(10), 'controls:', chr(10),
+    '  - {id: ', id, ', family: F, framework_ref: R', CAST(ord AS STRING), ', title: "', title, '", severity: ', severity, ', detection: {method: source_grep, any_of: [x]}}', chr(10),
+    '  - {id: "not valid", family: F, framework_ref: R, title: T, detection: {method: m}}', chr(10),
+    '  - {id: B', CAST(ord AS STRING), ', family: F, framework_ref: R, title: T, applicability: {tags: [a]}, detection: {method: m}}') END AS content
+FROM project_controls"""
 VIEWS["config_files"] = f"""
 SELECT project, path, content FROM (
   SELECT project, pn, 'config/app.yaml' AS path, concat('server:', chr(10), '  tls: ', CASE WHEN pn % 3 = 0 THEN 'true' ELSE 'false' END, chr(10),
