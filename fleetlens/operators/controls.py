@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from fleetlens import values as V
 from fleetlens.control_table import packaged_controls
 from fleetlens.functions.regexkit import let, rx
-from fleetlens.operators.checks import union_all
+from fleetlens.operators.checks import CHECK_COLUMNS, check_order, union_all
 from fleetlens.operators.code_scan import files_with, language_rank
 from fleetlens.sources.corpus import evidence_path_ok
 
@@ -719,4 +719,11 @@ def run_compliance(
     chosen = packaged_controls() if controls is None else controls
     wanted = [f.lower() for f in frameworks or []]
     chosen = [c for c in chosen if not wanted or c["framework"] in wanted]
+    if not chosen:
+        return _no_checks(tables["projects"])
     return verdict_to_check(evaluate_controls(tables, chosen, as_of, path_rules), chosen)
+
+
+def _no_checks(projects: DataFrame) -> DataFrame:
+    texts = [F.lit("").alias(c) for c in CHECK_COLUMNS if c not in ("project", "ord")]
+    return projects.select("project", *texts, check_order(V.CHECK_TOOLS[0], 0).alias("ord")).where(F.lit(False))

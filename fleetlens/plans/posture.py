@@ -49,7 +49,7 @@ def tables(corpus: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     contracts = S.contracts_read(S.located(corpus, S.CONTRACT_PLACES, own))
     return {
         "projects": projects,
-        "corpus": corpus,
+        "corpus": corpus.where(~F.coalesce("is_binary", F.lit(False))) if "is_binary" in corpus.columns else corpus,
         "sources": source_files(corpus, settings.source_dirs, settings.languages, settings.exclude),
         "contracts": contracts,
         "topologies": topologies,

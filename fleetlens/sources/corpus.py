@@ -2,13 +2,109 @@
 
 from __future__ import annotations
 
+import math
 import posixpath
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens import values as V
 from fleetlens.functions.regexkit import matches_any_glob
 from fleetlens.functions.text import constant_map
+from fleetlens.session import stage
+
+
+LISTING = "path string, bytes bigint, mtime timestamp, is_dir boolean"
+RAW = "path string, bytes bigint, mtime timestamp, raw binary"
+ENTRIES_PER_TASK = 100_000  # a folder walk stops here and hands the rest on
+BATCH_BYTES = 32 << 20
+TASK_BYTES = 128 << 20
+
+
+def _open(root: str):
+    """(file system, absolute path) of a URI or a local path; runs on executors."""
+    if "://" in root or root.startswith("file:"):
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
+def _lister(root: str, budget: int):
+    """Walks folders breadth first; folders beyond the budget come back unread."""
+
+    def entry(info: fs.FileInfo, base: str, is_dir: bool) -> dict:
+        return {"path": posixpath.relpath(info.path, base), "bytes": info.size or 0, "mtime": info.mtime, "is_dir": is_dir}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                queue, seen = deque([start]), 0
+                while queue:
+                    found = system.get_file_info(fs.FileSelector(posixpath.join(base, queue.popleft())))
+                    seen += len(found)
+                    rows = [entry(i, base, False) for i in found if i.type == fs.FileType.File]
+                    folders = [i for i in found if i.type == fs.FileType.Directory]
+                    if seen < budget:
+                        queue.extend(entry(i, base, True)["path"] for i in folders)
+                    else:
+                        rows += [entry(i, base, True) for i in folders]
+                        rows += [{"path": p, "bytes": 0, "mtime": None, "is_dir": True} for p in queue]
+                        queue.clear()
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_LISTED)
+
+    return walk
+
+
+_LISTED = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("is_dir", pa.bool_())])
+_READ = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("raw", pa.binary())])
+
+
+def _reader(root: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        rows, held = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    with system.open_input_stream(posixpath.join(base, row["path"])) as f:
+                        row["raw"] = f.read()
+                except OSError:  # unreadable files are left out
+                    continue
+                rows.append(row)
+                held += len(row["raw"])
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_READ)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_READ)
+
+    return read
+
+
+def list_tree(spark: SparkSession, root: str, budget: int = ENTRIES_PER_TASK) -> DataFrame:
+    """(path, bytes, mtime) of every file below ``root``, names relative to it.
+
+    Spark's own file sources skip names that start with a dot or an
+    underscore; registries and many source files have such names.  The walk
+    runs in rounds: a task reads up to ``budget`` entries and passes the
+    folders it did not reach to the next round, so no tree is too large for
+    one task.
+    """
+    tasks = spark.sparkContext.defaultParallelism * 4
+    todo = spark.createDataFrame([("",)], "path string")
+    found = None
+    while True:
+        level = stage(todo.mapInArrow(_lister(root, budget), LISTING), "listing")
+        files = level.where("NOT is_dir").drop("is_dir")
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("is_dir").select("path")
+        if folders.isEmpty():
+            return found
+        todo = folders.repartition(tasks)
 
 
 def corpus_read(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
@@ -17,28 +113,22 @@ def corpus_read(spark: SparkSession, root: str, project: str | None = None) -> D
     ``project`` names the one project; otherwise the first folder below
     ``root`` is the project and ``path`` is relative to that folder.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "content", "modificationTime", "length")
-    )
-    full = F.regexp_replace("path", "^[A-Za-z0-9]+:/*", "/")
-    base = F.lit("/" + root.split(":", 1)[-1].strip("/") + "/")
-    inside = F.substring(full, F.length(base) + 1, F.length(full))
-    if project is None:
-        name, rel = F.substring_index(inside, "/", 1), F.regexp_replace(inside, "^[^/]*/", "")
-    else:
-        name, rel = F.lit(project), inside
-    table = files.select(
-        name.alias("project"),
-        rel.alias("path"),
-        F.col("content").alias("raw"),
-        F.col("modificationTime").alias("mtime"),
-        F.col("length").alias("bytes"),
-    )
+    listing = list_tree(spark, root)
+    total = listing.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
+    table = in_project(listing.repartition(tasks).mapInArrow(_reader(root), RAW), project)
     return corpus_language(table, keep_unknown=True).select(
-        "project", "path", "lang", F.col("raw").cast("string").alias("content"), "raw", "mtime", "bytes"
+        "project", "path", "lang", F.col("raw").cast("string").alias("content"), is_binary(F.col("raw")).alias("is_binary"), "raw", "mtime", "bytes"
+    )
+
+
+def in_project(files: DataFrame, project: str | None = None) -> DataFrame:
+    """Adds ``project`` and makes ``path`` relative to it."""
+    if project is not None:
+        return files.withColumn("project", F.lit(project))
+    inside = F.col("path").contains("/")
+    return files.where(inside).withColumns(
+        {"project": F.substring_index("path", "/", 1), "path": F.regexp_replace("path", "^[^/]*/", "")}
     )
 
 
@@ -107,8 +197,11 @@ def evidence_file_select(files: DataFrame, **rules) -> DataFrame:
 
 def binary_filter(files: DataFrame, raw: str = "raw") -> DataFrame:
     """Drop files with a NUL among their first bytes."""
-    head = F.substring(F.col(raw), 1, V.BINARY_PROBE_BYTES)
-    return files.where(~F.contains(head, F.lit(bytes([0]))))
+    return files.where(~is_binary(F.col(raw)))
+
+
+def is_binary(raw: Column) -> Column:
+    return F.contains(F.substring(raw, 1, V.BINARY_PROBE_BYTES), F.lit(bytes([0])))
 
 
 def corpus_lines(corpus: DataFrame) -> DataFrame:
