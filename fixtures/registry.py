@@ -15,13 +15,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._views: dict[str, DataFrame] = {}
+        self._done: set[str] = set()
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._views:
             if name in views.VIEWS:
-                self._views[name] = views.view(self.spark, self.sf_dir, name)
+                self._views[name] = views.view(self.spark, self.sf_dir, name, self._done)
             else:
                 self._views[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._views[name]

@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from fleetlens.session import spread
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -518,15 +520,22 @@ def for_duckdb(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
-def view(spark, sf_dir: str, name: str):
-    """The derived table ``name`` as a Spark DataFrame."""
+def view(spark, sf_dir: str, name: str, done: set[str] | None = None):
+    """The derived table ``name`` as a Spark DataFrame.
+
+    ``done`` names the tables that are registered already.
+    """
+    done = set() if done is None else done
     needed = closure(VIEWS[name])
     texts = [VIEWS[n] for n in needed] + [VIEWS[name]]
     for table in BASE_TABLES:
-        if any(_reads(text, table) for text in texts):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if table not in done and any(_reads(text, table) for text in texts):
+            spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
+            done.add(table)
     for dep in needed:
-        _build(spark, dep).createOrReplaceTempView(dep)
+        if dep not in done:
+            _build(spark, dep).createOrReplaceTempView(dep)
+            done.add(dep)
     return _build(spark, name)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 CHUNK = 1024  # matches handled per inner fold; keeps array growth linear
@@ -34,6 +34,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that is computed exactly once per row.
+
+    The optimizer copies a plain column's expression into every filter above
+    it, its own inferred ones included; a generator's output it leaves alone.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def newlines(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fleetlens.functions.regexkit import sql_text
+
 
 def snake(name: Column) -> Column:
     """CamelCase to snake_case; other characters become underscores."""
@@ -27,5 +29,22 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(F.bround(part / total * 100, 1))
 
 
-def constant_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+def sql_value(value) -> str:
+    """A constant in expression text; building it there is one call to the JVM."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (list, tuple)):
+        return "CAST(array(" + ", ".join(map(sql_value, value)) + ") AS ARRAY<STRING>)"
+    return str(value) if isinstance(value, (int, float)) else sql_text(value)
+
+
+def constant_map(table: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{sql_value(k)}, {sql_value(v)}" for k, v in table.items()) + ")")
+
+
+def constant_rows(rows: list[dict], names: list[str]) -> Column:
+    """A constant array of structs, one per row."""
+    structs = ("struct(" + ", ".join(f"{sql_value(r[n])} AS `{n}`" for n in names) + ")" for r in rows)
+    return F.expr("array(" + ", ".join(structs) + ")")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import values as V
 from fleetlens.functions.regexkit import rx
-from fleetlens.functions.text import version_below
+from fleetlens.functions.text import constant_rows, version_below
 
 CHECK_COLUMNS = ["project", "tool", "check_id", "target", "severity", "status", "message", "ord"]
 
@@ -258,12 +258,8 @@ def chk_global_sections(topologies: DataFrame) -> DataFrame:
         ("ledger", "ledger_endpoint_configured", "INFO", "ledger endpoint not configured"),
         ("audit_channel", "audit_channel_port_configured", "WARN", "audit_channel not configured"),
     ]
-    sections = F.array(
-        *[
-            F.struct(F.lit(k).alias("key"), F.lit(c).alias("check_id"), F.lit(s).alias("level"), F.lit(m).alias("message"))
-            for k, c, s, m in wanted
-        ]
-    )
+    names = ["key", "check_id", "level", "message"]
+    sections = constant_rows([dict(zip(names, row)) for row in wanted], names)
     missing = topologies.where("parse_ok").select(
         "project", "path", "global_keys", F.posexplode(sections).alias("n", "s")
     ).where(~F.array_contains(F.col("global_keys"), F.col("s.key")))
@@ -339,12 +335,8 @@ def chk_registry_exists(projects: DataFrame, artifacts: DataFrame) -> DataFrame:
         ("registry", "ledger", 2, "ledger_registry_exists", ".ledger/registry/", "no ledger registry found"),
         ("arbiter", "arbiter", 3, "arbiter_registry_exists", ".arbiter/registry/", "no arbiter registry found"),
     ]
-    kinds = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(["kind", "tool", "tool_ord", "check_id", "target", "message"], row)])
-            for row in expected
-        ]
-    )
+    names = ["kind", "tool", "tool_ord", "check_id", "target", "message"]
+    kinds = constant_rows([dict(zip(names, row)) for row in expected], names)
     absent = (
         projects.select("project", F.explode(kinds).alias("k"))
         .select("project", "k.*")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import values as V
-from fleetlens.functions.regexkit import let, match_structs, newlines, rx
+from fleetlens.functions.regexkit import let, match_structs, newlines, once, rx
 from fleetlens.functions.text import constant_map
 from fleetlens.operators.python_scan import python_facts
 
@@ -366,9 +366,9 @@ def files_with(corpus: DataFrame, kind: str, keys: list[str] | None = None) -> D
     native = keys is None or any(k in SCANS for k in keys)
     if native:
         column, languages = _native_array(kind, keys)
-        frames.append(corpus.where(F.col("lang").isin(languages)).withColumn("facts", column))
+        frames.append(once(corpus.where(F.col("lang").isin(languages)), "facts", column))
     if keys is None or "python" in keys:
-        frames.append(corpus.where(F.col("lang") == "python").withColumn("facts", _python_array(kind)))
+        frames.append(once(corpus.where(F.col("lang") == "python"), "facts", _python_array(kind)))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

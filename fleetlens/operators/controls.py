@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetlens import values as V
 from fleetlens.control_table import packaged_controls
-from fleetlens.functions.regexkit import let, rx
+from fleetlens.functions.regexkit import let, once, rx
+from fleetlens.functions.text import constant_map, constant_rows
 from fleetlens.operators.checks import CHECK_COLUMNS, check_order, union_all
 from fleetlens.operators.code_scan import files_with, language_rank
 from fleetlens.sources.corpus import evidence_path_ok
@@ -111,15 +112,8 @@ def _no_uncovered() -> Column:
 
 
 def _struct_array(rows: list[dict], ddl: str) -> Column:
-    """A constant array of structs, one per row."""
-    names = [part.split(":")[0] for part in ddl.split(",")]
-    return F.array(*[F.struct(*[_lit(r[n]).alias(n) for n in names]) for r in rows])
-
-
-def _lit(value) -> Column:
-    if isinstance(value, list):
-        return F.array(*[F.lit(v) for v in value]).cast("array<string>")
-    return F.lit(value)
+    """A constant array of structs, one per row; ddl gives names and types."""
+    return constant_rows(rows, [part.split(":")[0] for part in ddl.split(",")])
 
 
 def _per_project(projects: DataFrame, rows: list[dict], ddl: str) -> DataFrame:
@@ -251,7 +245,7 @@ def grep_hits(corpus: DataFrame, dets: list[dict], path_rules: dict | None = Non
             pairs.append({"ctl": d["ctl"], "pat": i, "rule": rules.index(rule), "regex": patterns.index(p)})
     path = F.col("path")
     allowed = F.array(*[evidence_path_ok(path, list(inc), list(exc), **(path_rules or {})) for inc, exc in rules])
-    files = corpus.select("project", "path", "content", allowed.alias("allowed")).where(F.array_contains("allowed", True))
+    files = once(corpus.select("project", "path", "content"), "allowed", allowed).where(F.array_contains("allowed", True))
     seen = F.array(*[F.col("content").rlike(rx(p, multiline=True)) for p in patterns])
     table = _struct_array(pairs, "ctl:int,pat:int,rule:int,regex:int")
     hit = let(seen, lambda s: F.filter(table, lambda q: F.get(F.col("allowed"), q["rule"]) & F.get(s, q["regex"])))
@@ -277,7 +271,7 @@ def detect_grep(projects: DataFrame, corpus: DataFrame, dets: list[dict], path_r
     texts = {d["ctl"]: _grep_params(d)[0] for d in active}
     result = base.join(first, ["project", "ctl"], "left")
     if none_of:
-        lookup = F.create_map(*[x for c in none_of for x in (F.lit(c), _lit(texts[c]))])
+        lookup = constant_map({c: texts[c] for c in none_of})
         bad = hits.where(F.col("ctl").isin(none_of)).withColumn(
             "item", F.concat("path", F.lit(":"), F.get(lookup[F.col("ctl")], F.col("pat")))
         )
@@ -636,8 +630,8 @@ def evaluate_controls(tables: dict[str, DataFrame], controls: list[dict], as_of:
     slots = {d["ctl"]: d for d in dets}
     outcome = F.struct("verdict", "target", "message", "uncovered")
     if any(d["slot"] for d in dets):
-        control_of = F.create_map(*[F.lit(x) for d in dets for x in (d["ctl"], d["control"])])
-        slot_of = F.create_map(*[F.lit(x) for d in dets for x in (d["ctl"], d["slot"])])
+        control_of = constant_map({d["ctl"]: d["control"] for d in dets})
+        slot_of = constant_map({d["ctl"]: d["slot"] for d in dets})
         tagged = found.select("project", control_of[F.col("ctl")].alias("control"), slot_of[F.col("ctl")].alias("slot"), outcome.alias("o"))
         combined = tagged.groupBy("project", "control").agg(
             F.min(F.when(F.col("slot") == 0, F.col("o"))).alias("p"),
@@ -656,7 +650,7 @@ def evaluate_controls(tables: dict[str, DataFrame], controls: list[dict], as_of:
             F.when(weak, F.col("c.o.uncovered")).otherwise(F.col("p.uncovered")).alias("uncovered"),
         )
     else:
-        control_of = F.create_map(*[F.lit(x) for c, d in slots.items() for x in (c, d["control"])])
+        control_of = constant_map({c: d["control"] for c, d in slots.items()})
         results = found.select("project", control_of[F.col("ctl")].alias("control"), "verdict", "target", "message", "uncovered")
     skipped = control_applicability(
         tables["projects"], tables["registries"], tables["registry_fields"], tables["project_config"], controls
@@ -675,15 +669,8 @@ def evaluate_controls(tables: dict[str, DataFrame], controls: list[dict], as_of:
 
 def verdict_to_check(results: DataFrame, controls: list[dict]) -> DataFrame:
     """Verdicts as check rows; the tool is the framework."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c["framework"]).alias("framework"), F.lit(c["id"]).alias("id"), F.lit(c.get("severity", "must")).alias("severity")
-            )
-            for c in controls
-        ]
-    )
-    c = F.get(rows, F.col("control"))
+    rows = [{"framework": c["framework"], "id": c["id"], "severity": c.get("severity", "must")} for c in controls]
+    c = F.get(constant_rows(rows, ["framework", "id", "severity"]), F.col("control"))
     joined = results.withColumn("c", c)
     must = F.col("c.severity") == "must"
     status = (

@@ -128,11 +128,7 @@ def scan_sensitive_fields(corpus: DataFrame, terms: DataFrame | None = None) ->
         tier_of = {t.lower(): tier for tier, ts in V.SENSITIVE_TERMS.items() for t in ts}
         pattern_of = {t.lower(): t for ts in V.SENSITIVE_TERMS.values() for t in ts}
         wanted = F.filter(_identifiers(F.col("text")), lambda t: F.lower(t).isin(list(tier_of)) & t.rlike(ascii_name))
-        found = (
-            lines.select("project", "path", "line", wanted.alias("toks"))
-            .where(F.size("toks") > 0)
-            .select("project", "path", "line", F.posexplode(_first_spellings(F.col("toks"))).alias("pos", "t"))
-        )
+        found = lines.select("project", "path", "line", F.posexplode(_first_spellings(wanted)).alias("pos", "t"))
         return found.select(
             "project",
             "path",

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -15,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no Python call site per expression; plans here are large
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # one row is one file, so Arrow batches are kept small in rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
@@ -77,3 +81,23 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("fleetlens", os.path.relpath(full, package)))
     context.addPyFile(archive)
     context._fleetlens_shipped = True
+
+
+def spread(df: DataFrame, smallest: int = 1 << 20) -> DataFrame:
+    """Use all cores on inputs of very few row groups.
+
+    A row group is the least one task can read.  Where a table has fewer of
+    them than there are cores, its rows are dealt out once; tables of many
+    files or row groups are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    groups = size = 0
+    for name in files:
+        system, path = fs.FileSystem.from_uri(name)
+        footer = pq.read_metadata(path, filesystem=system)
+        groups += footer.num_row_groups
+        size += sum(footer.row_group(i).total_byte_size for i in range(footer.num_row_groups))
+    return df if groups >= cores or size < smallest else df.repartition(cores)
