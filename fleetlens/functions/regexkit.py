@@ -78,6 +78,23 @@ CASE WHEN {text} RLIKE {p} THEN transform(array(
 ELSE CAST(array() AS {out}) END"""
 
 
+def match_sql(text: str, pattern: str, groups: tuple[int, ...] = (1,)) -> str:
+    """Expression text of ``match_structs``."""
+    names = [f"g{i + 1}" for i in range(len(groups))]
+    p = sql_text(pattern)
+    fields = "".join(f", {n}: STRING" for n in names)
+    return _MATCHES.format(
+        text=text,
+        p=p,
+        chunk=CHUNK,
+        extracts="".join(f", regexp_extract_all({text}, {p}, {g})" for g in groups),
+        typed=fields,
+        named="".join(f", p.{n} AS {n}" for n in names),
+        carried="".join(f", p.{n} AS {n}" for n in names),
+        out=f"ARRAY<STRUCT<line: INT, start: INT, stop: INT{fields}>>",
+    )
+
+
 def match_structs(text: str, pattern: str, groups: tuple[int, ...] = (1,)) -> Column:
     """All matches in column ``text`` as ``array<struct<line, start, stop, g1..>>``.
 
@@ -86,21 +103,7 @@ def match_structs(text: str, pattern: str, groups: tuple[int, ...] = (1,)) -> Co
     matches; the fold runs in chunks so that growing the output array never
     becomes quadratic on files with very many matches.
     """
-    names = [f"g{i + 1}" for i in range(len(groups))]
-    p = sql_text(pattern)
-    fields = "".join(f", {n}: STRING" for n in names)
-    return F.expr(
-        _MATCHES.format(
-            text=text,
-            p=p,
-            chunk=CHUNK,
-            extracts="".join(f", regexp_extract_all({text}, {p}, {g})" for g in groups),
-            typed=fields,
-            named="".join(f", p.{n} AS {n}" for n in names),
-            carried="".join(f", p.{n} AS {n}" for n in names),
-            out=f"ARRAY<STRUCT<line: INT, start: INT, stop: INT{fields}>>",
-        )
-    )
+    return F.expr(match_sql(text, pattern, groups))
 
 
 def glob_regex(glob: str) -> str:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import values as V
-from fleetlens.functions.regexkit import let, match_structs, newlines, once, rx
+from fleetlens.functions.regexkit import let, match_sql, match_structs, newlines, once, rx, sql_text
 from fleetlens.functions.text import constant_map
 from fleetlens.operators.python_scan import python_facts
 
@@ -42,20 +42,29 @@ def _model(name: Column, line: Column, orm: str | Column, confidence: str, field
     return F.struct(name, line, orm, _no_fields() if fields is None else fields, F.lit(confidence)).cast(MODEL_TYPE)
 
 
-def _route(route: Column, method: Column, handler: Column, line: Column, framework: str) -> Column:
-    return F.struct(route, method, handler, line, F.lit(framework), F.lit("high")).cast(ROUTE_TYPE)
-
-
 def _library(name: Column, line: Column, confidence: str, note: str) -> Column:
     none = F.array().cast("array<string>")
     return F.struct(name, line, F.lit("library"), none, none, F.lit(confidence), F.lit(note)).cast(COMPONENT_TYPE)
 
 
+def _each_match(pattern: str, groups: tuple[int, ...], values: list[str], kind: str) -> Callable[[Column], Column]:
+    """Every match ``m`` as one fact; the values are expression texts.
+
+    Whole scanners as one text are parsed in one call to the JVM.
+    """
+    sql = f"transform({match_sql(TEXT, pattern, groups)}, m -> CAST(struct({', '.join(values)}) AS {kind}))"
+    return lambda text: F.expr(sql)
+
+
 def _named_models(pattern: str, orm: str, confidence: str = "high") -> Callable[[Column], Column]:
-    def build(text: Column) -> Column:
-        return F.transform(match_structs(TEXT, rx(pattern)), lambda m: _model(m["g1"], m["line"], orm, confidence))
+    fields = f"CAST(array() AS array<{FIELD_TYPE}>)"
+    return _each_match(rx(pattern), (1,), ["m.g1", "m.line", sql_text(orm), fields, sql_text(confidence)], MODEL_TYPE)
 
-    return build
+
+def _named_routes(pattern: str, method: str, handler: str, framework: str) -> Callable[[Column], Column]:
+    """Routes of a pattern with method and path as its groups."""
+    at = f"concat({sql_text(handler + '@')}, CAST(m.line AS STRING))"
+    return _each_match(pattern, (1, 2), ["m.g2", method, at, "m.line", sql_text(framework), "'high'"], ROUTE_TYPE)
 
 
 def _names(structs: Column) -> Column:
@@ -106,16 +115,10 @@ def sequelize_models(text: Column) -> Column:
     )
 
 
-def express_routes(text: Column) -> Column:
-    found = match_structs(TEXT, rx(V.EXPRESS_ROUTE, ignore_case=True), (1, 2))
-    return F.transform(
-        found,
-        lambda m: _route(m["g2"], F.upper(m["g1"]), F.concat(F.lit("anonymous@"), m["line"].cast("string")), m["line"], "express"),
-    )
-
-
-def ts_classes(text: Column) -> Column:
-    return F.transform(match_structs(TEXT, rx(V.TS_CLASS)), lambda m: _library(m["g1"], m["line"], "medium", V.NOTE_TS_CLASS))
+_NO_NAMES = "CAST(array() AS array<string>)"
+ts_classes = _each_match(
+    rx(V.TS_CLASS), (1,), ["m.g1", "m.line", "'library'", _NO_NAMES, _NO_NAMES, "'medium'", sql_text(V.NOTE_TS_CLASS)], COMPONENT_TYPE
+)
 
 
 def module_exports(text: Column) -> Column:
@@ -179,16 +182,11 @@ def prisma_models(text: Column) -> Column:
 
 
 def rails_routes(text: Column) -> Column:
-    found = match_structs(TEXT, rx(V.RAILS_ROUTE, ignore_case=True), (1, 2))
-
-    def one(m: Column) -> Column:
-        verb = F.upper(m["g1"])
-        method = F.when(verb.isin("RESOURCES", "RESOURCE"), "CRUD").otherwise(verb)
-        return _route(m["g2"], method, F.concat(F.lit("routes@"), m["line"].cast("string")), m["line"], "rails")
-
+    method = "CASE WHEN upper(m.g1) IN ('RESOURCES', 'RESOURCE') THEN 'CRUD' ELSE upper(m.g1) END"
+    found = _named_routes(rx(V.RAILS_ROUTE, ignore_case=True), method, "routes", "rails")(text)
     base = F.substring_index(F.col("path"), "/", -1)
     is_routes = F.lower(base).contains("routes") | F.col("path").contains("config")
-    return F.when(is_routes, F.transform(found, one)).otherwise(F.array().cast(f"array<{ROUTE_TYPE}>"))
+    return F.when(is_routes, found).otherwise(F.array().cast(f"array<{ROUTE_TYPE}>"))
 
 
 def ruby_classes(text: Column) -> Column:
@@ -235,18 +233,7 @@ def go_models(text: Column) -> Column:
     return F.when(text.rlike(rx(V.GORM_TAG)) | text.rlike(rx(V.SQLX_TAG)), found).otherwise(empty)
 
 
-def _go_routes(pattern: str, framework: str) -> Callable[[Column], Column]:
-    def build(text: Column) -> Column:
-        found = match_structs(TEXT, pattern, (1, 2))
-
-        def one(m: Column) -> Column:
-            verb = F.upper(m["g1"])
-            method = F.when(verb.isin("HANDLE", "HANDLEFUNC"), "ANY").otherwise(verb)
-            return _route(m["g2"], method, F.concat(F.lit("handler@"), m["line"].cast("string")), m["line"], framework)
-
-        return F.transform(found, one)
-
-    return build
+GO_METHOD = "CASE WHEN upper(m.g1) IN ('HANDLE', 'HANDLEFUNC') THEN 'ANY' ELSE upper(m.g1) END"
 
 
 def go_struct_components(text: Column) -> Column:
@@ -277,14 +264,6 @@ def jpa_models(text: Column) -> Column:
     return F.when(text.contains(V.JPA_ENTITY), found).otherwise(empty)
 
 
-def spring_routes(text: Column) -> Column:
-    methods = constant_map(V.SPRING_METHOD)
-    return F.transform(
-        match_structs(TEXT, rx(V.SPRING_MAPPING), (1, 2)),
-        lambda m: _route(m["g2"], methods[m["g1"]], F.concat(F.lit("handler@"), m["line"].cast("string")), m["line"], "spring"),
-    )
-
-
 def java_class_components(text: Column) -> Column:
     def build(classes: Column) -> Column:
         entity = F.when(text.contains(V.JPA_ENTITY), F.get(classes, F.lit(0))["g1"])
@@ -305,6 +284,7 @@ class Scan:
 
 
 _TSJS = ("typescript", "javascript")
+SPRING_METHOD = "CASE m.g1 " + " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v)}" for k, v in V.SPRING_METHOD.items()) + " END"
 
 # in the order their results appear within a file
 SCANS: dict[str, Scan] = {
@@ -312,7 +292,7 @@ SCANS: dict[str, Scan] = {
     "ts_sequelize_models": Scan("models", _TSJS, sequelize_models),
     "ts_mongoose_models": Scan("models", _TSJS, _named_models(V.MONGOOSE_MODEL, "mongoose")),
     "ts_drizzle_models": Scan("models", _TSJS, _named_models(V.DRIZZLE_TABLE, "drizzle")),
-    "ts_express_routes": Scan("routes", _TSJS, express_routes),
+    "ts_express_routes": Scan("routes", _TSJS, _named_routes(rx(V.EXPRESS_ROUTE, ignore_case=True), "upper(m.g1)", "anonymous", "express")),
     "ts_classes": Scan("components", _TSJS, ts_classes),
     "prisma_models": Scan("models", ("prisma",), prisma_models),
     "js_module_exports": Scan("components", ("javascript",), module_exports),
@@ -321,11 +301,11 @@ SCANS: dict[str, Scan] = {
     "rb_rails_routes": Scan("routes", ("ruby",), rails_routes),
     "rb_classes": Scan("components", ("ruby",), ruby_classes),
     "go_models": Scan("models", ("go",), go_models),
-    "go_http_routes": Scan("routes", ("go",), _go_routes(rx(V.GO_HTTP_ROUTE, ignore_case=True), "net/http")),
-    "go_gin_routes": Scan("routes", ("go",), _go_routes(rx(V.GIN_ROUTE), "gin")),
+    "go_http_routes": Scan("routes", ("go",), _named_routes(rx(V.GO_HTTP_ROUTE, ignore_case=True), GO_METHOD, "handler", "net/http")),
+    "go_gin_routes": Scan("routes", ("go",), _named_routes(rx(V.GIN_ROUTE), "upper(m.g1)", "handler", "gin")),
     "go_structs": Scan("components", ("go",), go_struct_components),
     "java_jpa_models": Scan("models", ("java",), jpa_models),
-    "java_spring_routes": Scan("routes", ("java",), spring_routes),
+    "java_spring_routes": Scan("routes", ("java",), _named_routes(rx(V.SPRING_MAPPING), SPRING_METHOD, "handler", "spring")),
     "java_classes": Scan("components", ("java",), java_class_components),
 }
 
