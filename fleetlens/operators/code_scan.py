@@ -314,11 +314,15 @@ def _native_array(kind: str, keys: list[str] | None = None) -> tuple[Column, lis
     """Facts of one kind as an array column, and the languages it covers."""
     chosen = {k: s for k, s in SCANS.items() if s.kind == kind and (keys is None or k in keys)}
     languages = sorted({lang for s in chosen.values() for lang in s.languages}, key=LANGUAGE_ORDER.index)
-    column = None
+    # languages with the same scanners share one branch
+    branches: dict[tuple[str, ...], list[str]] = {}
     for lang in languages:
-        parts = [s.build(F.col("content")) for s in chosen.values() if lang in s.languages]
+        branches.setdefault(tuple(k for k, s in chosen.items() if lang in s.languages), []).append(lang)
+    column = None
+    for scanners, langs in branches.items():
+        parts = [chosen[k].build(F.col(TEXT)) for k in scanners]
         joined = F.concat(*parts) if len(parts) > 1 else parts[0]
-        hit = F.col("lang") == lang
+        hit = F.col("lang").isin(langs)
         column = F.when(hit, joined) if column is None else column.when(hit, joined)
     return column, languages
 
