@@ -152,6 +152,29 @@ _detector("det_route_guard", _GUARD, GUARD_SQL, lambda t, d: C.detect_route_guar
 _detector("det_evidence_doc", _DOC, EVIDENCE_SQL, lambda t, d: C.detect_evidence(t.projects, t.evidence_index, t.file_meta, AS_OF, d))
 
 
+_BAD_ROUTES = f"""SELECT r.project, r.source_file, r.item FROM ({_routes_sql('Depends|require_auth|require_role|authorize|user_claims|request.state.user_claims')}) r LEFT JOIN project_config g ON g.project = r.project
+WHERE NOT guarded AND NOT coalesce(len(list_filter(g.public_route_patterns, lambda x: regexp_matches(r.route, x))) > 0, FALSE)"""
+
+
+@query("det_route_guard_offenders", f"SELECT b.project, c.id, b.source_file, b.item FROM ({_BAD_ROUTES}) b CROSS JOIN ({sql_rows((c['id'],) for c in _GUARD)}) c(id)")
+def _(t):
+    dets = C.number_detections(_GUARD)
+    names = F.create_map(*[F.lit(x) for d in dets for x in (d["ctl"], d["id"])])
+    rows = C.judged_routes(source_files(t.code_corpus), t.project_config, dets)
+    return rows.select("project", names[F.col("ctl")].alias("id"), "source_file", "item")
+
+
+@query(
+    "det_registry_offenders",
+    f"""SELECT f.project, c.id, concat(f.schema_path, ':', f.name) AS item FROM registry_fields f
+JOIN ({sql_rows((c['id'], c['detection']['tier'].lower()) for c in _ENC)}) c(id, tier) ON lower(f.classification) = c.tier WHERE f.is_dict AND NOT list_contains(f.annotations, 'encrypted_at_rest')""",
+)
+def _(t):
+    dets = C.number_detections(_ENC)
+    names = F.create_map(*[F.lit(x) for d in dets for x in (d["ctl"], d["id"])])
+    return C.registry_offenders(t.registry_fields, dets).select("project", names[F.col("ctl")].alias("id"), "item")
+
+
 def _control(cid: str, detection: dict, **more) -> dict:
     return {"framework": "house", "id": cid, "title": cid, "severity": "must", "detection": detection, **more}
 

@@ -156,9 +156,13 @@ def _registry_scope(d: dict) -> tuple[Column, Column]:
     return scope, missing
 
 
+def _flat(dets: list[dict]) -> list[dict]:
+    return [{**d["detection"], "ctl": d["ctl"], "_tier": _tier_of(d)} for d in dets]
+
+
 def registry_offenders(fields: DataFrame, dets: list[dict]) -> DataFrame:
     """(project, ctl, schema_path, pos, item) of every field a detection misses."""
-    flags = F.array(*[F.when(_registry_scope(d)[1], F.lit(d["ctl"])) for d in dets])
+    flags = F.array(*[F.when(_registry_scope(d)[1], F.lit(d["ctl"])) for d in _flat(dets)])
     item = F.concat("schema_path", F.lit(":"), F.coalesce("name", F.lit("<unnamed>")))
     return fields.where("is_dict").select(
         "project", "schema_path", "pos", item.alias("item"), F.explode(F.array_compact(flags)).alias("ctl")
@@ -167,7 +171,8 @@ def registry_offenders(fields: DataFrame, dets: list[dict]) -> DataFrame:
 
 def detect_registry(projects: DataFrame, fields: DataFrame, dets: list[dict]) -> DataFrame:
     """Obligation and encryption detections, all in one aggregation per project."""
-    dets = [{**d["detection"], "ctl": d["ctl"], "_tier": _tier_of(d)} for d in dets]
+    offenders = registry_offenders(fields, dets)
+    dets = _flat(dets)
     sums = []
     for d in dets:
         scope, missing = _registry_scope(d)
@@ -210,7 +215,7 @@ def detect_registry(projects: DataFrame, fields: DataFrame, dets: list[dict]) ->
         .when(F.col("n_missing") == 0, F.concat(n["n_scope"], F.lit(" Ledger field(s) satisfy "), annotation))
         .otherwise(F.concat(n["n_missing"], F.lit(" field(s) missing "), F.coalesce("companion", F.lit("None"))))
     )
-    few = _first_few(registry_offenders(fields, dets), ["project", "ctl"], ["schema_path", "pos"], "item")
+    few = _first_few(offenders, ["project", "ctl"], ["schema_path", "pos"], "item")
     return flat.join(few, ["project", "ctl"], "left").select(
         "project", "ctl", verdict.alias("verdict"), F.lit("ledger").alias("target"), message.alias("message"),
         F.coalesce("uncovered", _no_uncovered()).alias("uncovered"),
@@ -266,18 +271,12 @@ def detect_grep(projects: DataFrame, corpus: DataFrame, dets: list[dict], path_r
         hits = base.select("project", "ctl", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("pat")).where(F.lit(False))
     else:
         hits = grep_hits(corpus, active, path_rules)
-    first = hits.groupBy("project", "ctl").agg(F.min(F.struct("path", "pat")).alias("first"))
-    none_of = [d["ctl"] for d in active if not _as_list(d["detection"].get("any_of"))]
-    texts = {d["ctl"]: _grep_params(d)[0] for d in active}
-    result = base.join(first, ["project", "ctl"], "left")
-    if none_of:
-        lookup = constant_map({c: texts[c] for c in none_of})
-        bad = hits.where(F.col("ctl").isin(none_of)).withColumn(
-            "item", F.concat("path", F.lit(":"), F.get(lookup[F.col("ctl")], F.col("pat")))
-        )
-        result = result.join(_first_few(bad, ["project", "ctl"], ["path", "pat"], "item"), ["project", "ctl"], "left")
-    else:
-        result = result.withColumn("uncovered", F.lit(None).cast("array<string>"))
+    # the first hits of a control: the target of any-of, the offenders of none-of
+    few = _first_few(hits.withColumn("hit", F.struct("path", "pat")), ["project", "ctl"], ["path", "pat"], "hit")
+    result = base.join(few.withColumnRenamed("uncovered", "few"), ["project", "ctl"], "left").withColumn("first", F.get("few", F.lit(0)))
+    offenders = F.when(
+        F.col("mode") == "none", F.transform("few", lambda h: F.concat(h["path"], F.lit(":"), F.get("pats", h["pat"])))
+    )
     any_mode, found = F.col("mode") == "any", F.col("first").isNotNull()
     off = F.col("mode") == "off"
     verdict = F.when(off, "skipped").when(any_mode == found, "present").otherwise("missing")
@@ -291,18 +290,18 @@ def detect_grep(projects: DataFrame, corpus: DataFrame, dets: list[dict], path_r
     )
     return result.select(
         "project", "ctl", verdict.alias("verdict"), target.alias("target"), message.alias("message"),
-        F.coalesce("uncovered", _no_uncovered()).alias("uncovered"),
+        F.coalesce(offenders, _no_uncovered()).alias("uncovered"),
     )
 
 
 # --- route_guard -----------------------------------------------------------------------
 
 
-def routes_with_guards(sources: DataFrame, guard_sets: list[list[str]], radius: int = V.GUARD_RADIUS) -> DataFrame:
-    """Every route with one flag per guard set: is a guard near its line.
+def _guarded_files(sources: DataFrame, guard_sets: list[list[str]], radius: int) -> DataFrame:
+    """Files with routes and, per line that has one, a flag per guard set.
 
     The window of lines is cut inside the file row, once per distinct line,
-    so neither text nor routes are shuffled.
+    so no text is ever shuffled.
     """
     files = files_with(sources, "routes").where(F.size("facts") > 0)
     lines = F.split("content", "\n", -1)
@@ -317,8 +316,13 @@ def routes_with_guards(sources: DataFrame, guard_sets: list[list[str]], radius:
 
     route_lines = F.array_distinct(F.transform("facts", lambda r: r["line"]))
     by_line = let(lines, lambda ls: let(route_lines, lambda rl: F.map_from_arrays(rl, F.transform(rl, lambda n: flags(ls, n)))))
-    flagged = files.select("project", "path", language_rank().alias("lang_rank"), "facts", by_line.alias("by_line"))
-    return flagged.select(
+    kept = once(files, "by_line", by_line)
+    return kept.select("project", "path", language_rank().alias("lang_rank"), "facts", "by_line")
+
+
+def routes_with_guards(sources: DataFrame, guard_sets: list[list[str]], radius: int = V.GUARD_RADIUS) -> DataFrame:
+    """Every route with one flag per guard set: is a guard near its line."""
+    return _guarded_files(sources, guard_sets, radius).select(
         "project", "path", "lang_rank", "by_line", F.posexplode("facts").alias("pos", "r")
     ).select(
         "project",
@@ -338,37 +342,85 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def judged_routes(sources: DataFrame, config: DataFrame, dets: list[dict]) -> DataFrame:
-    """(project, ctl, ord, item, covered): every route under every guard detection."""
-    sets: list[tuple] = []
-    rows = []
+def _guard_rules(dets: list[dict]) -> tuple[list[list[str]], list[dict]]:
+    """Distinct guard sets, and distinct rules (guard set, excluded paths) with their controls."""
+    sets: list[list[str]] = []
+    rules: list[dict] = []
     for d in dets:
-        guards = _as_list(d["detection"].get("guard_patterns")) or list(V.DEFAULT_GUARDS)
-        key = tuple(guards + V.ALWAYS_GUARDS)
-        if key not in sets:
-            sets.append(key)
-        excluded = _as_list(d["detection"].get("exclude_path_patterns"))
-        rows.append({"ctl": d["ctl"], "set": sets.index(key), "excluded": [rx(p) for p in excluded]})
-    routes = routes_with_guards(sources, [list(s) for s in sets])
+        guards = (_as_list(d["detection"].get("guard_patterns")) or list(V.DEFAULT_GUARDS)) + V.ALWAYS_GUARDS
+        if guards not in sets:
+            sets.append(guards)
+        excluded = [rx(p) for p in _as_list(d["detection"].get("exclude_path_patterns"))]
+        same = [r for r in rules if r["set"] == sets.index(guards) and r["excluded"] == excluded]
+        if not same:
+            same = [{"rule": len(rules), "set": sets.index(guards), "excluded": excluded, "ctls": []}]
+            rules += same
+        same[0]["ctls"].append(d["ctl"])
+    return sets, rules
+
+
+def _judged_files(sources: DataFrame, config: DataFrame, sets: list[list[str]], rules: list[dict]) -> DataFrame:
+    """(project, path, lang_rank, rule, n, bad): the routes of a file a rule misses, as an array."""
+    files = _guarded_files(sources, sets, V.GUARD_RADIUS)
     public = config.select("project", F.transform("public_route_patterns", lambda p: F.concat(F.lit("(?Ud)"), p)).alias("public"))
-    joined = routes.join(public, "project", "left")
-    is_public = F.coalesce(F.exists("public", lambda p: F.rlike(F.col("route"), p)), F.lit(False))
-    item = F.concat("method", F.lit(" "), "route", F.lit(" ("), "source_file", F.lit(":"), F.col("line").cast("string"), F.lit(")"))
-    table = _struct_array(rows, "ctl:int,set:int,excluded:array")
-    return joined.select(
-        "project", "ord", "route", item.alias("item"), "guarded", is_public.alias("is_public"), F.explode(table).alias("c")
-    ).select(
-        "project", "ord", "item", "c.ctl",
-        (F.col("is_public") | F.get("guarded", F.col("c.set")) | F.exists("c.excluded", lambda p: F.rlike(F.col("route"), p))).alias("covered"),
+    joined = files.join(public, "project", "left")
+
+    def missed(rule: Column) -> Column:
+        def bare(r: Column) -> Column:
+            is_public = F.coalesce(F.exists("public", lambda p: F.rlike(r["route"], p)), F.lit(False))
+            excluded = F.exists(rule["excluded"], lambda p: F.rlike(r["route"], p))
+            return ~(is_public | F.get(F.element_at("by_line", r["line"]), rule["set"]) | excluded)
+
+        item = lambda r: F.concat(r["method"], F.lit(" "), r["route"], F.lit(" ("), F.col("path"), F.lit(":"), r["line"].cast("string"), F.lit(")"))
+        return F.transform(F.filter("facts", bare), item)
+
+    table = _struct_array(rules, "rule:int,set:int,excluded:array")
+    judged = F.transform(table, lambda c: F.struct(c["rule"].alias("rule"), missed(c).alias("bad")))
+    return joined.select("project", "path", "lang_rank", F.size("facts").alias("n"), F.explode(judged).alias("j")).select(
+        "project", "path", "lang_rank", "j.rule", "n", "j.bad"
     )
 
 
+def judged_routes(sources: DataFrame, config: DataFrame, dets: list[dict]) -> DataFrame:
+    """(project, ctl, source_file, item): every route a guard detection misses."""
+    sets, rules = _guard_rules(dets)
+    ctls = constant_map({r["rule"]: r["ctls"] for r in rules})
+    return _judged_files(sources, config, sets, rules).select(
+        "project", F.col("path").alias("source_file"), "rule", F.explode("bad").alias("item")
+    ).select("project", F.explode(ctls[F.col("rule")]).cast("int").alias("ctl"), "source_file", "item")
+
+
+GUARD_BUCKETS = 64
+
+
 def detect_route_guard(projects: DataFrame, sources: DataFrame, config: DataFrame, dets: list[dict]) -> DataFrame:
-    judged = judged_routes(sources, config, dets)
-    counts = judged.groupBy("project", "ctl").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("covered")).alias("bad"))
-    few = _first_few(judged.where(~F.col("covered")), ["project", "ctl"], ["ord"], "item")
-    base = _per_project(projects, [{"ctl": d["ctl"]} for d in dets], "ctl:int")
-    joined = base.join(counts, ["project", "ctl"], "left").join(few, ["project", "ctl"], "left")
+    """Counts and first offenders from one pass over the files.
+
+    A project is first summed in buckets of files, so that one with very many
+    files is spread over many tasks; the few rows kept per bucket are joined
+    up afterwards.
+    """
+    sets, rules = _guard_rules(dets)
+    bucket = F.pmod(F.xxhash64("path"), F.lit(GUARD_BUCKETS)).alias("bucket")
+    few = F.slice("bad", 1, V.UNCOVERED_SHOWN)
+    files = _judged_files(sources, config, sets, rules).select(
+        "project", "rule", bucket, "n", F.size("bad").alias("n_bad"), F.struct("lang_rank", "path", few.alias("items")).alias("f")
+    )
+    whole = Window.partitionBy("project", "rule", "bucket")
+    ranked = files.select(
+        "project", "rule", "f", "n_bad",
+        F.sum("n").over(whole).alias("n"),
+        F.sum("n_bad").over(whole).alias("bad"),
+        F.row_number().over(whole.orderBy(F.col("n_bad") == 0, "f")).alias("place"),
+    ).where(F.col("place") <= V.UNCOVERED_SHOWN)
+    first = F.col("place") == 1
+    firsts = F.array_sort(F.collect_list(F.when(F.col("n_bad") > 0, F.col("f"))))  # at most buckets x 3 files
+    counts = ranked.groupBy("project", "rule").agg(
+        F.sum(F.when(first, F.col("n"))).alias("n"), F.sum(F.when(first, F.col("bad"))).alias("bad"), firsts.alias("firsts")
+    )
+    found = counts.withColumn("uncovered", F.slice(F.flatten(F.transform("firsts", lambda f: f["items"])), 1, V.UNCOVERED_SHOWN))
+    asked = [{"ctl": c, "rule": r["rule"]} for r in rules for c in r["ctls"]]
+    joined = _per_project(projects, asked, "ctl:int,rule:int").join(found, ["project", "rule"], "left")
     none, n, bad = F.col("n").isNull(), F.col("n").cast("string"), F.col("bad").cast("string")
     verdict = F.when(none, "skipped").when(F.col("bad") == 0, "present").when(F.col("bad") == F.col("n"), "missing").otherwise("partial")
     message = (
