@@ -36,7 +36,8 @@ def sql_value(value) -> str:
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
     if isinstance(value, (list, tuple)):
-        return "CAST(array(" + ", ".join(map(sql_value, value)) + ") AS ARRAY<STRING>)"
+        kind = "INT" if value and all(isinstance(v, int) for v in value) else "STRING"
+        return "CAST(array(" + ", ".join(map(sql_value, value)) + f") AS ARRAY<{kind}>)"
     return str(value) if isinstance(value, (int, float)) else sql_text(value)
 
 

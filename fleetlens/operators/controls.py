@@ -387,7 +387,7 @@ def judged_routes(sources: DataFrame, config: DataFrame, dets: list[dict]) -> Da
     ctls = constant_map({r["rule"]: r["ctls"] for r in rules})
     return _judged_files(sources, config, sets, rules).select(
         "project", F.col("path").alias("source_file"), "rule", F.explode("bad").alias("item")
-    ).select("project", F.explode(ctls[F.col("rule")]).cast("int").alias("ctl"), "source_file", "item")
+    ).select("project", F.explode(ctls[F.col("rule")]).alias("ctl"), "source_file", "item")
 
 
 GUARD_BUCKETS = 64
