@@ -10,6 +10,7 @@ List columns are built as ``split('a,b', ',')``, which both engines accept.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import functions as F
@@ -487,8 +488,17 @@ FROM (SELECT project, path, lang, string_split(content, chr(10)) AS parts FROM c
 }
 
 
+_SOURCE = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)", re.IGNORECASE)
+
+
+@functools.cache
+def _sources(sql: str) -> frozenset[str]:
+    """Names a text reads from, found in one pass over it."""
+    return frozenset(_SOURCE.findall(sql))
+
+
 def _reads(sql: str, name: str) -> bool:
-    return re.search(rf"(?i)\b(?:FROM|JOIN)\s+{name}\b", sql) is not None
+    return name in _sources(sql)
 
 
 def closure(sql: str) -> list[str]:
