@@ -37,15 +37,20 @@ def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only if unset and local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    A session of one machine, as in tests, may leave it unset and gets a
+    scratch folder; any other master without the setting is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="fleetlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not hasattr(context, "_fleetlens_scratch"):
+        context._fleetlens_scratch = tempfile.mkdtemp(prefix="fleetlens-")
+    return context._fleetlens_scratch
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
