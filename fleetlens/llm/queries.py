@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, lexicon, prefixcount, tokenfile
+from . import common, lexicon, linefreq, prefixcount, rules, tokenfile
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(lexicon.encode_decode(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = common.shared_folder(spark, "tokens")
@@ -29,6 +33,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(manifest, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return prefixcount.digests(prefixcount.prefix_counts(docs, public_tokenizers.path(TOKENIZER)), TOKEN_LIMIT)
@@ -36,7 +44,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
+    "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -46,4 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_quality_rules": rules.ORACLE,
+        "op8_line_dedup": linefreq.ORACLE,
+    }

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,29 +48,33 @@ def encoder(vocabulary: str, kind: str) -> LibraryEncoder:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library; it sees each distinct blank-separated chunk once while the chunk is kept."""
+    """Ids by the tokenizers library; each distinct word and blank-separated chunk is encoded once while it is kept."""
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library, self.bpe, self.kind = wordbpe.library_at(path), wordbpe.load(path), kind
         self.library.no_truncation()
         self.library.no_padding()
-        self.ends = np.array([t.endswith(self.bpe.end) for t in self.bpe.tokens])
+        self.model, self.shown = self.library.model, dict(enumerate(wordbpe.byte_symbols()))
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def learn(self, fresh: list[str]) -> None:
-        """Ids of chunks not met before: the library gets their distinct words as one text and each word ends in an end-of-word id."""
+        """Ids of chunks not met before, from their words; the library's model gets each distinct word once while it is kept."""
+        words, pack = self.words, self.pack
+        wordbpe.forget_late(words, KEPT)
         groups = list(map(self.bpe.words, fresh))
-        words = list({w for group in groups for w in group})
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("the vocabulary's end-of-word marks don't tell words apart")
-        size, blob = ids.itemsize, ids.tobytes()
-        cuts = (ends * size).tolist()
-        known = {w: blob[start:end] for w, start, end in zip(words, [0, *cuts], cuts, strict=False)}
+        for group in groups:
+            for word in group:
+                if word not in words:
+                    symbols = word.encode().decode("latin-1").translate(self.shown)
+                    words[word] = pack([t.id for t in self.model.tokenize(symbols)])
         for chunk, group in zip(fresh, groups, strict=True):
-            self.chunks[chunk] = known[group[0]] if len(group) == 1 else b"".join([known[w] for w in group])
+            self.chunks[chunk] = words[group[0]] if len(group) == 1 else b"".join([words[w] for w in group])
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         bpe, chunks = self.bpe, self.chunks
