@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, lexicon, linefreq, prefixcount, rules, tokenfile
+from . import common, lexicon, linefreq, prefixcount, rules, suffixes, tokenfile
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lexicon.digests(lexicon.encode_decode(docs, public_tokenizers.path(TOKENIZER)))
@@ -43,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
