@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, lexicon, linefreq, prefixcount, rules, suffixes, tokenfile
+from . import bagminhash, common, lexicon, linefreq, prefixcount, rules, suffixes, tokenfile
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -26,6 +26,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(lexicon.encode_decode(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
     "op8_line_dedup": op8_line_dedup,
