@@ -14,10 +14,11 @@ texts agree in a component with exactly their weighted Jaccard similarity.
 
 Candidates: texts whose signatures agree in one band of ``ROWS`` components.
 Texts of equal multisets are one node.  In every bucket all nodes are
-compared with one hub; classes grow from the exact comparisons; what a
-bucket still holds of different classes is compared in further rounds until
-no pair of different classes is left, so no link between candidates is lost
-and no bucket ever emits all its pairs when they are copies of one another.
+compared with one hub, and classes grow from the exact comparisons.  Then the
+pairs of different classes that a bucket still holds are compared, in turns
+of a bounded number of pairs for each bucket; pairs of one class need no more
+comparison.  So no link between candidates is lost, and a bucket of copies
+never emits all its pairs.
 
 Texts without a word are equal only to the same text.  Null is the empty
 text.  Rows of one id and text are one node too; null ids take part and are
@@ -41,11 +42,10 @@ from . import common, components, wordhash
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
-ROWS = 4
+ROWS = 5
 SIZE = BANDS * ROWS
-#: A bucket's pairs of different classes are compared at once up to this number, else hub by hub.
-AT_ONCE = 1000
-HUBS = 32
+#: Pairs of a bucket that are compared in one turn at most; a bucket with more takes several turns.
+AT_ONCE = 20_000
 
 TICKS = 1 << 36  # of the unit of time
 NEVER = np.iinfo(np.int64).max
@@ -231,7 +231,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     rows = signed.select("key", "text_key", "node", "size")
     nodes = signed.where("size > 0").select("node", "size", "bands").dropDuplicates(["node"])
     entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
+    hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = hubs.select("bucket", "hub", (F.col("n") * F.col("n") / (2 * AT_ONCE)).cast("long").alias("turns"))
     members = common.stage(entries.join(hubs, "bucket"), "members")
     named = rows.groupBy("node").agg(F.min(F.struct("text_key", "key")).alias("one"))
     some = members.select("node").distinct().join(named, "node").select("node", F.col("one.text_key").alias("text_key"), F.col("one.key").alias("key"))
@@ -242,36 +243,28 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     sizes = members.select(F.col("node").alias("hub"), F.col("size").alias("size_b")).distinct()
     stars = members.where("node <> hub").select("node", "size", "hub").distinct().join(sizes, "hub")
     pairs = common.stage(_sized(stars.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub").alias("b"), "size_b"), similarity), "pairs")
-    edges = [common.stage(verified(pairs, bag, similarity), "edges")]
-    compared = [pairs]
-    while True:
-        found = edges[0]
-        for more in edges[1:]:
-            found = found.unionByName(more)
-        classes = components.components(found)
-        done = compared[0]
-        for more in compared[1:]:
-            done = done.unionByName(more)
-        rest = common.stage(_sized(_remaining(members, classes, len(compared)), similarity).join(done, ["a", "b"], "left_anti"), "pairs")
-        if rest.isEmpty():
-            return rows, classes
-        compared.append(rest)
-        edges.append(common.stage(verified(rest, bag, similarity), "edges"))
+    classes = components.components(common.stage(verified(pairs, bag, similarity), "edges"))
+    compared = pairs
+    for turn in range(1, 2 + (members.agg(F.max("turns")).first()[0] or 0)):
+        rest = _sized(_remaining(members, classes, turn), similarity).join(compared, ["a", "b"], "left_anti")
+        rest = common.stage(rest, "pairs")
+        links = common.stage(verified(rest, bag, similarity), "edges")
+        if not links.isEmpty():
+            classes = components.components(links.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+        compared = compared.unionByName(rest)
+    return rows, classes
 
 
 def _remaining(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one bucket and different classes: all of a small bucket; of a larger one those of some hubs, others each turn."""
-    at = members.select("bucket", "node", "size").join(classes.withColumnRenamed("class", "found"), "node", "left")
-    at = at.select("bucket", "node", "size", F.coalesce("found", "node").alias("class"))
-    per_class = at.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    live = per_class.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    live = live.select("bucket", ((F.col("n") * F.col("n") - F.col("same")) / 2 > AT_ONCE).alias("large"), (F.col("n") / HUBS).cast("long").alias("turns"))
+    """Pairs of one bucket and different classes: a bucket's nodes are dealt to its turns, and those of this turn meet all others."""
+    at = members.where(F.col("turns") >= turn - 1).join(classes.withColumnRenamed("class", "found"), "node", "left")
+    at = at.select("bucket", "node", "size", "turns", F.coalesce("found", "node").alias("class"))
+    live = at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
     at = at.join(live, "bucket")
-    # a large bucket's hubs of this turn: about HUBS nodes, every node in one of its turns
-    hub = ~F.col("large") | (F.pmod(F.xxhash64("node"), F.col("turns") + 1) == F.pmod(F.lit(turn).cast("long"), F.col("turns") + 1))
-    left = at.where(hub).select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), "large")
+    now = F.pmod(F.xxhash64("node"), F.col("turns") + 1) == F.lit(turn - 1).cast("long")
+    left = at.where(now).select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), "turns")
     right = at.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))
-    pairs = left.join(right, "bucket").where((F.col("class_a") != F.col("class_b")) & (F.col("large") | (F.col("a") < F.col("b"))))
+    pairs = left.join(right, "bucket").where((F.col("class_a") != F.col("class_b")) & ((F.col("turns") > 0) | (F.col("a") < F.col("b"))))
     return pairs.select("a", "size_a", "b", "size_b")
 
 
