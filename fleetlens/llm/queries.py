@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, common, lexicon, linefreq, prefixcount, rules, suffixes, tokenfile
+from . import bagminhash, common, lexicon, linefreq, prefixcount, quotes, rules, subwords, suffixes, tokenfile, urls
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -26,10 +26,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(lexicon.encode_decode(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return subwords.classify(docs, subwords.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.report(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +54,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.report(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return prefixcount.digests(prefixcount.prefix_counts(docs, public_tokenizers.path(TOKENIZER)), TOKEN_LIMIT)
@@ -53,10 +66,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
     "op8_line_dedup": op8_line_dedup,
+    "op9_chat_threads": op9_chat_threads,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -69,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": rules.ORACLE,
         "op8_line_dedup": linefreq.ORACLE,
+        "op9_chat_threads": quotes.ORACLE,
     }

@@ -36,9 +36,9 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     return _powers[name][:n]
 
 
-def hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words start (one place more than texts)."""
-    block = (b" ".join(t or b"" for t in texts) + b" ").translate(LOWER)
+def hashes(texts: list[bytes | None], fold: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order (``fold`` maps bytes, separators to a blank), and where each text's words start (one place more than texts)."""
+    block = (b" ".join(t or b"" for t in texts) + b" ").translate(fold)
     codes = np.frombuffer(block, np.uint8)
     inked = codes != _BLANK
     edge = np.diff(inked.view(np.int8), prepend=0)
