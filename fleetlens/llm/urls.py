@@ -4,8 +4,9 @@ A rule is a host and the beginning of a path; it fits its host and all
 subdomains, and the longest rule that fits wins.  Other urls are judged by
 the method: host and path are cut at punctuation, each piece is split into
 words by a unigram Viterbi search, and multinomial naive Bayes compares how
-often the words stand in urls that rules block or allow.  Words that the
-rules themselves name are no evidence.
+often the words stand in urls that rules block and in all others.  Words that
+the rules themselves name are no evidence; listed bad words count as a fixed
+share of the blocked words each.
 
 Word frequencies come from the titles of all pages; the most frequent
 ``WORDS`` (a stated bound) form the unigram model.  Urls are grouped by host
@@ -30,9 +31,9 @@ from . import common
 
 #: (verdict, host, path), as given for the production query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words that count as seen in this many blocked urls, besides what rules teach.
+#: Words known to be bad, and the share of all blocked words that each counts for.
 BLOCKED_WORDS = ("ads", "ad", "track", "tracker", "tracking", "casino", "porn", "adult", "spam", "pills", "viagra", "malware", "phishing", "popup")
-BLOCKED_WEIGHT = 50
+BLOCKED_SHARE = 0.02
 WORDS = 50_000
 LONGEST = 24
 #: Block if the words are at least so many times likelier in blocked urls.
@@ -116,16 +117,18 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     """(key, host, path, rule, verdict, odds) of every page."""
     parsed = ruled(parse(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), "url"), rules)
     parsed = parsed.withColumn("shape", F.regexp_replace("path", "[0-9]+", "0"))
-    shapes = common.stage(parsed.groupBy("host", "shape").agg(F.count_if(F.col("ruling") == "block").alias("blocked"), F.count_if(F.col("ruling") == "allow").alias("allowed")), "shapes")
+    shapes = common.stage(parsed.groupBy("host", "shape").agg(F.count_if(F.col("ruling") == "block").alias("blocked"), F.count_if(F.coalesce("ruling", F.lit("")) != "block").alias("others")), "shapes")
     words = common.stage(words_of(shapes, unigrams(pages, html)), "shape_words")
     named = sorted({w for _, host, path in rules for w in re.findall(r"\w+", host + path)})
     each = words.select("host", "shape", F.explode("words").alias("word")).where(~F.col("word").isin(named))
-    seen = each.join(shapes, ["host", "shape"]).groupBy("word").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    seeds = pages.sparkSession.createDataFrame([(w, BLOCKED_WEIGHT, 0) for w in BLOCKED_WORDS], "word string, b long, a long")
-    model = seen.unionByName(seeds).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).where("a + b > 0")
-    total = model.agg(F.sum("b").alias("sum_b"), F.sum("a").alias("sum_a"), F.count(F.lit(1)).alias("v"))
-    model = model.crossJoin(F.broadcast(total))  # one row
-    model = model.select("word", (F.log((F.col("b") + 1) / (F.col("sum_b") + F.col("v"))) - F.log((F.col("a") + 1) / (F.col("sum_a") + F.col("v")))).alias("weight"))
+    seen = each.join(shapes, ["host", "shape"]).groupBy("word").agg(F.sum("blocked").alias("b"), F.sum("others").alias("a"))
+    bad = F.col("word").isin(*BLOCKED_WORDS)
+    total = seen.agg(F.sum("b").alias("sum_b"), F.sum(F.when(~bad, F.col("a")).otherwise(0)).alias("sum_a"), F.count(F.lit(1)).alias("v"))
+    model = seen.crossJoin(F.broadcast(total))  # one row
+    blocked = F.col("b") + F.when(bad, F.col("sum_b") * BLOCKED_SHARE).otherwise(0.0)
+    others = F.when(bad, F.lit(0)).otherwise(F.col("a"))
+    sum_b = F.col("sum_b") * (1 + BLOCKED_SHARE * len(BLOCKED_WORDS))
+    model = model.select("word", (F.log((blocked + 1) / (sum_b + F.col("v"))) - F.log((others + 1) / (F.col("sum_a") + F.col("v")))).alias("weight"))
     odds = each.join(model, "word").groupBy("host", "shape").agg(F.sum("weight").alias("odds"))
     odds = odds.select(F.col("host").alias("h"), F.col("shape").alias("s"), "odds")
     scored = parsed.join(odds, (F.col("host") == F.col("h")) & (F.col("shape") == F.col("s")), "left")
