@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterable
 from os.path import commonprefix
 
 import numpy as np
@@ -29,8 +30,8 @@ from fleetlens.session import ship
 
 from . import common, wordbpe
 
-#: Distinct chunks, words and token pairs a worker keeps at a time.
-KEPT = 400_000
+#: Distinct words a worker keeps at a time; chunks and token pairs twice as many.
+KEPT = 300_000
 SPLIT_WHEN_CUT = ("'re", "'ve", "'ll")
 
 
@@ -68,16 +69,16 @@ class PrefixCounter:
 
     def word(self, word: str) -> list[int]:
         """Token count of each prefix of a word, as a word of its own."""
-        found = self.words.get(word)
-        if found is None:
+        if word not in self.words:
             self.count_words([word])
-            found = self.words.pop(word)
-        return found
+        return self.words[word]
 
-    def count_words(self, words: list[str]) -> None:
+    def count_words(self, words: Iterable[str]) -> None:
         """Put the counts of all words into ``words``; in sorted order each goes on from the prefix it shares with the one before."""
+        words = {w for w in words if w not in self.words}
+        cut = words.intersection(SPLIT_WHEN_CUT)
         last_text, counts, last, whole = b"", [0], [-1], [0]
-        for text, word in sorted((w.encode(), w) for w in {*words, *(w[1] for w in words if w in SPLIT_WHEN_CUT)}):
+        for text, word in sorted((w.encode(), w) for w in words | {w[1] for w in cut}):
             same = len(commonprefix((last_text, text)))
             del counts[same + 1 :], last[same + 1 :], whole[same + 1 :]
             for i in range(same + 1, len(text) + 1):
@@ -87,10 +88,9 @@ class PrefixCounter:
                 self.words[word] = whole[1:]
             else:
                 self.words[word] = [whole[i] for i in range(1, len(text) + 1) if i == len(text) or text[i] & 0xC0 != 0x80]
-        for word in words:
-            if word in SPLIT_WHEN_CUT:  # cut after its second character it is two words
-                counts = self.words[word]
-                self.words[word] = [counts[0], counts[0] + self.words[word[1]][0], counts[2]]
+        for word in cut:  # after its second character it is two words
+            counts = self.words[word]
+            self.words[word] = [counts[0], counts[0] + self.words[word[1]][0], counts[2]]
 
     def _next(self, text: bytes, i: int, counts: list[int], last: list[int], whole: list[int]) -> None:
         """Extend the table by the prefix of ``i`` bytes: inside a word, and as a whole word."""
@@ -148,12 +148,12 @@ class PrefixCounter:
         fresh = [c for c in chunks if c not in self.known]
         if not fresh:
             return
-        wordbpe.forget_late(self.known, KEPT)
-        self.count_words(list({w for c in fresh for w in self.bpe.words(c)}))
+        wordbpe.forget_late(self.known, 2 * KEPT)
+        wordbpe.forget_late(self.words, KEPT)
+        self.count_words({w for c in fresh for w in self.bpe.words(c)})
         for chunk in chunks:
             if chunk not in self.known:
                 self.known[chunk] = self.chunk(chunk)
-        self.words.clear()
 
     def plain(self, text: str) -> np.ndarray:
         """Counts of a text without special strings."""
