@@ -188,7 +188,7 @@ def test_urls(spark):
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
     assert found == {k: g[1:] for k, g in enumerate(given)}
     assert urls.judge(pages.where("false")).count() == 0
-    assert urls.Segmenter({"ring": 5, "the": 9, "thering": 1}).split("theringxx") == ["the", "ring", "x", "x"]
+    assert urls.Segmenter({"ring": 5, "the": 9, "thering": 1}).split("theringxx") == ["the", "ring", "xx"]  # one unknown word is likelier than two
 
 
 def test_quotes(spark):
