@@ -244,8 +244,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     stars = members.where("node <> hub").select("node", "size", "hub").distinct().join(sizes, "hub")
     pairs = common.stage(_sized(stars.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub").alias("b"), "size_b"), similarity), "pairs")
     classes = components.components(common.stage(verified(pairs, bag, similarity), "edges"))
-    compared = pairs
-    for turn in range(1, 2 + (members.agg(F.max("turns")).first()[0] or 0)):
+    compared, turn = pairs, 0
+    while turn < _turns(members, classes):  # buckets whose nodes have become one class need no more turns
+        turn += 1
         rest = _sized(_remaining(members, classes, turn), similarity).join(compared, ["a", "b"], "left_anti")
         rest = common.stage(rest, "pairs")
         links = common.stage(verified(rest, bag, similarity), "edges")
@@ -255,12 +256,27 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     return rows, classes
 
 
+def _classed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members with their class so far; a node without links is its own."""
+    at = members.join(classes.withColumnRenamed("class", "found"), "node", "left")
+    return at.select("bucket", "node", "size", "turns", F.coalesce("found", "node").alias("class"))
+
+
+def _live(at: DataFrame) -> DataFrame:
+    """(bucket, turns) of the buckets that hold several classes."""
+    return at.groupBy("bucket", "turns").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket", "turns")
+
+
+def _turns(members: DataFrame, classes: DataFrame) -> int:
+    """Turns that some bucket with several classes still asks for, counted from the first."""
+    most = _live(_classed(members, classes)).agg(F.max("turns")).first()[0]
+    return 0 if most is None else 1 + most
+
+
 def _remaining(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """Pairs of one bucket and different classes: a bucket's nodes are dealt to its turns, and those of this turn meet all others."""
-    at = members.where(F.col("turns") >= turn - 1).join(classes.withColumnRenamed("class", "found"), "node", "left")
-    at = at.select("bucket", "node", "size", "turns", F.coalesce("found", "node").alias("class"))
-    live = at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
-    at = at.join(live, "bucket")
+    at = _classed(members.where(F.col("turns") >= turn - 1), classes)
+    at = at.join(_live(at).select("bucket"), "bucket")
     now = F.pmod(F.xxhash64("node"), F.col("turns") + 1) == F.lit(turn - 1).cast("long")
     left = at.where(now).select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), "turns")
     right = at.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))
