@@ -34,6 +34,8 @@ LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 64
 #: Distinct words a worker keeps at a time.
 KEPT = 500_000
+#: Levels of counts in each power of two.
+LEVELS = 16
 MAGIC = np.frombuffer(b"lexicon1", "<i8")
 
 
@@ -68,8 +70,15 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", size: in
         yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    total = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return total.orderBy(F.desc("n"), "word").limit(size)
+    total = common.stage(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    # the least level of counts that is needed, so that no task sends words that can't be chosen
+    level = F.floor(LEVELS * F.log2("n"))
+    chosen = least = 0
+    for row in total.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():  # 64 * LEVELS rows at most
+        chosen, least = chosen + row.words, row.level
+        if chosen >= size:
+            break
+    return total.where(level >= least).orderBy(F.desc("n"), "word").limit(size)
 
 
 # -- the automaton
@@ -174,9 +183,9 @@ def mapped(path: str) -> Lexicon:
     return Lexicon(path)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(vocabulary: str, lexicon: str) -> Encoder:
-    """One encoder for each worker process; what it has met serves later tasks."""
+    """One encoder for each worker process; what it has met serves later tasks, the one of an earlier lexicon is dropped."""
     return Encoder(wordbpe.load(vocabulary), mapped(lexicon))
 
 
@@ -251,7 +260,12 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, key: str = "doc_id", t
     return source.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
+def decoded(tokens: list[str], ids: np.ndarray) -> str:
+    """The vocabulary's strings of some ids, joined by one space."""
+    return " ".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def decode(encoded: DataFrame,tokenizer: str, key: str = "doc_id") -> DataFrame:
     """(key, ids, decoded): the vocabulary's strings of the ids, special ones too, joined by one space."""
     spark = encoded.sparkSession
     vocabulary = common.send_path(spark, tokenizer)
@@ -261,7 +275,7 @@ def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                texts = [" ".join(map(tokens.__getitem__, row.tolist())) for row in batch.column("ids").to_numpy(zero_copy_only=False)]
+                texts = [decoded(tokens, row) for row in batch.column("ids").to_numpy(zero_copy_only=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), pa.array(texts, pa.string())], ["key", "ids", "decoded"])
 
     ship(spark)
@@ -271,9 +285,25 @@ def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every text's ids and the text they decode to, with a lexicon of this corpus."""
+    """(key, ids, decoded): every text's ids and the text they decode to, with a lexicon of this corpus.
+
+    One worker does both, so ids cross to Python only once.
+    """
+    spark = docs.sparkSession
     lexicon = build(docs, tokenizer, text)
-    return decode(encode(docs, tokenizer, lexicon, key, text), tokenizer, key)
+    vocabulary = common.send_path(spark, tokenizer)
+
+    def run(batches):
+        known = encoder(common.local_file(vocabulary), common.local_file(lexicon))
+        for batch in common.slices(batches, "text", 1 << 20):
+            rows = known.encode(batch.column("text").to_pylist())
+            texts = pa.array([decoded(known.bpe.tokens, np.frombuffer(r, "<i4")) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), id_lists(rows), texts], ["key", "ids", "decoded"])
+
+    ship(spark)
+    kind = docs.schema[key].dataType.simpleString()
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
