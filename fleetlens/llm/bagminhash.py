@@ -14,11 +14,23 @@ texts agree in a component with exactly their weighted Jaccard similarity.
 
 Candidates: texts whose signatures agree in one band of ``ROWS`` components.
 Texts of equal multisets are one node.  In every bucket all nodes are
-compared with one hub, and classes grow from the exact comparisons.  Then the
-pairs of different classes that a bucket still holds are compared, in turns
-of a bounded number of pairs for each bucket; pairs of one class need no more
-comparison.  So no link between candidates is lost, and a bucket of copies
-never emits all its pairs.
+compared with one hub: first each node with the least of its hubs, then,
+where the classes still differ, with its other hubs.  Then the pairs of
+different classes that a bucket still holds are compared, in turns of a
+bounded number of pairs for each bucket; pairs of one class need no more
+comparison, and a bucket of copies never emits all its pairs.
+
+In that last step a pair has to share three bands: similar texts share ten of
+32 on average, and less than three in 4 of 10,000 cases at similarity 0.8
+exactly (2 of a million at 0.85).  Then two of a node's buckets may be passed
+over, and those of most members are, since a pair that shares three keeps its
+rarest.  This is what a passage in very many otherwise different texts needs:
+its buckets are the large ones.
+
+Before texts are compared, their sketches are (one byte of each component):
+a pair that agrees in less than ``AGREE`` of 160 is five standard deviations
+below a similarity of 0.8.  So only texts that are likely similar are read
+again and compared exactly.
 
 Texts without a word are equal only to the same text.  Null is the empty
 text.  Rows of one id and text are one node too; null ids take part and are
@@ -46,6 +58,10 @@ ROWS = 5
 SIZE = BANDS * ROWS
 #: Pairs of a bucket that are compared in one turn at most; a bucket with more takes several turns.
 AT_ONCE = 20_000
+#: Components that the sketches of a similar pair share at least: 128 are expected, the deviation is 5.
+AGREE = 101
+#: Bands that a pair has to share when it meets neither in a hub.
+SHARED = 3
 
 TICKS = 1 << 36  # of the unit of time
 NEVER = np.iinfo(np.int64).max
@@ -168,23 +184,25 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text_key, node, size, bands) of every row."""
+    """(key, text_key, node, size, bands, sketch) of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in common.slices(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             owner, value, count = shingles(texts)
-            keys = band_keys(signatures(owner, value, count, len(texts))).view(np.int64)
+            signature = signatures(owner, value, count, len(texts))
+            keys = band_keys(signature).view(np.int64)
+            sketch = pa.array([row.tobytes() for row in wordhash.mix(signature.view(np.uint64)).astype(np.uint8)], pa.binary())
             size = np.bincount(owner, count, len(texts)).astype(np.int64)
             ends = np.cumsum([0, *np.where(size > 0, BANDS, 0)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[size > 0].ravel()))
             node = pa.array(fingerprints(texts, owner, value, count).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_key"), node, pa.array(size), bands], ["key", "text_key", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_key"), node, pa.array(size), bands, sketch], ["key", "text_key", "node", "size", "bands", "sketch"])
 
     source = _texts(docs, key, text)
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, text_key long, node long, size long, bands array<long>")
+    return source.mapInArrow(run, f"key {kind}, text_key long, node long, size long, bands array<long>, sketch binary")
 
 
 def bags(texts: DataFrame) -> DataFrame:
@@ -225,58 +243,106 @@ def _sized(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule out the similarity."""
+    least = AGREE - SIZE * (SIMILARITY - similarity) if similarity < SIMILARITY else AGREE
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sketch_a", "sketch_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least, pa.bool_()))
+
+    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are not of one class."""
+    for side in ("a", "b"):
+        found = classes.select(F.col("node").alias(side), F.col("class").alias(f"class_{side}"))
+        pairs = pairs.join(found, side, "left").withColumn(f"class_{side}", F.coalesce(f"class_{side}", side))
+    return pairs.where("class_a <> class_b").drop("class_a", "class_b")
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links."""
+    if links.isEmpty():
+        return classes
+    return components.components(links.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows: key, text_key, node, size; classes: node, class for nodes in a class of more than one)."""
     signed = common.stage(sign(docs, key, text), "signatures")
     rows = signed.select("key", "text_key", "node", "size")
     nodes = signed.where("size > 0").select("node", "size", "bands").dropDuplicates(["node"])
+    sketches = signed.where("size > 0").select("node", "sketch").dropDuplicates(["node"])
+    named = rows.groupBy("node").agg(F.min(F.struct("text_key", "key")).alias("one"))
+    named = named.select("node", F.col("one.text_key").alias("k"), F.col("one.key").alias("i"))
+
+    def bags_of(pairs: DataFrame) -> DataFrame:
+        """The multisets of the nodes of some pairs, each from one of its texts."""
+        some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(named, "node")
+        texts = _texts(docs, key, text)
+        wanted = texts.join(some, (F.col("text_key") == F.col("k")) & F.col("key").eqNullSafe(F.col("i")))
+        return common.stage(bags(wanted.dropDuplicates(["node"])), "bags")
+
     entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hubs = hubs.select("bucket", "hub", (F.col("n") * F.col("n") / (2 * AT_ONCE)).cast("long").alias("turns"))
     members = common.stage(entries.join(hubs, "bucket"), "members")
-    named = rows.groupBy("node").agg(F.min(F.struct("text_key", "key")).alias("one"))
-    some = members.select("node").distinct().join(named, "node").select("node", F.col("one.text_key").alias("text_key"), F.col("one.key").alias("key"))
-    texts = _texts(docs, key, text)
-    wanted = texts.join(some.select("node", F.col("text_key").alias("k"), F.col("key").alias("i")), (F.col("text_key") == F.col("k")) & F.col("key").eqNullSafe(F.col("i")))
-    bag = common.stage(bags(wanted).dropDuplicates(["node"]), "bags")
 
-    sizes = members.select(F.col("node").alias("hub"), F.col("size").alias("size_b")).distinct()
+    sizes = members.where("node = hub").select("hub", F.col("size").alias("size_b")).distinct()
     stars = members.where("node <> hub").select("node", "size", "hub").distinct().join(sizes, "hub")
-    pairs = common.stage(_sized(stars.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub").alias("b"), "size_b"), similarity), "pairs")
-    classes = components.components(common.stage(verified(pairs, bag, similarity), "edges"))
-    compared, turn = pairs, 0
-    while turn < _turns(members, classes):  # buckets whose nodes have become one class need no more turns
+    stars = _sized(stars.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub").alias("b"), "size_b"), similarity)
+    near = common.stage(alike(stars, sketches, similarity), "pairs")  # a is the hub: it is the least of its bucket
+    bag = bags_of(near)
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    classes = components.components(common.stage(verified(first, bag, similarity), "edges"))
+    others = _apart(near.join(first, ["a", "b"], "left_anti"), classes)
+    classes = _joined(classes, common.stage(verified(others, bag, similarity), "edges"))
+
+    live = _live(_classed(members.select("bucket", "node", "size", "n"), classes))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "bucket"))
+    rarer = members.select("bucket", "node", "size", "n").join(live, "bucket").withColumn("place", place).where(F.col("place") >= SHARED)
+    rarer = common.stage(rarer.select("bucket", "node", "size"), "rarer")
+    held = rarer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    turns = (F.col("n") * F.col("n") / (2 * AT_ONCE)).cast("long").alias("turns")
+    left = common.stage(rarer.join(held.select("bucket", turns), "bucket"), "members")
+    compared, turn = near, 0
+    while turn < _turns(left, classes):  # buckets whose nodes have become one class need no more turns
         turn += 1
-        rest = _sized(_remaining(members, classes, turn), similarity).join(compared, ["a", "b"], "left_anti")
-        rest = common.stage(rest, "pairs")
-        links = common.stage(verified(rest, bag, similarity), "edges")
-        if not links.isEmpty():
-            classes = components.components(links.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b"))))
-        compared = compared.unionByName(rest)
+        rest = _sized(_remaining(left, classes, turn), similarity)
+        rest = common.stage(alike(rest, sketches, similarity).join(compared, ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            classes = _joined(classes, common.stage(verified(rest, bags_of(rest), similarity), "edges"))
+            compared = compared.unionByName(rest)
     return rows, classes
 
 
 def _classed(members: DataFrame, classes: DataFrame) -> DataFrame:
     """The members with their class so far; a node without links is its own."""
-    at = members.join(classes.withColumnRenamed("class", "found"), "node", "left")
-    return at.select("bucket", "node", "size", "turns", F.coalesce("found", "node").alias("class"))
+    return members.join(classes.withColumnRenamed("class", "found"), "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found")
 
 
 def _live(at: DataFrame) -> DataFrame:
-    """(bucket, turns) of the buckets that hold several classes."""
-    return at.groupBy("bucket", "turns").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket", "turns")
+    """The buckets that hold several classes."""
+    return at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
 
 
 def _turns(members: DataFrame, classes: DataFrame) -> int:
     """Turns that some bucket with several classes still asks for, counted from the first."""
-    most = _live(_classed(members, classes)).agg(F.max("turns")).first()[0]
+    at = _classed(members, classes).groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("turns").alias("turns"))
+    most = at.where("x < y").agg(F.max("turns")).first()[0]
     return 0 if most is None else 1 + most
 
 
 def _remaining(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """Pairs of one bucket and different classes: a bucket's nodes are dealt to its turns, and those of this turn meet all others."""
     at = _classed(members.where(F.col("turns") >= turn - 1), classes)
-    at = at.join(_live(at).select("bucket"), "bucket")
+    at = at.join(_live(at), "bucket")
     now = F.pmod(F.xxhash64("node"), F.col("turns") + 1) == F.lit(turn - 1).cast("long")
     left = at.where(now).select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), "turns")
     right = at.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))

@@ -122,6 +122,20 @@ def test_signature_estimate_is_unbiased():
     assert abs(np.mean(shares)) < 0.02
 
 
+def test_near_duplicates_around_a_common_passage(spark):
+    rng = np.random.default_rng(11)
+    passage = [f"p{x}" for x in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+        rows.append((2 * k, " ".join(own[:20] + passage + own[20:])))
+        if k % 3 == 0:  # a copy with another last word
+            rows.append((2 * k + 1, " ".join(own[:20] + passage + own[20:39] + ["else"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in bagminhash.report(docs).collect()}
+    assert found == {key: key - key % 2 for key, _ in rows}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     kept = bagminhash.keep_one(odd)
     assert kept.columns == odd.columns
