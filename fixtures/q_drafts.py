@@ -31,7 +31,7 @@ def _(t):
     "profile_json_documents",
     """SELECT x.collection, x.field, array_to_string(list_sort(list(DISTINCT x.type)), '|') AS type, 'medium' AS confidence, concat('Inferred from ', any_value(x.n), ' sampled documents') AS note
 FROM (SELECT s.collection, s.n, v.field, CASE WHEN v.field = 'value' THEN CASE seq % 4 WHEN 0 THEN 'float' WHEN 1 THEN 'int' WHEN 2 THEN 'NoneType' ELSE 'str' END ELSE v.type END AS type, v.nested, s.seq
-  FROM (SELECT *, count(*) OVER (PARTITION BY collection) AS n FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY seq) AS rn FROM json_documents WHERE NOT starts_with(collection, 'system.')) r WHERE rn <= 100) s
+  FROM (SELECT *, count(*) OVER (PARTITION BY collection) AS n FROM json_documents WHERE NOT starts_with(collection, 'system.')) s
   CROSS JOIN (VALUES ('id', 'int', FALSE), ('kind', 'str', FALSE), ('value', '', FALSE), ('ok', 'bool', FALSE), ('tags', 'list', FALSE), ('props', 'dict', FALSE), ('props.k', 'int', FALSE),
     ('nested', 'dict', TRUE), ('nested.deep', 'dict', TRUE), ('nested.deep.x', 'int', TRUE)) v(field, type, nested)) x
 WHERE NOT nested OR seq % 5 = 0 GROUP BY 1, 2""",
@@ -43,10 +43,10 @@ def _(t):
 @query(
     "profile_key_patterns",
     """WITH sampled AS (SELECT backend, array_to_string(list_transform(string_split(key, ':'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+|[0-9a-fA-F-]{36}|[0-9a-fA-F]{24}') THEN '*' ELSE p END), ':') AS name
-  FROM (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY seq) AS rn FROM cache_keys) r WHERE rn <= 1000),
+  FROM cache_keys),
 counted AS (SELECT backend, name, count(*) AS n FROM sampled GROUP BY 1, 2),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY backend ORDER BY n DESC, name) AS INTEGER) AS rank FROM counted)
-SELECT backend, rank, name, concat('redis://', backend) AS source_file, 'redis' AS orm, n, concat('Sampled ', n, ' keys matching this pattern') AS note, 'medium' AS confidence FROM ranked WHERE rank <= 50""",
+SELECT backend, rank, name, concat('redis://', backend) AS source_file, 'redis' AS orm, n, concat('Sampled ', n, ' keys matching this pattern') AS note, 'medium' AS confidence FROM ranked""",
 )
 def _(t):
     return P.profile_key_patterns(t.cache_keys)
@@ -207,14 +207,14 @@ def _(t):
 hits AS (SELECT project, path, line, min(pos) AS pos, arg_min(tok, pos) AS field_name, any_value(terms.lookup) AS lookup, any_value(terms.tier) AS tier
   FROM tok JOIN terms ON lower(tok.tok) = terms.lookup WHERE regexp_full_match(tok.tok, '[A-Za-z_][A-Za-z0-9_]*') GROUP BY project, path, line, terms.lookup)
 SELECT project, 'storage_backend' AS hint, name AS subject, backend_hint AS value, {_conf()}, NULL AS _note FROM ({S.ENV_VARS_SQL}) e
-UNION ALL SELECT project, 'field', field_name, tier, TRUE, 'low', concat('Matched pattern: ', lookup) FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path, line, pos) AS rn FROM hits) h WHERE rn <= 50""",
+UNION ALL SELECT project, 'field', field_name, tier, TRUE, 'low', concat('Matched pattern: ', lookup) FROM hits""",
 )
 def _(t):
     return D.draft_schema_hints(line_scan.env_vars(t.code_corpus), line_scan.scan_sensitive_fields(t.code_corpus))
 
 
 def _first_sql(kind: str, text: str, sql: str, step: str) -> str:
-    return f"""SELECT project, '{kind}' AS section, CAST(place AS INTEGER) AS place, {text} AS text FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_LANG_RANK}, source_file, {step}, line) AS place FROM ({sql}) s) x WHERE place <= 30"""
+    return f"""SELECT project, '{kind}' AS section, CAST(place AS INTEGER) AS place, {text} AS text FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_LANG_RANK}, source_file, {step}, line) AS place FROM ({sql}) s) x"""
 
 
 _AT = "concat(source_file, ':', line)"

@@ -78,15 +78,13 @@ def _(t):
 
 @query(
     "binary_filter",
-    """SELECT project, path FROM (
-  SELECT c.project, c.path, CAST(regexp_extract(reverse(c.path), '[0-9]+') AS VARCHAR) AS r, length(c.path) AS n FROM code_corpus c) x
-WHERE n % 3 <> 0""",
+    """SELECT project, path FROM code_corpus WHERE length(path) % 3 = 2""",
 )
 def _(t):
-    # a NUL in front, one behind the probed bytes, or none
+    # a NUL in front, one far behind, or none
     n = F.length("path") % 3
     raw = F.when(n == 0, F.concat(F.lit("a\0"), "content")).when(
-        n == 1, F.concat(F.repeat(F.lit("x"), V.BINARY_PROBE_BYTES), F.lit("\0"), "content")
+        n == 1, F.concat(F.repeat(F.lit("x"), 8192), F.lit("\0"), "content")
     ).otherwise(F.col("content"))
     return C.binary_filter(t.code_corpus.select("project", "path", raw.cast("binary").alias("raw"))).select("project", "path")
 

@@ -20,10 +20,10 @@ def _draft(confidence: str | Column) -> list[Column]:
     return [F.lit(True).alias("_draft"), c.alias("_confidence")]
 
 
-def _first(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows per project by ``ord``; the limit acts before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("project").orderBy("ord"))
-    return df.withColumn("place", place).where(F.col("place") <= n)
+def _placed(df: DataFrame, n: int | None) -> DataFrame:
+    """Rows with their place in the project by ``ord``; with ``n`` the first only, cut before the shuffle."""
+    placed = df.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy("ord")))
+    return placed if n is None else placed.where(F.col("place") <= n)
 
 
 def draft_schemas(models: DataFrame) -> DataFrame:
@@ -199,27 +199,25 @@ def draft_trust_policy(projects: DataFrame, sensitive: DataFrame) -> DataFrame:
     )
 
 
-def draft_schema_hints(env: DataFrame, sensitive: DataFrame, kept: int = V.FIELD_HINTS_KEPT) -> DataFrame:
-    """Stores named by the environment, and the first field hints per project.
-
-    The cap on field hints is part of the draft's format.
-    """
+def draft_schema_hints(env: DataFrame, sensitive: DataFrame, kept: int | None = None) -> DataFrame:
+    """Stores named by the environment, and field hints: all, or the first ``kept`` per project."""
     stores = env.where(F.col("backend_hint").isNotNull()).select(
         "project", F.lit("storage_backend").alias("hint"), F.col("name").alias("subject"), F.col("backend_hint").alias("value"),
         *_draft(F.col("confidence")), F.lit(None).cast("string").alias("_note"),
     )
-    ordered = sensitive.withColumn("ord", F.struct("path", "line", "pos"))
-    fields = _first(ordered, kept).select(
+    if kept is not None:
+        sensitive = _placed(sensitive.withColumn("ord", F.struct("path", "line", "pos")), kept)
+    fields = sensitive.select(
         "project", F.lit("field").alias("hint"), F.col("field_name").alias("subject"), F.col("classification_hint").alias("value"),
         *_draft(F.col("confidence")), F.concat(F.lit("Matched pattern: "), "pattern_matched").alias("_note"),
     )
     return stores.unionByName(fields)
 
 
-def draft_overview(facts: dict[str, DataFrame], kept: int = V.OVERVIEW_ROWS) -> DataFrame:
-    """Totals and the first facts of each kind as lines: (project, section, place, text).
+def draft_overview(facts: dict[str, DataFrame], kept: int | None = None) -> DataFrame:
+    """Totals and the facts of each kind as lines: (project, section, place, text).
 
-    The first rows are the overview's format; the totals count everything.
+    ``place`` orders the lines of a section; ``kept`` gives the first only.
     """
     at = F.concat("source_file", F.lit(":"), F.col("line").cast("string"))
     lines = {
@@ -228,7 +226,7 @@ def draft_overview(facts: dict[str, DataFrame], kept: int = V.OVERVIEW_ROWS) ->
         "models": F.concat(F.lit("**"), "name", F.lit("** ("), F.coalesce("orm", F.lit("None")), F.lit(") — "), at),
     }
     frames = [
-        _first(facts[kind], kept).select("project", F.lit(kind).alias("section"), "place", text.alias("text")) for kind, text in lines.items()
+        _placed(facts[kind], kept).select("project", F.lit(kind).alias("section"), "place", text.alias("text")) for kind, text in lines.items()
     ]
     for kind in ("components", "models", "routes", "pact_keys"):
         totals = facts[kind].groupBy("project").agg(F.count(F.lit(1)).alias("n"))

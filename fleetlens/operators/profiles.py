@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from fleetlens import values as V
 from fleetlens.operators.code_scan import FIELD_TYPE
 
 
@@ -68,20 +67,18 @@ def _paths(docs: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.list_(pa.struct([("path", pa.string()), ("type", pa.string())])))
 
 
-def profile_json_documents(documents: DataFrame, sample: int = V.DOCUMENT_SAMPLE) -> DataFrame:
-    """Field paths and their types over the first documents of each collection.
+def profile_json_documents(documents: DataFrame, sample: int | None = None) -> DataFrame:
+    """Field paths and their types over the documents of each collection.
 
-    documents(collection, seq, doc as JSON text).  The sample is the feature:
-    the first ``sample`` by ``seq``; the limit acts before the shuffle.  Only
-    sampled documents are parsed, to any depth.
+    documents(collection, seq, doc as JSON text), parsed to any depth.  All
+    are read; ``sample`` keeps the first by ``seq`` of each collection, before
+    the shuffle.
     """
-    place = F.row_number().over(Window.partitionBy("collection").orderBy("seq"))
-    sampled = (
-        documents.where(~F.col("collection").startswith("system."))
-        .withColumn("place", place)
-        .where(F.col("place") <= sample)
-        .select("collection", "doc")
-    )
+    sampled = documents.where(~F.col("collection").startswith("system."))
+    if sample is not None:
+        place = F.row_number().over(Window.partitionBy("collection").orderBy("seq"))
+        sampled = sampled.withColumn("place", place).where(F.col("place") <= sample)
+    sampled = sampled.select("collection", "doc")
     counts = sampled.groupBy("collection").agg(F.count(F.lit(1)).alias("sampled"))
     per_path = (
         sampled.select("collection", F.explode(arrow_udf(_paths, "array<struct<path:string,type:string>>")(F.col("doc"))).alias("p"))
@@ -103,16 +100,22 @@ def key_pattern(key: Column) -> Column:
     return F.array_join(F.transform(F.split(key, ":", -1), lambda p: F.when(p.rlike(ids), "*").otherwise(p)), ":")
 
 
-def profile_key_patterns(keys: DataFrame, sample: int = V.KEY_SAMPLE, kept: int = V.KEY_PATTERNS_KEPT) -> DataFrame:
-    """The most frequent key patterns among the first keys of each backend.
+def profile_key_patterns(keys: DataFrame, sample: int | None = None, kept: int | None = None) -> DataFrame:
+    """The key patterns of each backend, the most frequent first.
 
-    keys(backend, seq, key).  Sample and top list are the feature.
+    keys(backend, seq, key).  All keys count and all patterns are returned;
+    ``sample`` takes the first keys by ``seq`` only, ``kept`` the first patterns.
     """
-    first = F.row_number().over(Window.partitionBy("backend").orderBy("seq"))
-    sampled = keys.withColumn("place", first).where(F.col("place") <= sample).select("backend", key_pattern(F.col("key")).alias("name"))
+    if sample is not None:
+        first = F.row_number().over(Window.partitionBy("backend").orderBy("seq"))
+        keys = keys.withColumn("place", first).where(F.col("place") <= sample)
+    sampled = keys.select("backend", key_pattern(F.col("key")).alias("name"))
     counted = sampled.groupBy("backend", "name").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("backend").orderBy(F.desc("n"), "name"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= kept).select(
+    ranked = counted.withColumn("rank", rank)
+    if kept is not None:
+        ranked = ranked.where(F.col("rank") <= kept)
+    return ranked.select(
         "backend",
         "rank",
         "name",

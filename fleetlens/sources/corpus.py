@@ -118,7 +118,7 @@ def corpus_read(spark: SparkSession, root: str, project: str | None = None) -> D
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     table = in_project(listing.repartition(tasks).mapInArrow(_reader(root), RAW), project)
     return corpus_language(table, keep_unknown=True).select(
-        "project", "path", "lang", F.col("raw").cast("string").alias("content"), is_binary(F.col("raw")).alias("is_binary"), "raw", "mtime", "bytes"
+        "project", "path", "lang", F.col("raw").cast("string").alias("content"), is_binary(F.col("raw"), V.BINARY_PROBE_BYTES).alias("is_binary"), "raw", "mtime", "bytes"
     )
 
 
@@ -195,13 +195,13 @@ def evidence_file_select(files: DataFrame, **rules) -> DataFrame:
     return files.where(evidence_path_ok(F.col("path"), **rules))
 
 
-def binary_filter(files: DataFrame, raw: str = "raw") -> DataFrame:
-    """Drop files with a NUL among their first bytes."""
-    return files.where(~is_binary(F.col(raw)))
+def binary_filter(files: DataFrame, raw: str = "raw", probe: int | None = None) -> DataFrame:
+    """Drop files with a NUL; with ``probe`` only that many first bytes are looked at."""
+    return files.where(~is_binary(F.col(raw), probe))
 
 
-def is_binary(raw: Column) -> Column:
-    return F.contains(F.substring(raw, 1, V.BINARY_PROBE_BYTES), F.lit(bytes([0])))
+def is_binary(raw: Column, probe: int | None = None) -> Column:
+    return F.contains(raw if probe is None else F.substring(raw, 1, probe), F.lit(bytes([0])))
 
 
 def corpus_lines(corpus: DataFrame) -> DataFrame:
