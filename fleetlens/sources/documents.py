@@ -20,10 +20,18 @@ except ImportError:  # pragma: no cover - YAML sources need it on the executors
     yaml = None
 
 
-def _load(text: str):
+def _needs_yaml() -> None:
+    """Fails the job where PyYAML is missing: no document is called broken for that."""
     if yaml is None:
         raise RuntimeError("reading YAML sources needs PyYAML on the executors")
-    return yaml.safe_load(text)
+
+
+def _keyed(value):
+    """The same value with keys that JSON can hold, others as text."""
+    if isinstance(value, dict):
+        plain = (str, int, float, bool, type(None))
+        return {k if isinstance(k, plain) else str(k): _keyed(v) for k, v in value.items()}
+    return [_keyed(v) for v in value] if isinstance(value, list) else value
 
 
 def _plain(value):
@@ -34,10 +42,11 @@ def _plain(value):
 
 
 def _yaml_json(texts: pa.Array) -> pa.Array:
+    _needs_yaml()
     out = []
     for text in texts.to_pylist():
         try:
-            body = json.dumps(_load(text or ""), default=_plain, ensure_ascii=False, allow_nan=True)
+            body = json.dumps(_keyed(yaml.safe_load(text or "")), default=_plain, ensure_ascii=False, allow_nan=True)
             out.append({"ok": True, "body": body})
         except Exception:  # any unreadable document counts as broken
             out.append({"ok": False, "body": None})
@@ -81,7 +90,7 @@ def _text(body: Column, path: str) -> Column:
 
 def _as_map(body: Column) -> Column:
     """Top-level members as JSON texts; NULL unless the document is an object."""
-    return F.when(body.startswith("{"), F.from_json(body, "map<string,string>"))
+    return F.when(F.ltrim(body, F.lit(" \t\r\n")).startswith("{"), F.from_json(body, "map<string,string>"))
 
 
 # --- registries -------------------------------------------------------------------
@@ -236,10 +245,11 @@ def _flatten(node, prefix: str = ""):
 
 
 def _yaml_values(texts: pa.Array) -> pa.Array:
+    _needs_yaml()
     out = []
     for text in texts.to_pylist():
         try:
-            data = _load(text or "")
+            data = yaml.safe_load(text or "")
         except Exception:  # an unreadable file has no keys
             data = None
         out.append(list(_flatten(data)) if isinstance(data, dict) else [])

@@ -160,3 +160,12 @@ def test_openapi_odd_documents(spark):
     assert got == [("/y", "GET", "get_/y"), ("/y", "TRACE", "t")]
     got = [tuple(r) for r in openapi_components(df).orderBy("ord").select("name", "public_methods", "note").collect()]
     assert got == [("unknown", ["get_/y", "t"], "Discovered from OpenAPI spec: unknown"), ("T", [], "Discovered from OpenAPI spec: unknown")]
+
+
+def test_yaml_with_date_keys_and_manifests_with_leading_blanks(corpus):
+    from fleetlens.sources.documents import manifest_read, yaml_documents
+
+    row = yaml_documents(corpus({"a.yaml": "2024-01-02: x\nlist: [{2024-01-03: y}]\n"})).first()
+    assert row.parse_ok and row.body == '{"2024-01-02": "x", "list": [{"2024-01-03": "y"}]}'
+    _, entries = manifest_read(corpus({"m.json": '\n {"entries": [{"pact_key": "PACT:a:b"}]}'}))
+    assert [r.pact_key for r in entries.collect()] == ["PACT:a:b"]
