@@ -4,8 +4,8 @@ A text's features are its blank-separated words and the character n-grams of
 3 to 5 bytes inside them (with the blanks at their ends), hashed to a fixed
 number of buckets.  Their vectors are averaged and go through a softmax;
 vectors and output weights are learned together by stochastic gradient
-descent in numpy on a bounded, hash-ordered sample of labelled texts, in one
-task.  Since the output is linear in the average, the model is one number
+descent in numpy on a bounded, hash-ordered sample of labelled texts, one a
+document id, in one task.  Since the output is linear in the average, the model is one number
 per bucket, and scoring is a mean of numbers over the whole text.
 
 Labels are used only for rows whose crc32 of the id is not 1 modulo 3; id,
@@ -102,12 +102,17 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, size: int) -> DataFrame:
-    """(text, label): up to ``size`` labelled texts of each class, first by a hash of the id."""
+    """(key, text, label), staged: up to ``size`` labelled texts of each class, first by a hash of the id; of an id's texts the one of least hash.
+
+    The documents are read by all tasks here; only the staged sample goes to the training task.
+    """
     given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     given = given.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("label"))
     order = F.xxhash64("_key")
     some = given.where("label = 0").orderBy(order, "_key").limit(size).unionByName(given.where("label = 1").orderBy(order, "_key").limit(size))
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(some, F.col("key") == F.col("_key")).select("key", "text", "label")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(some, F.col("key") == F.col("_key"))
+    one = rows.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return common.stage(one.select("key", F.col("least.text").alias("text"), "label"), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", size: int = SAMPLE) -> np.ndarray:
@@ -124,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f4").tobytes()], pa.binary())], ["model"])
 
     ship(docs.sparkSession)
-    rows = sample(docs, labels, label, key, text, size).coalesce(1).mapInArrow(run, "model binary").collect()
+    some = sample(docs, labels, label, key, text, size)
+    rows = some.coalesce(1).mapInArrow(run, "model binary").collect()
+    common.discard(some)
     return np.frombuffer(rows[0].model, "<f4") if rows else np.zeros(BUCKETS, np.float32)
 
 

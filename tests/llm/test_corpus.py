@@ -186,6 +186,18 @@ def test_quality_is_learned(spark, odd):
     assert {r.score for r in subwords.classify(odd, subwords.fit(odd, none)).collect()} == {0.5}
 
 
+def test_training_reads_a_staged_sample(spark):
+    rows = [(k, f"text {k} {copy}") for k in range(40) for copy in range(30 if k < 9 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    some = subwords.sample(docs, labels, "quality", "doc_id", "text", 6)
+    found = [r.key for r in some.collect()]
+    assert len(found) == 12 and len(set(found)) == 12
+    assert "Join" not in some._jdf.queryExecution().toString()  # else the training task reads all documents
+    assert sorted(some.collect()) == sorted(subwords.sample(docs.orderBy("text"), labels, "quality", "doc_id", "text", 6).collect())
+    assert len(subwords.fit(docs, labels)) == subwords.BUCKETS
+
+
 def test_urls(spark):
     given = [
         ("http://A.Example.NET/en/x", "a.example.net", "/en/x", "example.net/en/", "allow"),
