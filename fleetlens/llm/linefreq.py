@@ -12,7 +12,13 @@ number; the join by host may be skewed and is split by adaptive execution or
 broadcast if small.  No Python.
 
 Null texts have no lines and stay null; a null host is a host of its own;
-repeated rows count as pages of their own; extra columns are kept.
+extra columns are kept.
+
+``report`` counts repeated rows as pages of their own, as its SQL says.
+``clean``, which other stages follow, counts equal texts of a host as one
+page and leaves a page whole that would lose every line: a group of copies
+is not boilerplate, and deduplication still finds it with its text.  The
+exact count reads the pages again, for the lines that the plain count leaves.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Production parameters.
 RATIO = 0.02
 MIN_PAGES = 5
@@ -42,14 +50,36 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     return often.groupBy("host", "n_pages").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(row struct, n_lines, n_dropped, text): every page with the text that remains."""
-    found = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("found_host"), "dropped")
+def boilerplate_of_texts(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """As ``boilerplate``, with equal texts of a host as one page."""
+    # a struct: rows that come by host are summed in their task before they are dealt out again
+    rows = pages.select(F.struct(F.col(host).alias("host")).alias("of"), F.col(text).alias("text"), F.xxhash64(text).alias("page"))
+    totals = rows.groupBy("of", "page").agg(F.count(F.lit(1)).alias("copies")).groupBy("of").agg(F.count(F.lit(1)).alias("n_pages"))
+    totals = totals.select(F.col("of.host").alias("of_host"), "n_pages")
+    lines = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), line_hash))).alias("line"))
+    counts = lines.where("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    maybe = counts.join(totals, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
+    maybe = common.stage(maybe.groupBy("host", "n_pages").agg(F.collect_list("line").alias("maybe")), "frequent_lines")
+    held = rows.join(maybe, F.col("of.host").eqNullSafe(F.col("host")))
+    held = held.select("of", "n_pages", "page", F.explode(F.array_intersect("maybe", F.transform(F.split("text", "\n"), line_hash))).alias("line"))
+    counts = held.groupBy("of", "n_pages", "line", "page").agg(F.count(F.lit(1)).alias("copies")).groupBy("of", "n_pages", "line").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where((F.col("n") >= min_pages) & (F.col("n") > F.lit(ratio) * F.col("n_pages")))
+    return often.groupBy("of", "n_pages").agg(F.collect_list("line").alias("dropped")).select(F.col("of.host").alias("host"), "n_pages", "dropped")
+
+
+def drop_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """(row struct, n_lines, n_dropped, text): every page with the text that remains.
+
+    Without ``copies`` equal texts of a host count as one page and a page that would lose every line stays whole.
+    """
+    found = (boilerplate if copies else boilerplate_of_texts)(pages, host, text, ratio, min_pages).select(F.col("host").alias("found_host"), "dropped")
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
     rows = rows.join(found, F.col("host").eqNullSafe(F.col("found_host")), "left").drop("found_host", "host")
     rows = rows.withColumn("lines", F.split("text", "\n"))
     rest = F.filter("lines", lambda line: F.coalesce(~F.array_contains("dropped", line_hash(line)), F.lit(True)))
     rows = rows.withColumn("rest", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(rest))
+    if not copies:
+        rows = rows.withColumn("rest", F.when(F.exists("rest", lambda line: line_hash(line).isNotNull()), F.col("rest")).otherwise(F.col("lines")))
     n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
     return rows.select(
         "row",
@@ -60,8 +90,8 @@ def drop_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = R
 
 
 def clean(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents with the lines dropped, all columns in place; ``n_chars`` is left as it was measured."""
-    rows = drop_lines(docs, host, text)
+    """The documents with the lines dropped, copies counted once, all columns in place; ``n_chars`` is left as it was measured."""
+    rows = drop_lines(docs, host, text, copies=False)
     return rows.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 

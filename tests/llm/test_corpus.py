@@ -177,6 +177,21 @@ def test_lines(spark):
     assert linefreq.clean(docs.where("false")).count() == 0
 
 
+def test_copies_are_no_boilerplate(spark):
+    copied = {c: "\n".join(f"{c} line {k} " + " ".join(f"{c}{k}{x}" for x in "pqrstuvw") for k in range(4)) for c in ("ant", "bee")}
+    rows = [(k, f"menu\nown {k}", "h") for k in range(20)]
+    rows += [(100 + k, copied["ant"], "h") for k in range(12)] + [(200 + k, copied["bee"], "h") for k in range(6)]
+    rows += [(300, "ant line 0 " + " ".join(f"ant0{x}" for x in "pqrstuvw") + "\nanother page", "h"), (301, "menu\n", "h")]
+    rows += [(400 + k, copied["ant"], None) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = linefreq.clean(docs)
+    found = {r.doc_id: r.text for r in cleaned.collect()}
+    given = {k: t for k, t, _ in rows}
+    assert found == {k: f"own {k}" if k < 20 else given[k] for k in given}
+    kept = {r.doc_id for r in bagminhash.keep_one(cleaned).collect()}
+    assert {100, 200, 300, 301} <= kept and not kept & {101, 201, 400}
+
+
 def test_quality_is_learned(spark, odd):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
