@@ -1,14 +1,18 @@
 """Operator 9: conversations in reply order, linked through their quotations.
 
 A line that begins with ``>`` signs (blanks between them allowed) is quoted,
-its level is their number.  Consecutive quoted lines of one level are a
-passage; each of its lines is hashed after normalising (lower case, single
-blanks, no outer blanks) and joined to the latest earlier message of the same
-conversation that holds the line as its own text.  A message replies to the
-message that most of its level-one lines come from, the latest of equals;
-deeper levels give further ancestors.  Messages without a known quotation
-begin a thread.  Threads are ordered by their first turn, inside by reply
-depth, then turn.
+its level is their number.  Lines are hashed after normalising (lower case,
+single blanks, no outer blanks).  Consecutive quoted lines of one level are a
+passage, blank ones apart; it is joined to the latest earlier message of the
+same conversation that holds all its lines in a row in its own text, and
+votes for it with every line.  Of a passage that stands nowhere as a whole,
+each line votes for the latest earlier message that holds it.  Level by
+level the message with most votes, the latest of equals, is quoted.  A
+message replies to the one quoted at its lowest level with a known line;
+deeper levels give further ancestors: the message quoted at one level, if it
+has no known quotation itself, replies to the earlier message quoted at the
+next.  All other messages begin a thread.  Threads are ordered by their first
+turn, inside by reply depth, then turn.
 
 A (conversation, line) may be hot, so the search for the latest earlier
 holder runs over blocks of turns: the latest of all earlier blocks, then
@@ -26,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.regexkit import once
+
 from . import common
 
 BLOCK = 256  # turns in a block
@@ -56,26 +62,76 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
 
 
-def links(messages: DataFrame) -> DataFrame:
-    """(conv, turn, parent): the message each quoting message replies to."""
-    lines = messages.select("conv", "turn", F.inline("lines")).where("hash IS NOT NULL AND turn IS NOT NULL")
-    quoted = lines.where("level = 1").groupBy("conv", "hash", "turn").agg(F.count(F.lit(1)).alias("n"))
-    own = lines.where("level = 0").select("conv", "hash", F.col("turn").alias("source")).distinct()
-    wanted = quoted.select("conv", "hash").distinct()
-    own = own.join(wanted.select(F.col("conv").alias("c"), F.col("hash").alias("h")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left_semi")
+def runs(messages: DataFrame) -> DataFrame:
+    """(conv, turn, own array<hash>, quoted array<level, hashes>): a message's own lines and its quoted passages, in order, without blank lines."""
+    rows = messages.where("turn IS NOT NULL").select("conv", F.col("turn").cast("long").alias("turn"), "lines")
+    rows = once(rows, "lines_", F.col("lines")).select("conv", "turn", F.col("lines_").alias("lines"))
+    changed = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.coalesce(F.get("lines", k)["level"] != F.get("lines", k - 1)["level"], F.lit(True)))
+    rows = once(rows, "begins", changed)
+
+    def passage(begin: Column, place: Column) -> Column:
+        end = F.coalesce(F.get("begins", place + 1), F.size("lines"))
+        return F.struct(F.get("lines", begin)["level"].alias("level"), hashes(F.slice("lines", begin + 1, end - begin)).alias("hashes"))
+
+    def hashes(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda x: x["hash"]), lambda x: x.isNotNull())
+
+    quoted = F.filter(F.transform("begins", passage), lambda x: (x["level"] > 0) & (F.size(x["hashes"]) > 0))
+    return rows.select("conv", "turn", hashes(F.filter("lines", lambda x: x["level"] == 0)).alias("own"), quoted.alias("quoted"))
+
+
+def latest(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(conv, hash, turn, source): for each (conv, hash, turn) of ``asked`` the latest earlier turn of ``held``, if there is one."""
+    asked = asked.select("conv", "hash", "turn").distinct()
+    wanted = asked.select(F.col("conv").alias("c"), F.col("hash").alias("h")).distinct()
+    held = held.select("conv", "hash", "turn").distinct().join(wanted, F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left_semi")
     none = F.lit(None).cast("long")
-    events = quoted.select("conv", "hash", "turn", "n", none.alias("source")).unionByName(own.select("conv", "hash", F.col("source").cast("long").alias("turn"), F.lit(None).cast("long").alias("n"), F.col("source").cast("long")))
+    events = asked.withColumn("asks", F.lit(True)).withColumn("source", none).unionByName(held.withColumn("asks", F.lit(False)).withColumn("source", F.col("turn")))
     events = events.withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = Window.partitionBy("conv", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     blocks = events.groupBy("conv", "hash", "block").agg(F.max("source").alias("last"))
     earlier = Window.partitionBy("conv", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("conv").alias("c"), F.col("hash").alias("h"), F.col("block").alias("b"), F.max("last").over(earlier).alias("before"))
-    events = events.withColumn("here", F.max("source").over(inside)).where("n IS NOT NULL")
+    events = events.withColumn("here", F.max("source").over(inside)).where("asks")
     found = events.join(blocks, F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("block") == F.col("b")), "left")
-    found = found.select("conv", "turn", "n", F.coalesce("here", "before").alias("source")).where("source IS NOT NULL")
-    votes = found.groupBy("conv", "turn", "source").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("conv", "turn").agg(F.max(F.struct("n", "source")).alias("best"))
-    return best.select("conv", "turn", F.col("best.source").alias("parent"))
+    return found.select("conv", "hash", "turn", F.coalesce("here", "before").alias("source")).where("source IS NOT NULL")
+
+
+def spans(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv, hash, turn): the runs of own lines that begin with the first line of an asked passage and have its length."""
+    wanted = asked.select(F.col("conv").alias("c"), F.col("hashes")[0].alias("first"), "n").distinct()
+    texts = texts.withColumn("key", F.xxhash64("own"))
+    lines = texts.select("conv", "turn", "key", F.size("own").alias("size"), F.posexplode("own").alias("at", "line"))
+    begins = lines.join(wanted, F.col("conv").eqNullSafe(F.col("c")) & (F.col("line") == F.col("first"))).where(F.col("at") + F.col("n") <= F.col("size"))
+    begins = begins.groupBy(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("key").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("begins"))
+    found = texts.join(begins, F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("key") == F.col("k")))
+    found = found.select("conv", "turn", "own", F.explode("begins").alias("begin"))
+    return found.select("conv", F.xxhash64(F.slice("own", F.col("begin.at") + 1, F.col("begin.n"))).alias("hash"), "turn")
+
+
+def links(messages: DataFrame) -> DataFrame:
+    """(conv, turn, parent): the message each quoting message replies to, and those that deeper levels add."""
+    rows = common.stage(runs(messages), "passages")
+    asked = rows.select("conv", "turn", F.inline("quoted")).withColumn("n", F.size("hashes")).withColumn("hash", F.xxhash64("hashes"))
+    texts = rows.select("conv", "turn", "own").distinct()
+    known = latest(asked, spans(texts, asked))
+    known = known.select(F.col("conv").alias("c"), F.col("hash").alias("h"), F.col("turn").alias("t"), "source")
+    here = F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("turn") == F.col("t"))
+    asked = common.stage(asked.join(known, here, "left").select("conv", "turn", "level", "hashes", "n", "source"), "asked")
+    lines = asked.where("source IS NULL").select("conv", "turn", "level", F.explode("hashes").alias("hash"))
+    single = latest(lines, rows.select("conv", "turn", F.explode("own").alias("hash")))
+    single = single.select(F.col("conv").alias("c"), F.col("hash").alias("h"), F.col("turn").alias("t"), "source")
+    single = lines.join(single, here).select("conv", "turn", "level", "source", F.lit(1).alias("n"))
+    votes = asked.where("source IS NOT NULL").select("conv", "turn", "level", "source", "n").unionByName(single)
+    votes = votes.groupBy("conv", "turn", "level", "source").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("conv", "turn", "level").agg(F.max(F.struct("n", "source")).alias("best")).select("conv", "turn", "level", F.col("best.source").alias("source"))
+    best = common.stage(best, "quoted")
+    linked = best.groupBy("conv", "turn").agg(F.min(F.struct("level", "source")).alias("best")).select("conv", "turn", F.col("best.source").alias("parent"))
+    deeper = best.withColumn("parent", F.lead("source").over(Window.partitionBy("conv", "turn").orderBy("level"))).where("parent < source")
+    deeper = deeper.groupBy("conv", "source", "parent").agg(F.count(F.lit(1)).alias("n")).groupBy("conv", "source").agg(F.max(F.struct("n", "parent")).alias("best"))
+    own = linked.select(F.col("conv").alias("c"), F.col("turn").alias("t"))
+    deeper = deeper.join(own, F.col("conv").eqNullSafe(F.col("c")) & (F.col("source") == F.col("t")), "left_anti")
+    return linked.unionByName(deeper.select("conv", F.col("source").alias("turn"), F.col("best.parent").alias("parent")))
 
 
 def threads(linked: DataFrame) -> DataFrame:

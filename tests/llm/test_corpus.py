@@ -250,6 +250,29 @@ def test_quotes(spark):
     assert quotes.conversations(chat.where("false")).count() == 0
 
 
+def test_quoted_passages_and_deeper_levels(spark):
+    rows = [
+        (1, 0, "first idea\nthanks\n\nbye"),
+        (1, 1, "a plain answer\nof two lines"),
+        (1, 2, "thanks"),
+        (1, 3, ">> first idea\nonly the deeper level"),
+        (1, 4, "> first idea\n> thanks\nthe whole passage"),
+        (1, 5, ">> first idea\n>> thanks\n> a plain answer\n> OF two lines\nboth"),
+        (1, 6, "> nobody's line\n> > > thanks\nx"),
+        (1, 7, "> bye\n> first idea\nnot in this order"),
+        (1, 8, "> thanks\n\n> thanks\n> bye\ntwo passages"),
+        (2, 0, ">> first idea\nanother conversation"),
+    ]
+    chat = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth) for r in quotes.conversations(chat).collect()}
+    assert found[1, 3] == (0, 0, 1) and found[1, 4] == (0, 0, 1)
+    assert found[1, 5] == (1, 0, 2) and found[1, 1] == (0, 0, 1)  # that 1 answers 0 is known from 5
+    assert found[1, 6] == (2, 2, 1) and found[1, 7] == (0, 0, 1) and found[1, 8] == (0, 0, 1)
+    assert found[1, 0] == (None, 0, 0) and found[1, 2] == (None, 2, 0) and found[2, 0] == (None, 0, 0)
+    twice = {(r.conv_id, r.turn, r.reply_to) for r in quotes.conversations(chat.unionAll(chat)).collect()}
+    assert twice == {(*k, v[0]) for k, v in found.items()}
+
+
 def test_pipeline(spark, small, benchmark_items):
     """Each stage by plain code over the rows the stage before it kept."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
