@@ -3,9 +3,10 @@
 Every task cuts its documents into shards of bounded size and sorts all word
 suffixes of a shard by prefix doubling, as deep as the longest benchmark
 item.  Every suffix of every benchmark item is then narrowed down in the
-array by binary search, word by word, all suffixes in step: the last depth
-with a match is its longest verbatim match, and the interval at the window's
-length holds all places of that window.  Nothing is shuffled.
+array by binary search, word by word, all suffixes in step: the interval at
+the window's length holds all places of that window, and the deepest interval
+that holds a place is the longest verbatim match from there on, of any item.
+Nothing is shuffled.
 
 Benchmark texts are the query set.  They reach the tasks in blocks of bounded
 size, each searched in every shard.
@@ -80,9 +81,11 @@ class SuffixArray:
             rank[some] = np.maximum.accumulate(np.where(new, slots, 0)) + 1
             known *= 2
 
-    def find(self, words: np.ndarray, lengths: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, words: np.ndarray, lengths: np.ndarray, starts: np.ndarray, stops: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the query suffixes ``words[starts:starts + lengths]``: longest match in words, and the interval of all
-        suffixes that begin with its first ``stops`` words (empty if it matches less)."""
+        suffixes that begin with its first ``stops`` words (empty if it matches less).
+
+        ``reach``, one number for each suffix of the array, is raised to its longest match of at least ``stops`` words."""
         at = np.searchsorted(self.vocabulary, words)
         known = at < len(self.vocabulary)
         known[known] = self.vocabulary[at[known]] == words[known]
@@ -96,15 +99,27 @@ class SuffixArray:
             longest[alive] = depth
             full = stops[alive] == depth
             low[alive[full]], high[alive[full]] = lo[full], hi[full]
-            more = lengths[alive] > depth
-            alive, lo, hi = alive[more], lo[more], hi[more]
-            want = ids[starts[alive] + depth]
-            lo, hi = self._bound(lo, hi, depth, want), self._bound(lo, hi, depth, want + 1)
-            match = (hi > lo) & (want > 0)
-            alive, lo, hi = alive[match], lo[match], hi[match]
+            more = np.flatnonzero(lengths[alive] > depth)
+            want = ids[starts[alive[more]] + depth]
+            next_lo, next_hi = self._bound(lo[more], hi[more], depth, want), self._bound(lo[more], hi[more], depth, want + 1)
+            match = (next_hi > next_lo) & (want > 0)
+            if reach is not None:
+                # suffixes that all go on are raised at a later depth
+                last = (stops[alive] > 0) & (stops[alive] <= depth)
+                last[more[match & (next_lo == lo[more]) & (next_hi == hi[more])]] = False
+                self._raise(reach, lo[last], hi[last], depth)
+            alive, lo, hi = alive[more[match]], next_lo[match], next_hi[match]
             depth += 1
         return longest, low, high
 
+    @staticmethod
+    def _raise(reach: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> None:
+        """Intervals of one depth are equal or apart."""
+        lo, at = np.unique(lo, return_index=True)
+        sizes = hi[at] - lo
+        slots = np.arange(sizes.sum()) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
+        reach[slots] = np.maximum(reach[slots], depth)
+
     def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray) -> np.ndarray:
         """First place in each interval whose word at ``depth`` is not below ``want``."""
         lo, hi = lo.copy(), hi.copy()
@@ -144,13 +159,12 @@ def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 
 
 def judge(texts: list[bytes | None], blocks: list[dict]) -> dict[str, list]:
-    """For each text: words, hit words, matching items, the longest verbatim match in words and where it starts."""
+    """For each text: words, hit words, matching items, its longest verbatim match in words and where that starts, the first of equals."""
     array = SuffixArray(texts, max((b["depth"] for b in blocks), default=0))
     n = len(array.text)
     edges = np.zeros(n + 1, np.int64)
     items: list[set] = [set() for _ in texts]
-    longest = np.zeros(len(texts), np.int64)
-    where = np.full(len(texts), -1, np.int64)
+    reach = np.zeros(n, np.int64)
 
     def spread(low, high):
         """Text places of all suffixes in the intervals, and the interval of each."""
@@ -159,7 +173,7 @@ def judge(texts: list[bytes | None], blocks: list[dict]) -> dict[str, list]:
         return array.suffixes[np.arange(len(k)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)], k
 
     for block in blocks:
-        match, low, high = array.find(block["words"], block["lengths"], block["starts"], block["stops"])
+        _, low, high = array.find(block["words"], block["lengths"], block["starts"], block["stops"], reach)
         hit = np.flatnonzero(high > low)
         if not len(hit):
             continue
@@ -170,14 +184,19 @@ def judge(texts: list[bytes | None], blocks: list[dict]) -> dict[str, list]:
         np.add.at(edges, places + spans[2][span], -1)
         docs = np.searchsorted(array.begins, places, side="right") - 1
         of_span = [set() for _ in range(spans.shape[1])]
-        best = np.zeros(spans.shape[1], np.int64)
         for k, q in zip(which.ravel().tolist(), hit.tolist(), strict=True):
             of_span[k].add(block["ids"][block["owner"][q]])
-            best[k] = max(best[k], match[q])
-        for d, k, p in zip(*(x.tolist() for x in (docs, span, places)), strict=True):
+        for d, k in zip(docs.tolist(), span.tolist(), strict=True):
             items[d] |= of_span[k]
-            if best[k] > longest[d]:
-                longest[d], where[d] = best[k], p - array.begins[d]
+    longest = np.zeros(len(texts), np.int64)
+    where = np.full(len(texts), -1, np.int64)
+    slots = np.flatnonzero(reach)
+    places = array.suffixes[slots]
+    docs = np.searchsorted(array.begins, places, side="right") - 1
+    order = np.lexsort((places, -reach[slots], docs))
+    docs, first = np.unique(docs[order], return_index=True)
+    longest[docs] = reach[slots][order][first]
+    where[docs] = places[order][first] - array.begins[docs]
     hit_words = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
     n_hit = hit_words[array.begins[1:]] - hit_words[array.begins[:-1]]
     return {"n_words": array.n_words.tolist(), "n_hit": n_hit.tolist(), "items": [list(i) for i in items], "longest": longest.tolist(), "at_word": where.tolist()}
@@ -190,8 +209,8 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_hit, items, longest, at_word) of every document.
 
-    ``longest`` is the longest verbatim match that contains a hit window, an
-    upper bound for the text where windows of one shard share their words.
+    ``longest`` is the text's longest verbatim match of an item that contains
+    a hit window, ``at_word`` the word where the first such match starts.
     """
     ship(docs.sparkSession)
     blocks = query_blocks(benchmark, item, "text", window)

@@ -101,6 +101,48 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert suffixes.clean(odd.where("false"), items).count() == 0
 
 
+def brute_longest(text, items):
+    """(longest, at_word) of the verbatim matches of a window or more."""
+    w, best = words(text), (0, 1)
+    for _, item in items:
+        v = words(item)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n >= min(10, len(v)):
+                    best = max(best, (n, -p))
+    return (best[0], -best[1])
+
+
+def test_longest_match_is_of_the_text_itself():
+    item = [f"w{k}" for k in range(40)]
+    items = [("a", " ".join(item)), ("b", " ".join(item[5:17] + ["else"] * 3)), ("c", "two words"), ("d", " ".join(f"x{k % 3}" for k in range(30)))]
+    own = [f"v{k}" for k in range(9)]
+    texts = [
+        " ".join(own + item + own),  # the whole item
+        " ".join(own[:4] + item[3:13] + own),  # ten words of it
+        " ".join(item[20:33] + own + item[:11] + own + item[20:33]),
+        " ".join(item[:9] + own),
+        "",
+        None,
+        " ".join(["two", "words", "and", "two", "words"]),
+        " ".join(own[:3] + [f"x{k % 3}" for k in range(25)] + own[:2] + [f"x{k % 3}" for k in range(1, 28)]),
+        " ".join(own + item[5:17] + ["else"]),
+    ]
+    expected = [brute_longest(t, items) for t in texts]
+    assert expected[:4] == [(40, 9), (10, 4), (13, 0), (0, -1)]
+    for blocks in ([items], [items[:1], items[1:]], [items[::-1]]):
+        found = suffixes.judge([t and t.encode() for t in texts], [suffixes.query_block(b, 10) for b in blocks])
+        assert list(zip(found["longest"], found["at_word"], strict=True)) == expected
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 2, 60)) for _ in range(8)]
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 2, 20))) for k in range(12)]
+    found = suffixes.judge([t.encode() for t in texts], [suffixes.query_block(items, 10)])
+    assert list(zip(found["longest"], found["at_word"], strict=True)) == [brute_longest(t, items) for t in texts]
+
+
 def test_near_duplicates(spark, small, documents):
     expected = brute_classes(documents)
     found = {r.doc_id: r.class_id for r in queries.op4_near_duplicates(spark, small).collect()}
