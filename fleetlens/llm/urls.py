@@ -8,8 +8,9 @@ often the words stand in urls that rules block and in all others.  Words that
 the rules themselves name are no evidence; listed bad words count as a fixed
 share of the blocked words each.
 
-Word frequencies come from the titles of all pages; the most frequent
-``WORDS`` (a stated bound) form the unigram model.  Urls are grouped by host
+Word frequencies come from the titles of all pages; all words form the
+unigram model.  It stays a table: each distinct piece is joined, by its
+substrings of the lengths that words have, with the words it can hold.  Urls are grouped by host
 and path shape (digits as one 0) before any of this, so a hot host is one
 row.  Null urls and urls without ``://`` have an empty host and path and are
 allowed unless a rule fits; an empty table gives an empty table.
@@ -17,7 +18,6 @@ allowed unless a rule fits; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 
@@ -34,8 +34,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Words known to be bad, and the share of all blocked words that each counts for.
 BLOCKED_WORDS = ("ads", "ad", "track", "tracker", "tracking", "casino", "porn", "adult", "spam", "pills", "viagra", "malware", "phishing", "popup")
 BLOCKED_SHARE = 0.02
-WORDS = 50_000
-LONGEST = 24
+SUBSTRINGS = 1 << 16  # rows of a batch
 #: Block if the words are at least so many times likelier in blocked urls.
 ODDS = 9.0
 
@@ -58,30 +57,38 @@ def ruled(parsed: DataFrame, rules=RULES) -> DataFrame:
     return parsed.withColumn("rule", rule).withColumn("ruling", ruling)
 
 
-def unigrams(pages: DataFrame, html: str = "html", size: int = WORDS) -> DataFrame:
-    """(word, n): the most frequent words of all titles."""
+def unigrams(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(word, n): all words of all titles, and the listed bad words."""
     title = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"<title>([^<]*)", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"), F.lit(1).alias("n"))
+    listed = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, BLOCKED_WORDS))).alias("word"), F.lit(0).alias("n"))
+    return words.unionByName(listed).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"))
 
 
 class Segmenter:
     """The likeliest split of a string into words; unknown words get less likely by the character."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = sum(counts.values()) + 1 if total is None else total
         self.known = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1 / total)
 
     def split(self, text: str) -> list[str]:
-        best, back = [0.0], [0]
+        begins: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
+        for word, score in self.known.items():
+            start = text.find(word)
+            while word and start >= 0:
+                begins[start + len(word)].append((start, score))
+                start = text.find(word, start + 1)
+        best, back, rest, since = [0.0], [0], 0.0, 0
         for end in range(1, len(text) + 1):
-            top, at = -math.inf, end - 1
-            for start in range(max(0, end - LONGEST), end):
-                word = text[start:end]
-                score = best[start] + self.known.get(word, self.unknown - 2.5 * len(word))
-                if score > top:
-                    top, at = score, start
+            # the best unknown word that ends here begins at the same place for all ends until a better one
+            if best[-1] + 2.5 * (end - 1) > rest:
+                rest, since = best[-1] + 2.5 * (end - 1), end - 1
+            top, at = rest + self.unknown - 2.5 * end, since
+            for start, known in sorted(begins[end]):
+                if best[start] + known > top:
+                    top, at = best[start] + known, start
             best.append(top)
             back.append(at)
         out, end = [], len(text)
@@ -91,26 +98,50 @@ class Segmenter:
         return out[::-1]
 
 
-def words_of(shapes: DataFrame, segmenter: DataFrame) -> DataFrame:
-    """``shapes`` with the array ``words`` of host and path."""
-    spark = shapes.sparkSession
-    ship(spark)
-    counts = {r.word: r.n for r in segmenter.collect()}  # at most ``WORDS``
-    for word in BLOCKED_WORDS:
-        counts.setdefault(word, 1)
-    name = common.send_file(spark, json.dumps(counts).encode(), "unigrams.json")
+def words_of(shapes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, shape, words): the words of each piece of host and path."""
+    ship(shapes.sparkSession)
+    counts = common.stage(counts, "unigrams")
+    model = counts.agg(F.sum("n").alias("n"), F.collect_set(F.length("word")).alias("lengths")).first()
+    total, lengths = model.n + 1, sorted(model.lengths)
 
-    def run(batches):
-        with open(common.local_file(name), encoding="utf-8") as file:
-            model = Segmenter(json.load(file))
+    def pieces(batches):
         for batch in batches:
             rows = []
             for host, shape in zip(batch.column("host").to_pylist(), batch.column("shape").to_pylist(), strict=True):
-                pieces = re.findall(r"[^\W_]+", host + " " + shape.lower())
-                rows.append([w for p in pieces if not p.isdigit() for w in model.split(p)])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(rows, pa.list_(pa.string()))], ["host", "shape", "words"])
+                rows.append([p for p in re.findall(r"[^\W_]+", host + " " + shape.lower()) if not p.isdigit()])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(rows, pa.list_(pa.string()))], ["host", "shape", "pieces"])
 
-    return shapes.select("host", "shape").mapInArrow(run, "host string, shape string, words array<string>")
+    def rows_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], ["piece", "word"])
+
+    def substrings(batches):
+        found = set()
+        for batch in batches:
+            for piece in batch.column("piece").to_pylist():
+                for length in lengths:
+                    for start in range(len(piece) - length + 1):
+                        found.add((piece, piece[start : start + length]))
+                        if len(found) >= SUBSTRINGS:
+                            yield rows_of(found)
+                            found = set()
+        if found:
+            yield rows_of(found)
+
+    def split(batches):
+        for batch in batches:
+            rows = []
+            for piece, known in zip(batch.column("piece").to_pylist(), batch.column("known").to_pylist(), strict=True):
+                rows.append(Segmenter({k["word"]: k["n"] for k in known}, total).split(piece))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(rows, pa.list_(pa.string()))], ["piece", "words"])
+
+    each = common.stage(shapes.select("host", "shape").mapInArrow(pieces, "host string, shape string, pieces array<string>").select("host", "shape", F.explode("pieces").alias("piece")), "pieces")
+    distinct = common.stage(each.select("piece").distinct(), "distinct_pieces")
+    known = distinct.mapInArrow(substrings, "piece string, word string").join(counts, "word")
+    known = known.select("piece", F.struct("word", "n").alias("one")).unionByName(distinct.select("piece", F.lit(None).cast("struct<word:string,n:bigint>").alias("one")))
+    known = known.groupBy("piece").agg(F.collect_set("one").alias("known"))  # nulls are left out
+    words = known.mapInArrow(split, "piece string, words array<string>")
+    return each.join(words, "piece").select("host", "shape", "words")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:

@@ -274,6 +274,31 @@ def test_urls(spark):
     assert urls.Segmenter({"ring": 5, "the": 9, "thering": 1}).split("theringxx") == ["the", "ring", "xx"]  # one unknown word is likelier than two
 
 
+def test_every_title_word_is_known(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    title = " ".join(f"q{k}q q{k}q" for k in range(50_010)) + f" ring bell {long}"
+    pages = spark.createDataFrame([(1, f"<title>{title}</title>")], "page_id long, html string")
+    shapes = spark.createDataFrame([("ringbell.org", f"/x{long}bell/zz0"), ("", "/ringbell/0")], "host string, shape string")
+    counts = urls.unigrams(pages)
+    assert counts.count() == 50_013 + len(urls.BLOCKED_WORDS)
+    found = sorted((r.host, r.words) for r in urls.words_of(shapes, counts).collect())
+    assert found == [("", ["ring", "bell"]), ("ringbell.org", ["org"]), ("ringbell.org", ["ring", "bell"]), ("ringbell.org", ["x", long, "bell"]), ("ringbell.org", ["zz0"])]
+
+
+def test_segments_are_the_likeliest():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        counts = {"".join(rng.choice(list("ab"), rng.integers(1, 5))): int(rng.integers(1, 9)) for _ in range(6)}
+        text, model = "".join(rng.choice(list("abc"), 9)), urls.Segmenter(counts)
+
+        def score(parts, model=model):
+            return sum(model.known.get(p, model.unknown - 2.5 * len(p)) for p in parts)
+
+        cuts = [[k for k in range(1, 9) if bits >> (k - 1) & 1] for bits in range(256)]
+        best = max(score([text[i:j] for i, j in zip([0, *c], [*c, 9], strict=True)]) for c in cuts)
+        assert "".join(model.split(text)) == text and score(model.split(text)) == pytest.approx(best)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there\nsecond line"),
