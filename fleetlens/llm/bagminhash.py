@@ -351,11 +351,11 @@ def _remaining(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(key, text_key, class_id, class_size, size): class_id is the least key of the class."""
+    """(key, text_key, class, class_id, class_size, size): class_id is the least key of the class; classes may share one that has several texts."""
     rows, classes = link(docs, key, text, similarity)
     named = rows.join(classes, "node", "left").select("key", "text_key", "size", F.coalesce("class", "node").alias("class"))
     least = named.groupBy("class").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(least, "class").select("key", "text_key", "class_id", "class_size", "size")
+    return named.join(least, "class").select("key", "text_key", "class", "class_id", "class_size", "size")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     one key and class the one of least hash stays.
     """
     chosen = classes_of(docs, key, text).where(F.col("key").eqNullSafe(F.col("class_id")))
-    named = chosen.select(F.col("key").alias("_key"), F.col("text_key").alias("_text_key"), "class_size").distinct()
+    named = chosen.groupBy("class", F.col("key").alias("_key")).agg(F.min("text_key").alias("_text_key"))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     texts = docs.select(whole, F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_key"))
     kept = texts.join(named, F.col("key").eqNullSafe(F.col("_key")) & (F.col("text_key") == F.col("_text_key")))

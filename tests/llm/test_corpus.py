@@ -185,6 +185,15 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert bagminhash.keep_one(odd.where("false")).count() == 0
 
 
+def test_one_text_of_a_key_stays_in_each_class(spark):
+    base = [f"w{k}" for k in range(80)]
+    near = [" ".join([*base[:-1], end]) for end in ("one", "two", "three")]
+    rows = [(1, near[0]), (1, near[1]), (1, near[1]), (2, near[2]), (1, " ".join(f"v{k}" for k in range(60))), (3, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in bagminhash.keep_one(docs).collect()]
+    assert sorted(k for k, _ in kept) == [1, 1, 3] and rows[4] in kept and sum(t in near[:2] for _, t in kept) == 1
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 101), (103, 101), (200, 200)]
     found = {r.node: r["class"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
