@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, common, lexicon, linefreq, prefixcount, quotes, rules, subwords, suffixes, tokenfile, urls
+from . import bagminhash, common, lexicon, linefreq, prefixcount, quotes, rules, subwords, suffixes, survival, tokenfile, urls
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.digests(prefixcount.prefix_counts(docs, public_tokenizers.path(TOKENIZER)), TOKEN_LIMIT)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_threads": op9_chat_threads,
     "op10_token_counts": op10_token_counts,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": rules.ORACLE,
         "op8_line_dedup": linefreq.ORACLE,
         "op9_chat_threads": quotes.ORACLE,
+        "op12_filter_audit": survival.ORACLE,
     }
