@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, common, lexicon, linefreq, prefixcount, quotes, rules, subwords, suffixes, survival, tokenfile, urls
+from . import bagminhash, common, lexicon, linefreq, piecebpe, prefixcount, quotes, rules, subwords, suffixes, survival, tokenfile, urls
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 2048
 
 
@@ -67,6 +68,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return piecebpe.digests(piecebpe.encode_decode(docs, public_tokenizers.path(PIECES)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_threads": op9_chat_threads,
     "op10_token_counts": op10_token_counts,
     "op12_filter_audit": op12_filter_audit,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 
