@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, common, lexicon, linefreq, piecebpe, prefixcount, quotes, rules, subwords, suffixes, survival, tokenfile, urls
+from . import bagminhash, common, lexicon, linefreq, piecebpe, prefixcount, quotes, rules, subwords, suffixes, survival, tokenfile, urls, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -64,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.digests(prefixcount.prefix_counts(docs, public_tokenizers.path(TOKENIZER)), TOKEN_LIMIT)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_threads": op9_chat_threads,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
