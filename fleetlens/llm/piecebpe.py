@@ -37,12 +37,12 @@ from fleetlens.session import ship
 from . import common, lexicon, wordbpe
 
 SPACE = "▁"
-#: Distinct parts of texts, and pairs of pieces, that a worker keeps at a time.
-KEPT = 500_000
+#: Distinct parts of texts that a worker keeps at a time, and pairs of pieces.
+KEPT, PAIRS = 250_000, 250_000
 #: Longer parts are rare and are encoded anew each time.
 KEPT_LENGTH = 64
 #: Characters that go through the automaton at a time.
-SCANNED = 1 << 20
+SCANNED = 1 << 16
 MERGE_TYPE = 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 START = -1
@@ -128,7 +128,7 @@ class PieceBpe:
         """Does merging leave these two tokens as they are, side by side?"""
         found = self.fits.get((left, right))
         if found is None:
-            wordbpe.forget_late(self.fits, 2 * KEPT)
+            wordbpe.forget_late(self.fits, PAIRS)
             pair = [self._text(right)] if left == START else [self._text(left), self._text(right)]
             found = self.fits[left, right] = self.merged("".join(pair)) == pair
         return found
@@ -137,16 +137,11 @@ class PieceBpe:
 
     def longest(self, text: str) -> array:
         """The longest piece that starts at each place; a character without one by itself."""
-        found = array("i", bytes(4 * len(text)))
-        last = len(text)
-        end = len(text) - 1
-        for place, token in self.matcher.iter(text[::-1]):  # at each place the longest first
-            if place != last:
-                last = place
-                found[end - place] = token + 1
-        for k, token in enumerate(found):
-            found[k] = token - 1 if token else -2 - ord(text[k])
-        return found
+        hits = list(self.matcher.iter(text[::-1]))  # those of one place longest first
+        hits.reverse()
+        at = dict(hits).get
+        found = map(at, range(len(text) - 1, -1, -1))
+        return array("i", [-2 - ord(c) if token is None else token for token, c in zip(found, text, strict=True)])
 
     def search(self, longest: array, begin: int, end: int) -> list[int]:
         """The tokens of the text between two places."""
