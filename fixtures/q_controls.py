@@ -11,7 +11,8 @@ from fixtures.registry import joined, query
 from fleetlens import values as V
 from fleetlens.control_table import packaged_controls
 from fleetlens.operators import assertions as A, baseline as B, checks as K, controls as C, report as R
-from fleetlens.sources.corpus import source_files
+from fleetlens.session import stage
+from fleetlens.sources.corpus import is_source_file, source_files
 
 AS_OF = "2026-01-01 00:00:00"
 CONTROLS = packaged_controls()
@@ -347,8 +348,19 @@ def _(t):
 ALL_SQL = f"{ALL_CHECKS_SQL} UNION ALL {COMPLIANCE_SQL}"
 
 
+IDLE_SQL = "SELECT project FROM projects UNION ALL SELECT 'idle'"
+
+
 def all_checks(t):
-    return K.run_checks(check_tables(t)).unionByName(C.run_compliance(control_tables(t), AS_OF))
+    """All check rows; each text is read once, what checks and controls need of it is staged."""
+    texts = stage(C.text_stream(t.code_corpus, is_source_file()), "texts")
+    control = control_tables(t) | {"texts": texts}
+    return K.run_checks(check_tables(t) | {"texts": texts}).unionByName(C.run_compliance(control, AS_OF))
+
+
+def tool_summary(t):
+    """Summary of the tools' checks, without controls."""
+    return R.check_summary(R.check_log(K.run_checks(check_tables(t))))
 
 
 def _score_sql(keys: str, source: str, info: str = "") -> str:
@@ -361,17 +373,22 @@ OVERALL_SQL = _score_sql("project", ALL_CHECKS_SQL)
 
 @query("score_by_tool", _score_sql("project, tool", ALL_SQL, ", count(*) FILTER (WHERE status = 'INFO') AS score_info"))
 def _(t):
-    return R.score_by_tool(all_checks(t))
+    return R.score_by_tool(R.check_summary(R.check_log(all_checks(t))))
 
 
-@query("score_overall", OVERALL_SQL)
+@query(
+    "score_overall",
+    f"""SELECT p.project, coalesce(score_pass, 0) AS score_pass, coalesce(score_warn, 0) AS score_warn, coalesce(score_fail, 0) AS score_fail, coalesce(total, 0) AS total,
+  coalesce(score_pct, 100.0) AS score_pct FROM ({IDLE_SQL}) p LEFT JOIN ({_score_sql("project", ALL_SQL)}) s ON s.project = p.project""",
+)
 def _(t):
-    return R.score_overall(K.run_checks(check_tables(t)))
+    idle = t.projects.select("project").unionByName(t.spark.range(1).select(F.lit("idle").alias("project")))
+    return R.score_overall(R.check_summary(R.check_log(all_checks(t))), idle)
 
 
 @query(
     "report_rows",
-    f"""SELECT project, upper(tool) AS tool, CASE WHEN length(target) > 40 THEN concat('...', right(target, 37)) ELSE target END AS target, rpad(status, 6, ' ') AS status, message FROM ({ALL_SQL}) c""",
+    f"""SELECT project, upper(tool) AS tool, target, CASE WHEN length(target) > 40 THEN concat('...', right(target, 37)) ELSE target END AS shown, rpad(status, 6, ' ') AS status, message FROM ({ALL_SQL}) c""",
 )
 def _(t):
     return R.report_rows(all_checks(t)).drop("ord")
@@ -388,15 +405,16 @@ RECOMMENDATIONS_SQL = f"""SELECT project, rank::INTEGER AS rank, check_id, {_rec
 
 @query("recommendations", RECOMMENDATIONS_SQL)
 def _(t):
-    return R.recommendations(all_checks(t)).drop("place")
+    log = R.check_log(all_checks(t))
+    return R.recommendations(R.check_summary(log), log).drop("place")
 
 
 @query(
     "gate_decision",
-    f"""SELECT project, bool_or(status = 'FAIL') AS failed, bool_or(status IN ('FAIL', 'WARN')) AS failed_strict FROM ({ALL_CHECKS_SQL}) c GROUP BY 1""",
+    f"""SELECT project, bool_or(status = 'FAIL') AS failed, bool_or(status IN ('FAIL', 'WARN')) AS failed_strict FROM ({ALL_SQL}) c GROUP BY 1""",
 )
 def _(t):
-    rows = K.run_checks(check_tables(t))
+    rows = stage(R.check_summary(R.check_log(all_checks(t))), "summary")
     return R.gate_decision(rows).join(R.gate_decision(rows, strict=True).withColumnRenamed("failed", "failed_strict"), "project")
 
 
@@ -410,8 +428,8 @@ _BASELINE = f"""SELECT project, check_id, CASE WHEN (length(project) + length(ch
   UNION ALL SELECT DISTINCT project, 'RETIRED', 'PASS', 0.0::DOUBLE FROM ({SNAPSHOT_SQL}) b"""
 
 
-def _baseline(t, checks):
-    snap = B.baseline_snapshot(checks)
+def _baseline(summary):
+    snap = B.baseline_snapshot(summary)
     older = F.when((F.length("project") + F.length("check_id")) % 3 == 0, "PASS").otherwise(F.col("status"))
     higher = F.when(F.length("check_id") % 2 == 0, F.col("score_pct") + 5.0).otherwise(F.col("score_pct"))
     changed = snap.select("project", "check_id", older.alias("status"), higher.alias("score_pct"))
@@ -423,7 +441,7 @@ def _baseline(t, checks):
 
 @query("baseline_snapshot", SNAPSHOT_SQL)
 def _(t):
-    return B.baseline_snapshot(K.run_checks(check_tables(t)))
+    return B.baseline_snapshot(tool_summary(t))
 
 
 REGRESSIONS_SQL = f"""SELECT b.project, b.check_id, coalesce(n.status, 'ABSENT') AS now, concat(b.check_id, ': PASS -> ', coalesce(n.status, 'ABSENT')) AS regression
@@ -432,8 +450,8 @@ FROM ({_BASELINE}) b LEFT JOIN ({_LAST}) n ON n.project = b.project AND n.check_
 
 @query("baseline_regressions", REGRESSIONS_SQL)
 def _(t):
-    rows = K.run_checks(check_tables(t))
-    return B.baseline_regressions(_baseline(t, rows), rows)
+    summary = stage(tool_summary(t), "summary")
+    return B.baseline_regressions(_baseline(summary), summary)
 
 
 @query(
@@ -443,8 +461,8 @@ FROM ({OVERALL_SQL}) s LEFT JOIN (SELECT project, max(score_pct) AS before FROM
 WHERE b.before IS NULL OR s.score_pct < b.before""",
 )
 def _(t):
-    rows = K.run_checks(check_tables(t))
-    return B.baseline_score_drop(_baseline(t, rows).where(~F.col("project").rlike(".1$")), rows)
+    summary = stage(tool_summary(t), "summary")
+    return B.baseline_score_drop(_baseline(summary).where(~F.col("project").rlike(".1$")), summary)
 
 
 # --- assertions ------------------------------------------------------------------------------------

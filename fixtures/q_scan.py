@@ -128,7 +128,7 @@ def _(t):
 
 @query("env_first_per_file", ENV_FIRST_SQL)
 def _(t):
-    return line_scan.env_first_per_file(line_scan.scan_env_vars(t.code_corpus)).drop("pos")
+    return line_scan.env_first_per_file(t.code_corpus).drop("pos")
 
 
 @query("env_backend_hint", ENV_VARS_SQL)
@@ -402,9 +402,9 @@ def facts(t):
 
 @query("discovery_union", UNION_SQL)
 def _(t):
-    return discovery.discovery_union(facts(t))
+    return discovery.discovery_union(t.code_corpus, t.openapi_specs)
 
 
 @query("discovery_summary", f"SELECT project, kind, count(*) AS n FROM ({UNION_SQL}) u GROUP BY 1, 2")
 def _(t):
-    return discovery.discovery_summary(facts(t))
+    return discovery.discovery_summary(discovery.discovery_union(t.code_corpus, t.openapi_specs))

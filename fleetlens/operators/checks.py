@@ -138,42 +138,58 @@ def _python(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("lang") == "python")
 
 
-def _source_key(pattern: str) -> Rule:
-    text = F.col("content")
+def source_signals(pattern: str = V.PACT_KEY_FORMAT) -> Column:
+    """What the source checks ask of a text, and its distinct keys."""
+    text, p = F.col("content"), rx(pattern)
+    keys = F.when(text.rlike(p), F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        ((text.contains("class ") | text.contains("def ")) & ~text.rlike(p)).alias("no_key"),
+        (text.contains("class ") & ~text.contains("event_handler")).alias("no_event"),
+        (text.contains("class ") & text.contains("event_handler") & ~text.contains("log_handler")).alias("no_log"),
+        keys.alias("keys"),
+    )
+
+
+def _signals(sources: DataFrame, pattern: str, *names: str) -> DataFrame:
+    """Python sources with the column ``signals``: that of a ``text_stream``, or looked up in the texts."""
+    if "signals" in sources.columns:
+        return sources.where(F.col("signals").isNotNull())
+    return _python(sources).withColumn("signals", source_signals(pattern).dropFields(*({"no_key", "no_event", "no_log", "keys"} - set(names))))
+
+
+def _source_key() -> Rule:
     row = _row("pact", "source_has_pact_key", F.col("path"), "FAIL", "FAIL", "no PACT key found in any method",
                check_order("pact", 1, F.col("path")))
-    return (text.contains("class ") | text.contains("def ")) & ~text.rlike(rx(pattern)), row
+    return F.col("signals.no_key"), row
 
 
 def _source_event() -> Rule:
-    text = F.col("content")
     row = _row("pact", "source_has_event_handler", F.col("path"), "FAIL", "FAIL", "no event_handler parameter",
                check_order("pact", 1, F.col("path"), 2))
-    return text.contains("class ") & ~text.contains("event_handler"), row
+    return F.col("signals.no_event"), row
 
 
 def _source_log() -> Rule:
-    text = F.col("content")
     row = _row("pact", "source_has_log_handler", F.col("path"), "WARN", "WARN", "event_handler present but log_handler missing",
                check_order("pact", 1, F.col("path"), 3))
-    return text.contains("class ") & text.contains("event_handler") & ~text.contains("log_handler"), row
+    return F.col("signals.no_log"), row
 
 
 def chk_source_has_pact_key(sources: DataFrame, pattern: str = V.PACT_KEY_FORMAT) -> DataFrame:
-    return _apply(_python(sources), [_source_key(pattern)])
+    return _apply(_signals(sources, pattern, "no_key"), [_source_key()])
 
 
-def chk_source_event_handler(sources: DataFrame) -> DataFrame:
-    return _apply(_python(sources), [_source_event()])
+def chk_source_event_handler(sources: DataFrame, pattern: str = V.PACT_KEY_FORMAT) -> DataFrame:
+    return _apply(_signals(sources, pattern, "no_event"), [_source_event()])
 
 
-def chk_source_log_handler(sources: DataFrame) -> DataFrame:
-    return _apply(_python(sources), [_source_log()])
+def chk_source_log_handler(sources: DataFrame, pattern: str = V.PACT_KEY_FORMAT) -> DataFrame:
+    return _apply(_signals(sources, pattern, "no_log"), [_source_log()])
 
 
 def source_checks(sources: DataFrame, pattern: str = V.PACT_KEY_FORMAT) -> DataFrame:
     """The three source checks in one pass over the texts."""
-    return _apply(_python(sources), [_source_key(pattern), _source_event(), _source_log()])
+    return _apply(_signals(sources, pattern, "no_key", "no_event", "no_log"), [_source_key(), _source_event(), _source_log()])
 
 
 def chk_pact_key_format(sources: DataFrame, pattern: str = V.PACT_KEY_FORMAT, group: int = 0) -> DataFrame:
@@ -445,13 +461,7 @@ def chk_source_keys_in_manifest(
     sources: DataFrame, manifests: DataFrame, entries: DataFrame, pattern: str = V.PACT_KEY_FORMAT
 ) -> DataFrame:
     """Distinct source keys without a manifest entry, counted per project."""
-    p = rx(pattern)
-    keys = (
-        _python(sources)
-        .where(F.col("content").rlike(p))
-        .select("project", F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(0))).alias("pact_key"))
-        .distinct()
-    )
+    keys = _signals(sources, pattern, "keys").select("project", F.explode("signals.keys").alias("pact_key")).distinct()
     missing = keys.join(entries.select("project", "pact_key"), ["project", "pact_key"], "left_anti")
     counted = missing.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
     readable = manifests.where("parse_ok").select("project", "path")
@@ -492,14 +502,16 @@ def run_checks(tables: dict[str, DataFrame], tools: list[str] | None = None, pat
     """All checks in tool order, each input table read once per kind of work.
 
     ``tables``: projects, contracts, sources, topologies, topology_nodes,
-    registry_fields, artifacts, manifests, manifest_entries, project_config.
+    registry_fields, artifacts, manifests, manifest_entries, project_config;
+    ``texts``, a ``text_stream``, takes the place of the sources' texts.
     """
     t = tables
+    signals = t["sources"] if t.get("texts") is None else t["texts"]
     registry = chk_registry_exists(t["projects"], t["artifacts"])
     by_tool = {
         "pact": lambda: [
             contract_checks(t["contracts"]),
-            source_checks(t["sources"], pattern),
+            source_checks(signals, pattern),
         ] + ([chk_pact_key_format(t["sources"], pattern, 1)] if re.compile(pattern).groups == 1 else []),
         "baton": lambda: [
             chk_topology_exists_valid(t["projects"], t["topologies"]),
@@ -520,7 +532,7 @@ def run_checks(tables: dict[str, DataFrame], tools: list[str] | None = None, pat
         "sentinel": lambda: [
             chk_manifest_exists_valid(t["projects"], t["manifests"]),
             entry_checks(t["manifest_entries"]),
-            chk_source_keys_in_manifest(t["sources"], t["manifests"], t["manifest_entries"], pattern),
+            chk_source_keys_in_manifest(signals, t["manifests"], t["manifest_entries"], pattern),
             chk_integrations_configured(t["project_config"], t["manifests"]),
         ],
     }

@@ -327,8 +327,8 @@ def _native_array(kind: str, keys: list[str] | None = None) -> tuple[Column, lis
     return column, languages
 
 
-def _python_array(kind: str) -> Column:
-    facts = python_facts(F.col("content"))[kind]
+def _python_array(kind: str, parsed: Column) -> Column:
+    facts = parsed[kind]
     if kind == "models":
         def one(m: Column) -> Column:
             fields = F.transform(m["fields"], lambda f: _field(f["name"], f["type"]))
@@ -352,13 +352,26 @@ def files_with(corpus: DataFrame, kind: str, keys: list[str] | None = None) -> D
         column, languages = _native_array(kind, keys)
         frames.append(once(corpus.where(F.col("lang").isin(languages)), "facts", column))
     if keys is None or "python" in keys:
-        frames.append(once(corpus.where(F.col("lang") == "python"), "facts", _python_array(kind)))
+        frames.append(once(corpus.where(F.col("lang") == "python"), "facts", _python_array(kind, python_facts(F.col("content")))))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
 
 
+def with_syntax(corpus: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """``corpus`` with the column ``py``: the facts of a Python file's one parse; other files are not sent."""
+    here = F.col("lang") == "python" if wanted is None else (F.col("lang") == "python") & wanted
+    return once(corpus, "py", python_facts(F.when(here, F.col(TEXT))))
+
+
+def fact_array(kind: str) -> Column:
+    """Facts of one kind of a file of any language as an array; needs ``with_syntax``."""
+    column, _ = _native_array(kind)
+    none = F.array().cast(f"array<{TYPES[kind]}>")
+    return F.coalesce(column.when(F.col("lang") == "python", _python_array(kind, F.col("py"))), none)
+
+
 def language_rank() -> Column:
     return constant_map({lang: str(i) for i, lang in enumerate(LANGUAGE_ORDER)})[F.col("lang")].cast("int")
 

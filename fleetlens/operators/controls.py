@@ -25,8 +25,8 @@ from fleetlens import values as V
 from fleetlens.control_table import packaged_controls
 from fleetlens.functions.regexkit import let, once, rx
 from fleetlens.functions.text import constant_map, constant_rows
-from fleetlens.operators.checks import CHECK_COLUMNS, check_order, union_all
-from fleetlens.operators.code_scan import files_with, language_rank
+from fleetlens.operators.checks import CHECK_COLUMNS, check_order, source_signals, union_all
+from fleetlens.operators.code_scan import fact_array, files_with, language_rank, with_syntax
 from fleetlens.sources.corpus import evidence_path_ok
 
 MAX_CONTROLS = 10_000
@@ -231,8 +231,8 @@ def _grep_params(d: dict) -> tuple[list[str], list[str], list[str]]:
     return patterns, _as_list(det.get("include_glob") or V.DEFAULT_INCLUDE), _as_list(det.get("exclude_glob"))
 
 
-def grep_hits(corpus: DataFrame, dets: list[dict], path_rules: dict | None = None) -> DataFrame:
-    """(project, path, ctl, pat): every file and pattern of a control that meet.
+def _grep_array(dets: list[dict], path_rules: dict | None = None) -> Column:
+    """The (ctl, pat) pairs that a file's path and content meet, as an array.
 
     Distinct file rules and distinct patterns are evaluated once per file.
     """
@@ -248,16 +248,24 @@ def grep_hits(corpus: DataFrame, dets: list[dict], path_rules: dict | None = Non
             if p not in patterns:
                 patterns.append(p)
             pairs.append({"ctl": d["ctl"], "pat": i, "rule": rules.index(rule), "regex": patterns.index(p)})
-    path = F.col("path")
-    allowed = F.array(*[evidence_path_ok(path, list(inc), list(exc), **(path_rules or {})) for inc, exc in rules])
-    files = once(corpus.select("project", "path", "content"), "allowed", allowed).where(F.array_contains("allowed", True))
+    allowed = F.array(*[evidence_path_ok(F.col("path"), list(inc), list(exc), **(path_rules or {})) for inc, exc in rules])
     seen = F.array(*[F.col("content").rlike(rx(p, multiline=True)) for p in patterns])
     table = _struct_array(pairs, "ctl:int,pat:int,rule:int,regex:int")
-    hit = let(seen, lambda s: F.filter(table, lambda q: F.get(F.col("allowed"), q["rule"]) & F.get(s, q["regex"])))
-    return files.select("project", "path", F.explode(hit).alias("h")).select("project", "path", "h.ctl", "h.pat")
+    hit = let(seen, lambda s: let(allowed, lambda ok: F.filter(table, lambda q: F.get(ok, q["rule"]) & F.get(s, q["regex"]))))
+    return F.when(let(allowed, lambda ok: F.array_contains(ok, True)), F.transform(hit, lambda h: F.struct(h["ctl"].alias("ctl"), h["pat"].alias("pat"))))
+
+
+def grep_hits(corpus: DataFrame, dets: list[dict], path_rules: dict | None = None) -> DataFrame:
+    """(project, path, ctl, pat): every file and pattern of a control that meet."""
+    return _hit_rows(once(corpus.select("project", "path", "content"), "hits", _grep_array(dets, path_rules)))
+
+
+def _hit_rows(files: DataFrame) -> DataFrame:
+    return files.select("project", "path", F.explode("hits").alias("h")).select("project", "path", "h.ctl", "h.pat")
 
 
 def detect_grep(projects: DataFrame, corpus: DataFrame, dets: list[dict], path_rules: dict | None = None) -> DataFrame:
+    """``corpus`` holds texts, or is a ``text_stream`` that has looked at them already."""
     rows = []
     for d in dets:
         det = d["detection"]
@@ -270,7 +278,8 @@ def detect_grep(projects: DataFrame, corpus: DataFrame, dets: list[dict], path_r
     if not active:
         hits = base.select("project", "ctl", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("pat")).where(F.lit(False))
     else:
-        hits = grep_hits(corpus, active, path_rules)
+        hits = _hit_rows(corpus) if "hits" in corpus.columns else grep_hits(corpus, active, path_rules)
+        hits = hits.where(F.col("ctl").isin([d["ctl"] for d in active]))
     # the first hits of a control: the target of any-of, the offenders of none-of
     few = _first_few(hits.withColumn("hit", F.struct("path", "pat")), ["project", "ctl"], ["path", "pat"], "hit")
     result = base.join(few.withColumnRenamed("uncovered", "few"), ["project", "ctl"], "left").withColumn("first", F.get("few", F.lit(0)))
@@ -297,13 +306,12 @@ def detect_grep(projects: DataFrame, corpus: DataFrame, dets: list[dict], path_r
 # --- route_guard -----------------------------------------------------------------------
 
 
-def _guarded_files(sources: DataFrame, guard_sets: list[list[str]], radius: int) -> DataFrame:
-    """Files with routes and, per line that has one, a flag per guard set.
+def _guard_lines(guard_sets: list[list[str]], radius: int) -> Column:
+    """Per line that has a route a flag per guard set.
 
     The window of lines is cut inside the file row, once per distinct line,
     so no text is ever shuffled.
     """
-    files = files_with(sources, "routes").where(F.size("facts") > 0)
     lines = F.split("content", "\n", -1)
 
     def flags(all_lines: Column, line: Column) -> Column:
@@ -315,8 +323,14 @@ def _guarded_files(sources: DataFrame, guard_sets: list[list[str]], radius: int)
         )
 
     route_lines = F.array_distinct(F.transform("facts", lambda r: r["line"]))
-    by_line = let(lines, lambda ls: let(route_lines, lambda rl: F.map_from_arrays(rl, F.transform(rl, lambda n: flags(ls, n)))))
-    kept = once(files, "by_line", by_line)
+    return let(lines, lambda ls: let(route_lines, lambda rl: F.map_from_arrays(rl, F.transform(rl, lambda n: flags(ls, n)))))
+
+
+def _guarded_files(sources: DataFrame, guard_sets: list[list[str]], radius: int) -> DataFrame:
+    """Files with routes and, per line that has one, a flag per guard set."""
+    if "by_line" in sources.columns:
+        return sources.where(F.size("facts") > 0).select("project", "path", "lang_rank", "facts", "by_line")
+    kept = once(files_with(sources, "routes").where(F.size("facts") > 0), "by_line", _guard_lines(guard_sets, radius))
     return kept.select("project", "path", language_rank().alias("lang_rank"), "facts", "by_line")
 
 
@@ -565,6 +579,43 @@ def _ancestors(path: Column) -> Column:
     )
 
 
+# --- one pass over the texts ---------------------------------------------------------------
+
+
+def text_stream(
+    corpus: DataFrame,
+    is_source: Column,
+    controls: list[dict] | None = None,
+    path_rules: dict | None = None,
+    key_format: str = V.PACT_KEY_FORMAT,
+) -> DataFrame:
+    """What checks and controls need from each file's text, without the text, in one pass over the files.
+
+    (project, path, lang, is_source, signals, facts, by_line, hits): the
+    signals of the source checks, routes with the flags of their guards, and
+    the patterns of grep controls that the file meets.  Syntax is looked at in
+    source files only.  Stage it once and pass it to ``run_checks`` and
+    ``run_compliance`` (with the same controls) as table ``texts``.
+    """
+    dets = number_detections(packaged_controls() if controls is None else controls)
+    active = [d for d in dets if d["detection"]["method"] == "source_grep" and _grep_params(d)[0]]
+    guards = [d for d in dets if d["detection"]["method"] == "route_guard"]
+    none = F.array().cast("array<struct<ctl:int,pat:int>>")
+    files = once(corpus.select("project", "path", "lang", "content"), "is_source", is_source)
+    files = with_syntax(files, F.col("is_source"))
+    scanned = F.struct(
+        F.when(F.col("is_source"), fact_array("routes")).alias("facts"),
+        F.when(F.col("is_source") & (F.col("lang") == "python"), source_signals(key_format)).alias("signals"),
+        F.coalesce(_grep_array(active, path_rules), none).alias("hits") if active else none.alias("hits"),
+    )
+    files = once(files, "scanned", scanned).select("project", "path", "lang", "content", "is_source", "scanned.*")
+    sets = _guard_rules(guards)[0]
+    lines = F.when(F.size("facts") > 0, _guard_lines(sets, V.GUARD_RADIUS)) if sets else F.lit(None).cast("map<int,array<boolean>>")
+    return once(files, "by_line", lines).select(
+        "project", "path", "lang", language_rank().alias("lang_rank"), "is_source", "signals", "facts", "by_line", "hits"
+    )
+
+
 # --- dispatch, applicability, corroboration --------------------------------------------------
 
 
@@ -582,9 +633,11 @@ def detect(tables: dict[str, DataFrame], dets: list[dict], as_of: str, path_rule
     """Every detection for every project, one branch per method in use.
 
     ``tables``: projects, corpus, sources, registry_fields, project_config,
-    evidence_index, file_meta and, where used, config_values, companion_paths.
+    evidence_index, file_meta and, where used, config_values, companion_paths;
+    ``texts`` is the ``text_stream`` of the same controls, if there is one.
     """
     projects = tables["projects"]
+    texts = tables.get("texts")
     by_method: dict[str, list[dict]] = {}
     for d in dets:
         by_method.setdefault(d["detection"]["method"], []).append(d)
@@ -593,9 +646,9 @@ def detect(tables: dict[str, DataFrame], dets: list[dict], as_of: str, path_rule
     if registry:
         frames.append(detect_registry(projects, tables["registry_fields"], registry))
     if "source_grep" in by_method:
-        frames.append(detect_grep(projects, tables["corpus"], by_method.pop("source_grep"), path_rules))
+        frames.append(detect_grep(projects, tables["corpus"] if texts is None else texts, by_method.pop("source_grep"), path_rules))
     if "route_guard" in by_method:
-        frames.append(detect_route_guard(projects, tables["sources"], tables["project_config"], by_method.pop("route_guard")))
+        frames.append(detect_route_guard(projects, tables["sources"] if texts is None else texts, tables["project_config"], by_method.pop("route_guard")))
     if "evidence_doc" in by_method:
         frames.append(detect_evidence(projects, tables["evidence_index"], tables["file_meta"], as_of, by_method.pop("evidence_doc")))
     if "config_present" in by_method:
@@ -747,6 +800,12 @@ def verdict_to_check(results: DataFrame, controls: list[dict]) -> DataFrame:
     )
 
 
+def chosen_controls(controls: list[dict] | None = None, frameworks: list[str] | None = None) -> list[dict]:
+    """The controls (default: the packaged ones) of the chosen frameworks."""
+    wanted = [f.lower() for f in frameworks or []]
+    return [c for c in (packaged_controls() if controls is None else controls) if not wanted or c["framework"] in wanted]
+
+
 def run_compliance(
     tables: dict[str, DataFrame],
     as_of: str,
@@ -755,9 +814,7 @@ def run_compliance(
     path_rules: dict | None = None,
 ) -> DataFrame:
     """Check rows of all controls of the chosen frameworks, in slug order."""
-    chosen = packaged_controls() if controls is None else controls
-    wanted = [f.lower() for f in frameworks or []]
-    chosen = [c for c in chosen if not wanted or c["framework"] in wanted]
+    chosen = chosen_controls(controls, frameworks)
     if not chosen:
         return _no_checks(tables["projects"])
     return verdict_to_check(evaluate_controls(tables, chosen, as_of, path_rules), chosen)

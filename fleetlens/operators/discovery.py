@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens import values as V
 from fleetlens.operators import code_scan as code
 from fleetlens.operators.checks import union_all
-from fleetlens.operators.line_scan import env_vars, scan_pact_keys, scan_sensitive_fields
-
-KINDS = ["components", "models", "routes", "pact_keys", "env_vars", "sensitive_fields"]
+from fleetlens.operators.file_facts import KINDS, LABEL, all_rows, fact_stream, kind_rows
+from fleetlens.session import stage
 
 
 def _object(text: Column) -> Column:
@@ -83,46 +82,37 @@ def openapi_components(specs: DataFrame) -> DataFrame:
     )
 
 
-def discover(sources: DataFrame, specs: DataFrame | None = None, live_models: DataFrame | None = None) -> dict[str, DataFrame]:
+def discover(sources: DataFrame, specs: DataFrame | None = None, live_models: DataFrame | None = None, staged: bool = False) -> dict[str, DataFrame]:
     """Every kind of fact over all languages and sources; nothing is deduplicated.
 
-    The frames are lazy.  To use several of them, land ``sources`` as parquet
-    partitioned by ``lang`` first: each scan then reads only its languages.
+    All frames explode one pass over the files.  ``staged`` writes its facts
+    once, so that several frames can be used without reading texts again.
     """
-    facts = {kind: code.scan(sources, kind) for kind in ("models", "routes", "components")}
+    stream = fact_stream(sources)
+    if staged:
+        stream = stage(stream, "facts")
+    facts = {kind: kind_rows(stream, kind) for kind in KINDS}
     if live_models is not None:
         facts["models"] = facts["models"].unionByName(live_models)
     if specs is not None:
         facts["routes"] = facts["routes"].unionByName(openapi_routes(specs))
         facts["components"] = facts["components"].unionByName(openapi_components(specs))
-    facts["pact_keys"] = scan_pact_keys(sources)
-    facts["env_vars"] = env_vars(sources)
-    facts["sensitive_fields"] = scan_sensitive_fields(sources)
     return facts
 
 
-def discovery_union(facts: dict[str, DataFrame]) -> DataFrame:
-    """All facts in one table: (project, kind, name, source_file, line, confidence)."""
-    label = {
-        "components": "name",
-        "models": "name",
-        "routes": "route",
-        "pact_keys": "key",
-        "env_vars": "name",
-        "sensitive_fields": "field_name",
-    }
-    frames = []
-    for kind in KINDS:
-        frame = facts[kind]
-        file = "source_file" if "source_file" in frame.columns else "path"
-        frames.append(
-            frame.select(
-                "project", F.lit(kind).alias("kind"), F.col(label[kind]).alias("name"), F.col(file).alias("source_file"), "line", "confidence"
-            )
-        )
+def discovery_union(sources: DataFrame, specs: DataFrame | None = None, live_models: DataFrame | None = None) -> DataFrame:
+    """All facts in one table: (project, kind, name, source_file, line, confidence); every text is read once."""
+    more = []
+    if live_models is not None:
+        more.append(("models", live_models))
+    if specs is not None:
+        more += [("routes", openapi_routes(specs)), ("components", openapi_components(specs))]
+    frames = [all_rows(fact_stream(sources))]
+    for kind, frame in more:
+        frames.append(frame.select("project", F.lit(kind).alias("kind"), F.col(LABEL[kind]).alias("name"), "source_file", "line", "confidence"))
     return union_all(frames)
 
 
-def discovery_summary(facts: dict[str, DataFrame]) -> DataFrame:
-    """(project, kind, n)."""
-    return discovery_union(facts).groupBy("project", "kind").agg(F.count(F.lit(1)).alias("n"))
+def discovery_summary(union: DataFrame) -> DataFrame:
+    """(project, kind, n) of ``discovery_union``."""
+    return union.groupBy("project", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens import values as V
 from fleetlens.operators import baseline as B, controls as C, discovery, drafts as D
 from fleetlens.operators.checks import run_checks
-from fleetlens.operators.report import score_by_tool
+from fleetlens.operators.report import check_log, check_summary, score_by_tool
 from fleetlens.session import stage
 from fleetlens.sources import documents as S
-from fleetlens.sources.corpus import corpus_language, source_files
+from fleetlens.sources.corpus import corpus_language, is_source_file, source_files
 from fleetlens.sources.sinks import baseline_sink, draft_sink, report_sink
 
 
@@ -85,8 +85,11 @@ def artifacts(corpus: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def checks(corpus: DataFrame, settings: Settings, tools: list[str] | None = None) -> DataFrame:
-    """Every check row of every project."""
+    """Every check row of every project; the texts are read once."""
     inputs = tables(corpus, settings)
+    wanted = is_source_file(settings.source_dirs, settings.languages, settings.exclude)
+    chosen = C.chosen_controls(settings.controls, settings.frameworks)
+    inputs["texts"] = stage(C.text_stream(inputs["corpus"], wanted, chosen, None, settings.key_format), "texts")
     compliance = C.run_compliance(inputs, settings.as_of, settings.controls, settings.frameworks)
     return run_checks(inputs, tools, settings.key_format).unionByName(compliance)
 
@@ -122,13 +125,13 @@ def run(corpus: DataFrame, settings: Settings, folder: str, stamp: str, baseline
     never forces an earlier step to run again.
     """
     landed = land(corpus)
-    facts = {k: stage(f, f"facts-{k}") for k, f in discovery.discover(
-        source_files(landed, settings.source_dirs, settings.languages, settings.exclude)).items()}
-    rows = stage(checks(landed, settings), "checks")
-    report_sink(rows, folder, stamp)
+    facts = discovery.discover(source_files(landed, settings.source_dirs, settings.languages, settings.exclude), staged=True)
+    rows = check_log(checks(landed, settings))
+    summary = stage(check_summary(rows), "summary")
+    report_sink(rows, summary, folder, stamp)
     draft_sink(draft_tables(facts, landed.select("project").distinct()), posixpath.join(folder, "drafts"))
-    baseline_sink(B.baseline_snapshot(rows), posixpath.join(folder, f"baseline_{stamp}"))
-    out = {"checks": rows, "scores": score_by_tool(rows), **facts}
+    baseline_sink(B.baseline_snapshot(summary), posixpath.join(folder, f"baseline_{stamp}"))
+    out = {"checks": rows, "scores": score_by_tool(summary), **facts}
     if baseline is not None:
-        out["regressions"] = B.verify_baseline(baseline, rows)
+        out["regressions"] = B.verify_baseline(baseline, summary)
     return out

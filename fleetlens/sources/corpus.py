@@ -147,6 +147,18 @@ def corpus_exclude(files: DataFrame, exclude: list[str] | None = None) -> DataFr
     return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(n) for n in names])))
 
 
+def is_source_file(dirs: list[str] | None = None, languages: list[str] | None = None, exclude: list[str] | None = None) -> Column:
+    """Is a file (path, lang) of a known language and below a source folder?"""
+    wanted = F.lit(False)
+    for folder in V.SOURCE_DIRS if dirs is None else dirs:
+        rel = posixpath.normpath(folder)
+        wanted = wanted | (F.lit(True) if rel == "." else F.col("path").startswith(rel + "/"))
+    names = V.SOURCE_EXCLUDE if exclude is None else exclude
+    if names:
+        wanted = wanted & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(n) for n in names]))
+    return wanted & (F.col("lang").isNotNull() if languages is None else F.coalesce(F.col("lang").isin(languages), F.lit(False)))
+
+
 def source_files(
     corpus: DataFrame,
     dirs: list[str] | None = None,
@@ -154,14 +166,7 @@ def source_files(
     exclude: list[str] | None = None,
 ) -> DataFrame:
     """Files the discovery scanners read: known language, below a source folder."""
-    wanted = F.lit(False)
-    for folder in V.SOURCE_DIRS if dirs is None else dirs:
-        rel = posixpath.normpath(folder)
-        wanted = wanted | (F.lit(True) if rel == "." else F.col("path").startswith(rel + "/"))
-    kept = corpus_exclude(corpus.where(wanted), exclude)
-    if languages is None:
-        return kept.where(F.col("lang").isNotNull())
-    return kept.where(F.col("lang").isin(languages))
+    return corpus.where(is_source_file(dirs, languages, exclude))
 
 
 def evidence_path_ok(

@@ -6,16 +6,21 @@ import posixpath
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.report import score_overall
+from fleetlens.operators.report import recommendations, score_overall
 
 
-def report_sink(checks: DataFrame, folder: str, stamp: str) -> None:
-    """Check rows and scores as JSON, under the run's stamp and as "latest"."""
-    scores = score_overall(checks)
-    for place in (f"report_{stamp}", "report_latest"):
-        mode = "overwrite" if place == "report_latest" else "errorifexists"
-        checks.write.mode(mode).json(posixpath.join(folder, place, "checks"))
-        scores.write.mode(mode).json(posixpath.join(folder, place, "scores"))
+def report_sink(log: DataFrame, summary: DataFrame, folder: str, stamp: str) -> None:
+    """Check rows, scores and recommendations as JSON, under the run's stamp and then as "latest".
+
+    "latest" is only touched once the stamped run is whole, and is copied from
+    it, so a run that fails before leaves the last one in place.
+    """
+    tables = {"checks": log.drop("seq"), "scores": score_overall(summary), "recommendations": recommendations(summary, log)}
+    for name, table in tables.items():
+        table.write.mode("errorifexists").json(posixpath.join(folder, f"report_{stamp}", name))
+    for name, table in tables.items():
+        done = table.sparkSession.read.schema(table.schema).json(posixpath.join(folder, f"report_{stamp}", name))
+        done.write.mode("overwrite").json(posixpath.join(folder, "report_latest", name))
 
 
 def draft_sink(drafts: DataFrame, folder: str) -> None:

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.control_table import packaged_controls
-from fleetlens.operators import assertions as A, baseline as B, controls as C, report as R
+from fleetlens.operators import assertions as A, baseline as B, controls as C, discovery, report as R
+from fleetlens.operators.checks import run_checks
 from fleetlens.plans import posture
+from fleetlens.sources.corpus import is_source_file
 from fleetlens.sources import corpus as S
 
 NOW = datetime.now(timezone.utc)
@@ -245,13 +247,43 @@ def test_recommendation_order(spark):
         ("p", "x", "fine", "t", "FAIL", "PASS", "", 0),
     ]
     df = spark.createDataFrame(rows, "project string, tool string, check_id string, target string, severity string, status string, message string, ord int")
-    got = [r.recommendation for r in R.recommendations(df).orderBy("place").collect()]
+    log = R.check_log(df)
+    summary = R.check_summary(log)
+    got = [r.recommendation for r in R.recommendations(summary, log).orderBy("place").collect()]
     assert got == ["Add authority field to early", "Fix: other — why", "Configure audit_channel in baton.yaml global config"]
-    score = R.score_overall(df).first()
+    score = R.score_overall(summary).first()
     assert (score.score_pass, score.score_warn, score.score_fail, score.total, score.score_pct) == (1, 2, 3, 6, 16.7)
-    assert R.gate_decision(df.where("status = 'WARN'")).first().failed is False
-    assert R.gate_decision(df.where("status = 'WARN'"), strict=True).first().failed is True
-    assert {r.check_id: r.status for r in B.baseline_snapshot(df).collect()}["other"] == "FAIL"
+    warned = summary.where("score_warn > 0 AND score_fail = 0")
+    assert R.gate_decision(warned).first().failed is False
+    assert R.gate_decision(warned, strict=True).first().failed is True
+    assert {r.check_id: r.status for r in B.baseline_snapshot(summary).collect()}["other"] == "FAIL"
+    idle = spark.createDataFrame([("p",), ("idle",)], "project string")
+    assert {r.project: r.score_pct for r in R.score_overall(summary, idle).collect()} == {"p": 16.7, "idle": 100.0}
+    # partial summaries add up
+    halves = [R.check_summary(log.where(f"seq % 2 = {k}")) for k in (0, 1)]
+    assert R.score_by_tool(halves[0].unionByName(halves[1])).orderBy("tool").collect() == R.score_by_tool(summary).orderBy("tool").collect()
+
+
+def test_texts_are_read_once(tree, spark):
+    """Checks and controls on the staged stream give the rows they give on texts."""
+    tree.write(
+        {
+            "src/app.py": "# audit\nfrom fastapi import APIRouter\nrouter = APIRouter()\nclass A:\n    def run(self, event_handler): pass\n@router.get('/x')\ndef x(): pass\n",
+            "src/b.ts": "app.get('/y', (req) => 1)\nconst k = 'PACT:a1:b'",
+            "docs/a.md": "webauthn login\ncvv",
+            "src/broken.py": "def (",
+        }
+    )
+    inputs = posture.tables(tree.corpus(), tree.settings())
+    plain = run_checks(inputs).unionByName(C.run_compliance(inputs, AS_OF))
+    inputs["texts"] = C.text_stream(inputs["corpus"], is_source_file())
+    streamed = run_checks(inputs).unionByName(C.run_compliance(inputs, AS_OF))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, streamed.collect()))
+    union = discovery.discovery_union(inputs["sources"])
+    facts = discovery.discover(inputs["sources"], staged=True)
+    assert union.count() == sum(f.count() for f in facts.values()) > 0
+    plan = union._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan ") == 1
 
 
 def test_assertions_name_the_misses(tree, spark):
