@@ -274,7 +274,7 @@ def _(t):
 _STOP = S.sql_list(V.RISK_STOP_WORDS)
 _ABSENT = " OR ".join(f"contains(lower(description), '{p}')" for p in V.RISK_ABSENCE_PHRASES)
 _BASE = f"""concat(upper(framework), '-', coalesce(nullif(array_to_string(list_filter(regexp_extract_all(upper(replace(description, 'ß', 'SS')), '[A-Z0-9]+'), lambda w: NOT list_contains([{_STOP}], w))[1:4], '-'), ''), 'NEW-RISK'))"""
-RISK_SQL = f"""SELECT risk_id, framework, {_BASE} AS base_id, substr(description, 1, 96) AS title, 'must' AS severity, 'source_grep' AS method,
+RISK_SQL = f"""SELECT risk_id, framework, {_BASE} AS base_id, substr(description, 1, 96) AS title, description, 'Project Risk' AS family, 'Project-defined' AS framework_ref, 'must' AS severity, 'source_grep' AS method,
   CASE WHEN {_ABSENT} THEN 'none_of' ELSE 'any_of' END AS mode,
   coalesce(list_reduce(regexp_extract_all(description, '[A-Za-z0-9_]+'), lambda a, w: CASE WHEN length(w) > length(a) THEN w ELSE a END, ''), '') AS pattern,
   CASE WHEN {_ABSENT} THEN 'source_pattern_absent' ELSE 'source_pattern_present' END AS assertion FROM risk_texts"""
@@ -294,7 +294,7 @@ _TAKEN = f"""SELECT id FROM ({sql_rows((i,) for i in _IDS)}) v(id) UNION SELECT
 @query(
     "risk_id_collision",
     f"""WITH b AS (SELECT risk_id, {_BASE} AS base_id FROM risk_texts), taken AS ({_TAKEN}),
-numbered AS (SELECT risk_id, base_id, row_number() OVER (PARTITION BY base_id ORDER BY risk_id % 64, risk_id) AS k FROM b),
+numbered AS (SELECT risk_id, base_id, row_number() OVER (PARTITION BY base_id ORDER BY risk_id) AS k FROM b),
 used AS (SELECT n.base_id, CASE WHEN t.id = n.base_id THEN 1 ELSE CAST(substr(t.id, length(n.base_id) + 2) AS BIGINT) END AS n
   FROM (SELECT DISTINCT base_id FROM b) n JOIN taken t ON t.id = n.base_id OR (starts_with(t.id, concat(n.base_id, '-')) AND regexp_full_match(substr(t.id, length(n.base_id) + 2), '[1-9][0-9]*'))),
 sizes AS (SELECT base_id, max(k) AS m FROM numbered GROUP BY 1),

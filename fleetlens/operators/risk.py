@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import values as V
+from fleetlens.functions.ordered import positions
 from fleetlens.functions.regexkit import escape_regex
+from fleetlens.session import stage
 
-BUCKETS = 64
+#: Places of a base id that are looked up in one group.
+BLOCK = 1024
 
 
 def _topic(description: Column) -> Column:
@@ -40,6 +43,9 @@ def risk_controls(risks: DataFrame) -> DataFrame:
         "framework",
         F.concat(F.upper("framework"), F.lit("-"), _topic(text)).alias("base_id"),
         F.substring(text, 1, V.RISK_TITLE_CHARS).alias("title"),
+        "description",
+        F.lit(V.RISK_FAMILY).alias("family"),
+        F.lit(V.RISK_FRAMEWORK_REF).alias("framework_ref"),
         F.lit("must").alias("severity"),
         F.lit("source_grep").alias("method"),
         F.when(forbid, "none_of").otherwise("any_of").alias("mode"),
@@ -48,39 +54,72 @@ def risk_controls(risks: DataFrame) -> DataFrame:
     )
 
 
-def risk_id_collision(drafted: DataFrame, existing: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Free ids for drafted controls: the base id, else the next free suffix.
+NUMBERED = r"^(.+)-([1-9][0-9]*)$"
 
-    drafted(risk_id, base_id); existing(id) is the control table.  Rows of one
-    base id are numbered in buckets of ``risk_id``: each bucket is numbered on
-    its own and shifted by the size of the buckets before it, so one very
-    frequent id is spread over many tasks.
+
+def _numbers(ids: DataFrame) -> DataFrame:
+    """(base_id, n) that each id takes: number 1 of itself, and number n of what stands before its suffix."""
+    stem, n = F.regexp_extract("id", NUMBERED, 1), F.regexp_extract("id", NUMBERED, 2).try_cast("bigint")
+    both = F.array(F.struct(F.col("id").alias("base_id"), F.lit(1).cast("bigint").alias("n")), F.struct(stem.alias("base_id"), n.alias("n")))
+    rows = ids.select(F.explode(both).alias("t")).select("t.*")
+    return rows.where((F.col("base_id") != "") & F.col("n").isNotNull()).where("n >= 1").distinct()
+
+
+def _claimed(children: DataFrame, taken: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(base_id, n): numbers that another base takes first, given the numbers ``taken`` so far.
+
+    A child's name is a number of its parent.  Whoever gets there first keeps
+    it: the child with its first risk, the parent with the risk whose place is
+    the rank of this number among its free ones.
     """
-    bucket = F.pmod("risk_id", F.lit(buckets))
-    rows = drafted.select("risk_id", "base_id", bucket.alias("bucket"))
-    sizes = rows.groupBy("base_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("base_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = sizes.select("base_id", "bucket", F.coalesce(before, F.lit(0)).alias("shift"))
-    inside = F.row_number().over(Window.partitionBy("base_id", "bucket").orderBy("risk_id"))
-    numbered = rows.withColumn("inside", inside).join(shifts, ["base_id", "bucket"])
-    # an existing id blocks number 1 of itself and number n of its prefix
-    suffix = F.regexp_extract("id", r"^(.+)-([1-9][0-9]*)$", 2)
-    taken = (
-        existing.select(F.col("id").alias("base_id"), F.lit(1).cast("bigint").alias("n"))
-        .unionByName(
-            existing.where(suffix != "").select(
-                F.regexp_extract("id", r"^(.+)-([1-9][0-9]*)$", 1).alias("base_id"), suffix.cast("bigint").alias("n")
-            )
-        )
-        .where((F.col("n") >= 1))
-        .groupBy("base_id")
-        .agg(F.array_sort(F.collect_set("n")).alias("taken"))
-    )
-    place = (F.col("shift") + F.col("inside")).cast("bigint")
-    none = F.array().cast("array<bigint>")
-    free = F.aggregate(F.coalesce("taken", none), place, lambda k, t: F.when(t <= k, k + 1).otherwise(k))
-    return numbered.join(taken, "base_id", "left").select(
-        "risk_id",
-        "base_id",
-        F.when(free == 1, F.col("base_id")).otherwise(F.concat("base_id", F.lit("-"), free.cast("string"))).alias("id"),
-    )
+    asked = children.select(F.col("parent").alias("base_id"), "n", F.lit(0).alias("kind"))
+    below = taken.join(asked.select("base_id").distinct(), "base_id", "left_semi").withColumn("kind", F.lit(1))
+    among = positions(asked.unionByName(below), ["base_id"], ["n", "kind"]).where("kind = 0").drop("kind")
+    alone = positions(asked.drop("kind"), ["base_id"], ["n"], "own")
+    rank = among.join(alone, ["base_id", "n"]).select(F.col("base_id").alias("parent"), "n", (F.col("n") - F.col("place") + F.col("own")).alias("place"))
+    parents = numbered.select(F.col("base_id").alias("parent"), "place", F.col("risk_id").alias("reached"))
+    met = children.join(rank, ["parent", "n"]).join(parents, ["parent", "place"], "left")
+    child_first = F.col("reached").isNull() | (F.col("first_risk") < F.col("reached"))
+    return met.select(F.when(child_first, F.col("parent")).otherwise(F.col("base_id")).alias("base_id"), F.when(child_first, F.col("n")).otherwise(F.lit(1)).cast("bigint").alias("n"))
+
+
+def risk_id_collision(drafted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Free ids for drafted controls in order of ``risk_id``: the base id, else the next free suffix.
+
+    drafted(risk_id, base_id); existing(id) is the control table.  The result
+    is that of drafting one risk after the other, ties of ``risk_id`` by base:
+    no id is given twice, also where one base is another one with a number.
+    Free numbers are ranges between the taken ones; a row finds its range by
+    its place.  Which of two bases gets a name they share is settled in
+    rounds, until nothing changes; a round settles at least the next such
+    name of every base.  Without a base there is no id.
+    """
+    rows = drafted.select("risk_id", "base_id")
+    numbered = stage(positions(rows.where(F.col("base_id").isNotNull()), ["base_id"], ["risk_id"]), "numbered")
+    bases = stage(numbered.groupBy("base_id").agg(F.max("place").alias("size"), F.min("risk_id").alias("first_risk")), "bases")
+    taken = stage(_numbers(existing).join(bases.select("base_id"), "base_id", "left_semi"), "taken")
+
+    stem = F.regexp_extract("base_id", NUMBERED, 1)
+    children = bases.select("base_id", "first_risk", stem.alias("parent"), F.regexp_extract("base_id", NUMBERED, 2).try_cast("bigint").alias("n"))
+    children = children.where("n >= 2").join(bases.select(F.col("base_id").alias("parent")), "parent", "left_semi")
+    children = stage(children.join(existing.select(F.col("id").alias("base_id")), "base_id", "left_anti"), "children")
+    claimed = taken.limit(0)
+    if not children.isEmpty():
+        while True:
+            now = stage(_claimed(children, taken.unionByName(claimed), numbered), "claimed")
+            if now.exceptAll(claimed).isEmpty() and claimed.exceptAll(now).isEmpty():
+                break
+            claimed = now
+
+    ranked = positions(taken.unionByName(claimed).distinct(), ["base_id"], ["n"], "i")
+    points = stage(ranked.unionByName(bases.select("base_id", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("i"))), "points")
+    after = points.select("base_id", (F.col("i") - 1).alias("i"), F.col("n").alias("next"))
+    ranges = points.join(after, ["base_id", "i"], "left").join(bases.select("base_id", "size"), "base_id")
+    ranges = ranges.select("base_id", "i", (F.col("n") - F.col("i") + 1).alias("lo"), F.least("size", F.col("next") - 1 - F.col("i")).alias("hi")).where("lo <= hi")
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    ranges = ranges.withColumn("block", F.explode(F.sequence(block("lo"), block("hi"))))
+    found = numbered.withColumn("block", block("place")).join(ranges, ["base_id", "block"]).where("place BETWEEN lo AND hi")
+    free = F.col("place") + F.col("i")
+    named = F.when(free == 1, F.col("base_id")).otherwise(F.concat("base_id", F.lit("-"), free.cast("string")))
+    none = rows.where(F.col("base_id").isNull()).withColumn("id", F.lit(None).cast("string"))
+    return found.select("risk_id", "base_id", named.alias("id")).unionByName(none)
