@@ -2,12 +2,13 @@
 
 A merge-type encoding is the only sequence of pieces in which merging any two
 neighbours' characters again gives these two pieces, so it is found without
-merging the text: at each place the longest piece is tried first, found for
-every place at once by an Aho-Corasick automaton over the reversed pieces,
-then its next shorter prefixes.  A piece is taken if it fits the one before.
-Where none fits, the place can't be a border, whatever led to it: its bit is
-set in a field of failed places and the search steps back, so every place
-fails once at most and the work is linear.
+merging the text.  An Aho-Corasick automaton of the pieces gives the longest
+matches of many parts in one scan; if each fits the one before, they are the
+encoding.  Else at each place the longest piece is tried first, then its next
+shorter prefixes, and one is taken if it fits the one before.  Where none
+fits, the place can't be a border, whatever led to it: its bit is set in a
+field of failed places and the search steps back, so every place fails once at
+most and the work is linear.
 
 Blanks become ``▁`` and one is put in front.  No piece runs over the start of
 a word or over a line's end, so texts are cut there and every distinct part
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -38,7 +40,7 @@ from . import common, lexicon, wordbpe
 
 SPACE = "▁"
 #: Distinct parts of texts that a worker keeps at a time, and pairs of pieces.
-KEPT, PAIRS = 250_000, 250_000
+KEPT, PAIRS = 350_000, 250_000
 #: Longer parts are rare and are encoded anew each time.
 KEPT_LENGTH = 64
 #: Characters that go through the automaton at a time.
@@ -78,15 +80,21 @@ class PieceBpe:
                 self.raw[i] = model.trainer_spec.unk_surface.encode()
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.spaced = np.array([p.startswith(SPACE) for p in self.pieces])
         self.control = frozenset(i for i, p in enumerate(model.pieces) if p.type == CONTROL)
+        self.control_array = np.array(sorted(self.control), np.int32)
         self.byte_ids = frozenset(self.bytes.values())
         #: the next shorter piece that a piece starts with
         self.shorter = {i: self._prefix(p) for p, i in self.ids.items()}
         self.length = {i: len(p) for p, i in self.ids.items()}
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.matcher.add_word(piece[::-1], i)
+            self.matcher.add_word(piece, i)
         self.matcher.make_automaton()
+        self.reach = max(self.length.values())
         self.fits: dict[tuple[int, int], bool] = {}
         inside = {c for p in self.ids for c in p if len(p) > 1}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -135,24 +143,60 @@ class PieceBpe:
 
     # -- the search
 
-    def longest(self, text: str) -> array:
-        """The longest piece that starts at each place; a character without one by itself."""
-        hits = list(self.matcher.iter(text[::-1]))  # those of one place longest first
-        hits.reverse()
-        at = dict(hits).get
-        found = map(at, range(len(text) - 1, -1, -1))
-        return array("i", [-2 - ord(c) if token is None else token for token, c in zip(found, text, strict=True)])
-
-    def search(self, longest: array, begin: int, end: int) -> list[int]:
+    def longest(self, text: str, place: int, end: int) -> int:
+        """The longest piece that starts at a place; the character itself if there is none."""
+        size = self.matcher.longest_prefix(text[place : min(end, place + self.reach)])
+        find = self.ids.get
+        while size:
+            if (token := find(text[place : place + size])) is not None:
+                return token
+            size -= 1
+        return -2 - ord(text[place])
+
+    def greedy(self, text: str, begins: list[int], ends: list[int]) -> Iterator[list[int] | None]:
+        """For each span the tokens that always taking the longest gives, None if some neighbours don't fit.
+
+        The automaton finds the longest matches of all spans in one scan; no
+        match runs over the wall between two spans.
+        """
+        fits, length = self.fits, self.length
+        matches = self.matcher.iter_long(text)
+        stop, token = next(matches, (len(text), None))
+        for begin, end in zip(begins, ends, strict=True):
+            out: list[int] = []
+            place, last, good = begin, START, True
+            while place < end:
+                if stop < end:
+                    after, now = stop + 1, token
+                    start = after - length[now]
+                else:
+                    start = after = end
+                while place < start:  # characters without a piece
+                    held = -2 - ord(text[place])
+                    good = good and self.fit(last, held)
+                    out.append(held)
+                    last = held
+                    place += 1
+                if start < end:
+                    if good:
+                        good = fits.get((last, now))
+                        if good is None:
+                            good = self.fit(last, now)
+                    out.append(now)
+                    place, last = after, now
+                    stop, token = next(matches, (len(text), None))
+            yield out if good else None
+
+    def search(self, text: str, begin: int, end: int) -> list[int]:
         """The tokens of the text between two places."""
-        fits, shorter, length = self.fits, self.shorter, self.length
+        fits, shorter, length, longest = self.fits, self.shorter, self.length, self.longest
         failed = bytearray(((end - begin) >> 3) + 1)
         out: list[int] = []
-        place, last, token = begin, START, longest[begin]
+        place, last, token = begin, START, longest(text, begin, end)
         while True:
             after = place + (length[token] if token >= 0 else 1)
             bit = after - begin
-            if after <= end and not failed[bit >> 3] >> (bit & 7) & 1:
+            if not failed[bit >> 3] >> (bit & 7) & 1:
                 good = fits.get((last, token))
                 if good is None:
                     good = self.fit(last, token)
@@ -160,7 +204,7 @@ class PieceBpe:
                     out.append(token)
                     if after == end:
                         return out
-                    place, last, token = after, token, longest[after]
+                    place, last, token = after, token, longest(text, after, end)
                     continue
             token = shorter[token] if token >= 0 else None
             while token is None:
@@ -178,15 +222,16 @@ class PieceBpe:
         start = 0
         while start < len(parts):
             end, size = start, 0
+            begins, ends = [], []
             while end < len(parts) and (end == start or size + len(parts[end]) < SCANNED):
-                size += len(parts[end]) + 1
+                begins.append(size)
+                ends.append(size + len(parts[end]))
+                size = ends[-1] + 1
                 end += 1
-            some = parts[start:end]
-            longest = self.longest(self.wall.join(some))
-            place = 0
-            for part in some:
-                tokens = self.search(longest, place, place + len(part))
-                place += len(part) + 1
+            text = self.wall.join(parts[start:end])
+            for begin, stop, tokens in zip(begins, ends, self.greedy(text, begins, ends), strict=True):
+                if tokens is None:
+                    tokens = self.search(text, begin, stop)
                 if min(tokens) < 0:
                     tokens = [i for t in tokens for i in ([t] if t >= 0 else map(self.bytes.__getitem__, chr(-2 - t).encode()))]
                 out.append(array("i", tokens).tobytes())
@@ -207,6 +252,31 @@ class PieceBpe:
         except UnicodeDecodeError:
             return self._decode_runs(ids)
 
+    def decode_rows(self, rows: list[bytes]) -> pa.Array:
+        """The texts of many rows of little-endian 32-bit ids: the bytes of all their pieces in one gather."""
+        counts = np.array([len(r) // 4 for r in rows], np.int64)
+        ends = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(rows), "<i4")
+        if len(ids) and np.isin(ids, self.control_array).any():
+            return pa.array([self.decode(np.frombuffer(r, "<i4").tolist()) for r in rows], pa.string())
+        starts, sizes = self.raw_starts[ids], self.raw_sizes[ids]
+        firsts = (ends - counts)[counts > 0]
+        firsts = firsts[self.spaced[ids[firsts]]]
+        starts[firsts] += 1
+        sizes[firsts] -= 1
+        data = []
+        for k in range(0, len(ids), SCANNED):
+            size = sizes[k : k + SCANNED]
+            after = np.cumsum(size)
+            data.append(self.raw_flat[np.arange(after[-1]) + np.repeat(starts[k : k + SCANNED] - after + size, size)].tobytes())
+        joined = b"".join(data)
+        try:
+            joined.decode()
+        except UnicodeDecodeError:
+            return pa.array([self.decode(np.frombuffer(r, "<i4").tolist()) for r in rows], pa.string())
+        places = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])].astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(places), pa.py_buffer(joined)).cast(pa.string())
+
     def _decode_runs(self, ids: list[int]) -> str:
         out, held = [], bytearray()
         for i in [*ids, None]:
@@ -282,7 +352,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
             rows = known.encode(batch.column("text").to_pylist())
             columns = {"key": batch.column("key"), "ids": lexicon.id_lists(rows)}
             if decoded:
-                columns["decoded"] = pa.array([known.bpe.decode(np.frombuffer(r, "<i4").tolist()) for r in rows], pa.string())
+                columns["decoded"] = known.bpe.decode_rows(rows)
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -302,8 +372,8 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                texts = [bpe.decode(row or []) for row in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), pa.array(texts, pa.string())], ["key", "ids", "decoded"])
+                rows = [np.array(row or [], "<i4").tobytes() for row in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), bpe.decode_rows(rows)], ["key", "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(F.col(key).alias("key"), "ids").mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)

@@ -44,26 +44,54 @@ def test_encode_and_decode(bpe, library):
 
 def test_decode_of_any_ids(bpe, library):
     draw = random.Random(7)
-    for _ in range(3000):
-        ids = [draw.choice([draw.randint(0, 31999), draw.randint(3, 258), draw.randint(0, 3), 259, 28705]) for _ in range(draw.randint(0, 12))]
+    rows = [[draw.choice([draw.randint(0, 31999), draw.randint(3, 258), draw.randint(0, 3), 259, 28705]) for _ in range(draw.randint(0, 12))] for _ in range(3000)]
+    for ids in rows:
         assert bpe.decode(ids) == library.decode(ids), ids
+        assert bpe.decode_rows([np.array(ids, "<i4").tobytes(), b""]).to_pylist() == [library.decode(ids), ""]
+    plain = [[i for i in ids if i > 258] for ids in rows]
+    assert bpe.decode_rows([np.array(ids, "<i4").tobytes() for ids in plain]).to_pylist() == library.decode(plain)
+    assert bpe.decode_rows([]).to_pylist() == []
+
+
+def test_decode_in_steps(bpe, library, monkeypatch):
+    monkeypatch.setattr(piecebpe, "SCANNED", 7)
+    texts = fuzzed(bpe)
+    rows = piecebpe.Encoder(bpe).encode(texts)
+    assert bpe.decode_rows(rows).to_pylist() == library.decode(library.encode(texts))
 
 
 def test_longest_is_the_longest(bpe):
     text = "▁international\n▁▁▁x中￰"
-    for k, token in enumerate(bpe.longest(text)):
+    for k in range(len(text)):
         known = [text[k:n] for n in range(k + 1, len(text) + 1) if text[k:n] in bpe.ids]
-        assert bpe._text(token) == (max(known, key=len) if known else text[k])
+        assert bpe._text(bpe.longest(text, k, len(text))) == (max(known, key=len) if known else text[k])
+
+
+def test_greedy_takes_the_longest(bpe):
+    """The scan's matches are the longest from place to place, in every part."""
+    parts = ["▁international", "\n", "▁▁▁x中￰", "￰", "▁the", bpe.wall, "▁" * 40, "▁unbelievably", "abcabc"]
+    text = bpe.wall.join(parts)
+    begins = [sum(len(p) + 1 for p in parts[:k]) for k in range(len(parts))]
+    ends = [b + len(p) for b, p in zip(begins, parts, strict=True)]
+    for part, tokens in zip(parts, bpe.greedy(text, begins, ends), strict=True):
+        want, place = [], 0
+        while place < len(part):
+            want.append(bpe.longest(part, place, len(part)))
+            place += len(bpe._text(want[-1]))
+        fitting = bpe.fit(-1, want[0]) and all(bpe.fit(a, b) for a, b in zip(want, want[1:]))
+        assert tokens == (want if fitting else None)
 
 
 def test_search_marks_and_steps_back(bpe):
-    """Some words need a shorter piece than the longest at their start."""
+    """Some words need a shorter piece than the longest at their start; the search also gives what the scan gives."""
     words = ["▁" + p for p in bpe.pieces[300:9000] if p.isalpha() and p.isascii()]
-    greedy = [bpe._text(bpe.longest(w)[0]) for w in words]
-    first = [bpe.merged(w)[0] for w in words]
-    assert greedy != first
+    short = 0
     for word, row in zip(words, bpe.encode_parts(words), strict=True):
-        assert [bpe.pieces[i] for i in np.frombuffer(row, "<i4")] == bpe.merged(word)
+        want = bpe.merged(word)
+        short += want[0] != bpe._text(bpe.longest(word, 0, len(word)))
+        assert [bpe.pieces[i] for i in np.frombuffer(row, "<i4")] == want
+        assert list(map(bpe._text, bpe.search(word, 0, len(word)))) == want
+    assert short > 0
 
 
 def test_long_texts(bpe, library):
