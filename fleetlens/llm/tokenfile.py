@@ -68,7 +68,8 @@ class LibraryEncoder:
         for group in groups:
             for word in group:
                 if word not in words:
-                    symbols = word.encode().decode("latin-1").translate(self.shown)
+                    # the model's ids of printable words are those of the word itself
+                    symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
                     words[word] = pack([t.id for t in self.model.tokenize(symbols)])
         for chunk, group in zip(fresh, groups, strict=True):
             self.chunks[chunk] = words[group[0]] if len(group) == 1 else b"".join([words[w] for w in group])
@@ -219,8 +220,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
             index.publish()
             yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": n_docs, "n_tokens": sequences.n}])
 
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = source.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("tie", F.octet_length("text"))
+    ordered = source.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text").select("key", "text")
     manifest = common.stage(ordered.mapInArrow(run, "part long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
