@@ -40,10 +40,11 @@ PRODUCTION = Policy("2", RULES)
 
 def measured(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame:
     """``docs`` with the struct column ``into``: all measurements and ``bits``."""
-    if into in docs.columns:
+    if into.lower() in map(str.lower, docs.columns):
         raise ValueError(f"documents already have a column {into}")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    row = docs.select(F.struct(*docs.columns).alias("row"), whole.alias("text"))
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    row = docs.select(own.alias("row"), whole.alias("text"))
     bare = F.btrim("text", F.lit(BLANK))
     row = row.withColumn("words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\n\x0B\f\r]+")))
     row = row.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANK)) != ""))
@@ -71,7 +72,7 @@ def measured(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataF
     }
     # behind a generator, so that no filter on the verdict copies the steps above into itself
     row = row.select("row", F.explode(F.array(F.struct(*(c.alias(n) for n, c in numbers.items())))).alias(into))
-    return row.withColumn(into, F.col(into).withField("bits", failures(F.col(into)))).select("row.*", into)
+    return row.withColumn(into, F.col(into).withField("bits", failures(F.col(into)))).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)), into)
 
 
 def failures(m: Column) -> Column:
@@ -113,7 +114,7 @@ def ablation(ledgers: DataFrame, policy: Policy, ledger: str = "ledger") -> Data
 def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
     """The documents that pass the policy, with their own columns."""
     name = "ledger"
-    while name in docs.columns:
+    while name in map(str.lower, docs.columns):
         name += "_"
     return measured(docs, text, name).where(passes(policy, F.col(name))).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.session import ship
 
@@ -233,11 +234,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     blocks = query_blocks(benchmark, item, "text", window)
 
     def run(batches):
-        for batch in common.slices(batches, text, SHARD_BYTES):
-            found = judge(_texts(batch, text), [b.value for b in blocks])
-            yield batch.filter(pa.array([n == 0 for n in found["n_hit"]], pa.bool_()))
+        for batch in common.slices(batches, "text", SHARD_BYTES):
+            found = judge(_texts(batch, "text"), [b.value for b in blocks])
+            yield batch.select(["row"]).filter(pa.array([n == 0 for n in found["n_hit"]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # the row travels as one struct, whatever its columns' names
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    source = docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    kept = source.mapInArrow(run, StructType([source.schema["row"]]))
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:

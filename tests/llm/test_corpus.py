@@ -93,6 +93,18 @@ def test_suffix_array_is_sorted():
     assert (high - low).tolist() == [8, 7, 8, 0, 1]
 
 
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Dotted and clashing names pass through every stage of the pipeline that returns documents."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    more = {"a.b": "lang", "Ledger": "doc_id", "row": "doc_id", "key": "lang", "bits": "n_chars", "words": "lang", "c0": "doc_id"}
+    odd = docs.select("*", *(docs[c].alias(n) for n, c in more.items()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, odd, small)
+        assert kept.columns == odd.columns, name
+        rows = [r.asDict() for r in kept.collect()]
+        assert all(r[n] == r[c] for r in rows for n, c in more.items()), name
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     items = spark.createDataFrame([(7, "ring of the"), (8, None), (9, "")], "item_id long, text string")
     found = suffixes.clean(odd, items)
