@@ -228,8 +228,8 @@ TYPEORM_SQL = f"""SELECT project, source_file, coalesce(nullif(regexp_extract(re
     coalesce(nullif(regexp_extract_all(win, {sq(_COLUMN)}, 1)[i], ''), 'unknown'))), ','), '') AS fields, 'high' AS confidence
 FROM (
   SELECT project, path AS source_file, CAST(1 + length(head) - length(replace(head, chr(10), '')) AS INTEGER) AS line,
-    substr(content, length(head) + 1) AS rest, substr(content, length(head) + 1, 2000) AS win
-  FROM (SELECT project, path, content, array_to_string(parts[1:i], '@Entity(') AS head
+    substr(content, length(head) + 1) AS rest, concat('@Entity(', own) AS win
+  FROM (SELECT project, path, content, array_to_string(parts[1:i], '@Entity(') AS head, parts[i + 1] AS own
     FROM (SELECT project, path, content, string_split(content, '@Entity(') AS parts, unnest(range(1, len(string_split(content, '@Entity(')))) AS i
       FROM code_corpus WHERE lang IN ({TSJS})) a) b) c
 WHERE regexp_matches(rest, {sq('^' + _ENTITY)})"""

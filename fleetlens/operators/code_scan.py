@@ -71,6 +71,10 @@ def _names(structs: Column) -> Column:
     return F.transform(structs, lambda m: m["g1"])
 
 
+def _after_first(items: Column) -> Column:
+    return let(items, lambda x: F.slice(x, F.lit(2), F.size(x)))
+
+
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"(?U)\s+", -1), lambda w: w != "")
 
@@ -78,35 +82,44 @@ def _words(line: Column) -> Column:
 # --- TypeScript, JavaScript, Prisma ---------------------------------------
 
 
-def typeorm_models(text: Column) -> Column:
-    column = rx(V.TYPEORM_COLUMN)
+def typeorm_models(text: Column, window: int | None = None) -> Column:
+    """Entities with the columns of their own class.
 
-    def fields(start: Column) -> Column:
-        window = F.substring(text, start + 1, F.lit(V.TYPEORM_WINDOW))
-        pairs = let(
-            window,
-            lambda w: F.arrays_zip(
-                F.regexp_extract_all(w, F.lit(column), F.lit(2)), F.regexp_extract_all(w, F.lit(column), F.lit(1))
-            ).cast("array<struct<name:string,kind:string>>"),
-        )
+    The entities cut a text into stretches, in one pass.  An entity's columns
+    lie in its stretch, before the next ``@Entity(`` of whatever form and
+    before the class after its own; with ``window`` only that many characters
+    from the entity on are looked at.  Its name is the next class, if need be
+    one of a later stretch.
+    """
+    column, entity = rx(V.TYPEORM_COLUMN), rx(V.TYPEORM_ENTITY)
+    empty = F.array().cast(f"array<{MODEL_TYPE}>")
+
+    def own(e: Column, stretch: Column) -> Column:
+        near = stretch if window is None else F.substring(stretch, F.lit(1), F.greatest(F.lit(0), F.lit(window) - (e["stop"] - e["start"])))
+        return F.array_join(F.slice(F.split(F.substring_index(near, "@Entity(", 1), rx(V.CLASS_LINE, multiline=True), -1), 1, 2), "\n")
+
+    def fields(body: Column) -> Column:
+        pairs = F.arrays_zip(
+            F.regexp_extract_all(body, F.lit(column), F.lit(2)), F.regexp_extract_all(body, F.lit(column), F.lit(1))
+        ).cast("array<struct<name:string,kind:string>>")
         return F.transform(pairs, lambda p: _field(p["name"], F.when(p["kind"] == "", "unknown").otherwise(p["kind"])))
 
-    def build(entities: Column, classes: Column) -> Column:
-        def one(e: Column) -> Column:
-            later = F.get(F.filter(classes, lambda c: c["start"] >= e["stop"]), F.lit(0))["g1"]
-            table = F.when(e["g1"] != "", e["g1"])
-            return _model(F.coalesce(later, table, F.lit("Unknown")), e["line"], "typeorm", "high", fields(e["start"]))
+    def build(cut: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            later = F.get(F.filter(F.slice(cut, i + 2, F.size(cut)), lambda d: d["name"] != ""), F.lit(0))["name"]
+            table = F.when(c["e"]["g1"] != "", c["e"]["g1"])
+            name = F.when(c["name"] != "", c["name"]).otherwise(F.coalesce(later, table, F.lit("Unknown")))
+            return _model(name, c["e"]["line"], "typeorm", "high", let(c["body"], fields))
 
-        return F.transform(entities, one)
+        return F.transform(cut, one)
 
-    entities = match_structs(TEXT, rx(V.TYPEORM_ENTITY))
-    found = let(
-        entities,
-        lambda es: F.when(
-            F.size(es) > 0, let(match_structs(TEXT, rx(V.NEXT_CLASS)), lambda cs: build(es, cs))
-        ).otherwise(F.array().cast(f"array<{MODEL_TYPE}>")),
+    stretches = _after_first(F.split(text, entity, -1))
+    cut = F.zip_with(
+        match_structs(TEXT, entity),
+        stretches,
+        lambda e, s: F.struct(e.alias("e"), F.regexp_extract(s, rx(V.NEXT_CLASS), 1).alias("name"), own(e, s).alias("body")),
     )
-    return F.when(text.contains("@Entity("), found).otherwise(F.array().cast(f"array<{MODEL_TYPE}>"))
+    return F.when(text.rlike(entity), let(cut, build)).otherwise(empty)
 
 
 def sequelize_models(text: Column) -> Column:
@@ -143,21 +156,6 @@ def module_exports(text: Column) -> Column:
 def prisma_models(text: Column) -> Column:
     """``model X { .. }`` blocks; the line is that of the first text "model X"."""
 
-    def number(parts: Column) -> Column:
-        """(line of the block start, block text) for every piece after the first."""
-        return F.aggregate(
-            F.slice(parts, F.lit(2), F.size(parts)),
-            F.struct(
-                (newlines(F.get(parts, F.lit(0))) + 1).alias("line"),
-                F.array().cast("array<struct<line:int,block:string>>").alias("out"),
-            ),
-            lambda acc, b: F.struct(
-                (acc["line"] + newlines(b)).alias("line"),
-                F.concat(acc["out"], F.array(F.struct(acc["line"].alias("line"), b.alias("block")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-
     def body_fields(block: Column) -> Column:
         body = F.substring_index(F.regexp_replace(block, r"^[^{]*\{", ""), "}", 1)
         rows = F.transform(F.split(body, "\n", -1), _words)
@@ -175,7 +173,10 @@ def prisma_models(text: Column) -> Column:
         return F.transform(F.filter(blocks, lambda b: b["block"].rlike(head)), one)
 
     empty = F.array().cast(f"array<{MODEL_TYPE}>")
-    return F.when(text.contains("model "), let(let(F.split(text, "model ", -1), number), build)).otherwise(empty)
+    heads = match_structs(TEXT, "model ", ())
+    tails = _after_first(F.split(text, "model ", -1))
+    blocks = F.zip_with(heads, tails, lambda m, t: F.struct(m["line"].alias("line"), t.alias("block")))
+    return F.when(text.contains("model "), let(blocks, build)).otherwise(empty)
 
 
 # --- Ruby ------------------------------------------------------------------
@@ -203,7 +204,7 @@ def ruby_classes(text: Column) -> Column:
 def _go_structs(text: Column) -> Column:
     """Struct heads with the body up to the first closing brace."""
     head = rx(V.GO_STRUCT)
-    tails = F.slice(F.split(text, head, -1), F.lit(2), F.lit(2**31 - 1))
+    tails = _after_first(F.split(text, head, -1))
 
     def with_body(m: Column, tail: Column) -> Column:
         rest = F.substring(text, m["stop"] + 1, F.length(text))

@@ -96,10 +96,28 @@ def test_python_through_spark(corpus):
     assert got == [("a.py", "A", "sqlalchemy", 1, ["x"]), ("c.rb", "Z", "activerecord", 1, [])]
 
 
-def test_typeorm_window_and_names(corpus):
+def test_typeorm_stretches_and_names(corpus):
     text = "\n@Entity( 'a' )\n@Column({ type: 'int' })\n id: x;\nclass\n  A {}\n" + " " * 1950 + "@Column()\n far\n@Entity()\nfunction x() {}\n"
     got = rows(code.models(corpus({"m.ts": text}), ["ts_typeorm_models"]), "name", "line", F.col("fields.name"), F.col("fields.type"))
-    assert got == [("A", 2, ["id"], ["int"]), ("Unknown", 9, [], [])]
+    assert got == [("A", 2, ["id", "far"], ["int", "unknown"]), ("Unknown", 9, [], [])]
+
+
+def test_typeorm_long_entity_keeps_its_fields_only(corpus):
+    column = "  @Column()\n  f{}: string;\n"
+    long = "@Entity('t')\nexport class Long {\n" + "".join(column.format(k) + "  // " + "x" * 80 + "\n" for k in range(120)) + "}\n"
+    other = "class Helper {\n  @Column()\n  stray: string;\n}\n@Entity({ name: 'odd' })\nclass Odd {\n  @Column()\n  odd: string;\n}\n"
+    late = "@Entity()\n@Entity('twice')\nexport abstract class Late {\n" + column.format("l") + "}\n"
+    assert len(long) > 10_000
+    got = rows(code.models(corpus({"m.ts": long + other + late}), ["ts_typeorm_models"]), "name", F.col("fields.name"))
+    assert got == [("Long", [f"f{k}" for k in range(120)]), ("Late", []), ("Late", ["fl"])]
+    near = corpus({"m.ts": long}).select(F.explode(code.typeorm_models(F.col("content"), 2000)).alias("m")).first().m
+    assert 0 < len(near.fields) < 40
+
+
+def test_many_prisma_models(corpus):
+    text = "".join(f"model M{k}x {{\n id Int\n}}\n" for k in range(1500))
+    got = rows(code.models(corpus({"s.prisma": text})), "name", "line")
+    assert sorted(got, key=lambda r: r[1]) == [(f"M{k}x", 3 * k + 1) for k in range(1500)]
 
 
 def test_prisma_prefix_line_and_fields(corpus):
