@@ -236,9 +236,9 @@ def _(t):
 @query(
     "registry_read",
     """SELECT project, path AS schema_path, CAST(pos AS BIGINT) AS pos, name, classification, annotations, keys, is_dict FROM (
-  SELECT project, path, lower(regexp_extract(content, 'name: ([a-zA-Z]+)\\n    class', 1)) AS n, content, unnest([0, 1, 2]) AS pos FROM registry_yaml WHERE content LIKE '%justtext%') x
-  JOIN (VALUES (0, 'gdpr_erasable,encrypted_at_rest,immutable', 'annotations,classification,immutable,name', TRUE), (1, '', '', FALSE), (2, '', 'erasure_method,flag,name', TRUE)) v(p, annotations, keys, is_dict) ON v.p = x.pos,
-  LATERAL (SELECT CASE pos WHEN 0 THEN n WHEN 2 THEN 'acct' END AS name, CASE pos WHEN 0 THEN 'PII' END AS classification) y
+  SELECT project, path, lower(regexp_extract(content, 'name: ([a-zA-Z]+)\\n    class', 1)) AS n, content, unnest([0, 1, 2, 3, 4]) AS pos FROM registry_yaml WHERE content LIKE '%justtext%') x
+  JOIN (VALUES (0, 'gdpr_erasable,encrypted_at_rest,immutable', 'annotations,classification,immutable,name', TRUE), (1, '', '', FALSE), (2, '', 'erasure_method,flag,name', TRUE), (3, '{name: no},audit_field', 'annotations,audit_field,gdpr_erasable,name', TRUE), (4, '', '', FALSE)) v(p, annotations, keys, is_dict) ON v.p = x.pos,
+  LATERAL (SELECT CASE pos WHEN 0 THEN n WHEN 2 THEN 'acct' WHEN 3 THEN 'texts' END AS name, CASE pos WHEN 0 THEN 'PII' END AS classification) y
 UNION ALL SELECT project, path, NULL, NULL, NULL, '', '', FALSE FROM registry_yaml WHERE content = 'fields: []'""",
 )
 def _(t):
@@ -275,9 +275,10 @@ def _(t):
 
 @query(
     "manifest_read",
-    """SELECT project, path AS item, json_valid(content) AS ok, '' AS keys, NULL AS test_path FROM manifest_json
-UNION ALL SELECT project, json_extract_string(content, '$.entries[0].pact_key'), TRUE, 'contract_path,pact_key,source_file', NULL FROM manifest_json WHERE json_valid(content)
-UNION ALL SELECT project, 'unknown', FALSE, 'test_path', 't' FROM manifest_json WHERE json_valid(content)""",
+    """WITH m AS (SELECT project, path, content, json_valid(replace(content, 'NaN', '0')) AS ok FROM manifest_json)
+SELECT project, path AS item, ok, '' AS keys, NULL AS test_path FROM m
+UNION ALL SELECT project, regexp_extract(content, 'PACT:a:[0-9]+'), TRUE, 'contract_path,pact_key,source_file', NULL FROM m WHERE ok
+UNION ALL SELECT project, 'unknown', FALSE, 'test_path', 't' FROM m WHERE ok""",
 )
 def _(t):
     manifests, entries = D.manifest_read(t.manifest_json)

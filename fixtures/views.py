@@ -438,7 +438,8 @@ SELECT {project('c_custkey')} AS project, concat('.ledger/registry/c', CAST(c_cu
     WHEN c_custkey % 17 = 16 THEN 'fields: []'
     ELSE concat('name: s', chr(10), 'fields:', chr(10), '  - name: ', lower(c_mktsegment), chr(10), '    classification: PII', chr(10),
       '    annotations: [gdpr_erasable, {{name: encrypted_at_rest}}]', chr(10), '    immutable: true', chr(10),
-      '  - justtext', chr(10), '  - {{name: acct, erasure_method: wipe, flag: false}}', chr(10)) END AS content
+      '  - justtext', chr(10), '  - {{name: acct, erasure_method: wipe, flag: false}}', chr(10),
+      '  - {{name: texts, gdpr_erasable: "true", audit_field: true, annotations: ["{{name: no}}", 3, {{name: 4}}]}}', chr(10), '  - "{{name: immutable}}"', chr(10)) END AS content
 FROM customer"""
 VIEWS["contracts_yaml"] = f"""
 SELECT {project('o_orderkey')} AS project, concat('contracts/o', CAST(o_orderkey AS STRING), '.yaml') AS path,
@@ -453,7 +454,8 @@ SELECT {project('s_suppkey')} AS project, concat('t', CAST(s_suppkey AS STRING),
 FROM supplier"""
 VIEWS["manifest_json"] = f"""
 SELECT {project('l_orderkey')} AS project, concat('m', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '.json') AS path,
-  CASE WHEN l_partkey % 8 = 7 THEN '{{"entries": [' ELSE concat('{{"entries": [{{"pact_key": "PACT:a:', CAST(l_suppkey AS STRING), '", "contract_path": null, "source_file": "x"}}, 5, {{"test_path": "t"}}]}}') END AS content
+  CASE WHEN l_partkey % 8 = 7 THEN '{{"entries": [' WHEN l_partkey % 16 = 6 THEN '{{"entries": []}} trailing'
+    WHEN l_partkey % 16 = 14 THEN concat(' {{"weight": NaN, "entries": 1, "entries": [{{"pact_key": "PACT:a:', CAST(l_suppkey AS STRING), '", "contract_path": null, "source_file": "x"}}, 5, {{"test_path": "t"}}]}} ') ELSE concat('{{"entries": [{{"pact_key": "PACT:a:', CAST(l_suppkey AS STRING), '", "contract_path": null, "source_file": "x"}}, 5, {{"test_path": "t"}}]}}') END AS content
 FROM lineitem"""
 VIEWS["controls_yaml"] = """
 SELECT 'org' AS project, concat('controls/', CAST(ord AS STRING), '.yaml') AS path,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens import values as V
 from fleetlens.functions.regexkit import rx
 from fleetlens.functions.text import constant_rows, version_below
+from fleetlens.sources.documents import json_document
 
 CHECK_COLUMNS = ["project", "tool", "check_id", "target", "severity", "status", "message", "ord"]
 
@@ -370,10 +371,9 @@ def chk_registry_exists(projects: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def _located(artifacts: DataFrame, kind: str) -> DataFrame:
     """Per project the artifact at the first place it is found; only its validity travels."""
-    ok = F.try_parse_json("body").isNotNull()
     return (
         artifacts.where(F.col("kind") == kind)
-        .select("project", "location_rank", "path", ok.alias("ok"))
+        .select("project", "location_rank", "path", json_document(F.col("body"))["ok"].alias("ok"))
         .groupBy("project")
         .agg(F.min(F.struct("location_rank", "path", "ok")).alias("first"))
         .select("project", F.col("first.path").alias("path"), F.col("first.ok").alias("ok"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,6 +32,8 @@ def _keyed(value):
     if isinstance(value, dict):
         plain = (str, int, float, bool, type(None))
         return {k if isinstance(k, plain) else str(k): _keyed(v) for k, v in value.items()}
+    if isinstance(value, float) and not math.isfinite(value):
+        return str(value)
     return [_keyed(v) for v in value] if isinstance(value, list) else value
 
 
@@ -60,6 +63,27 @@ def yaml_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def _strict_json(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts.to_pylist():
+        try:
+            body = json.dumps(json.loads(text, parse_constant=str), ensure_ascii=False)
+            out.append({"ok": True, "body": body})
+        except (ValueError, TypeError, RecursionError):  # no JSON, no text, nested too deep
+            out.append({"ok": False, "body": None})
+    return pa.array(out, type=pa.struct([("ok", pa.bool_()), ("body", pa.string())]))
+
+
+def json_document(text: Column) -> Column:
+    """``struct<ok, body>``: is a text one JSON document, and the document again.
+
+    Of a repeated key the last one counts, NaN and infinities are allowed (as
+    texts in ``body``), blanks around are too, anything else after the
+    document is not.
+    """
+    return arrow_udf(_strict_json, "struct<ok:boolean,body:string>")(text)
+
+
 def located(corpus: DataFrame, places: list[str], configured: DataFrame | None = None, suffix: str = ".yaml") -> DataFrame:
     """Files of the first place that exists in each project.
 
@@ -98,40 +122,45 @@ def _as_map(body: Column) -> Column:
 REGISTRY_PLACES = [".ledger/registry", ".ledger"]
 
 
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _member(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
 def registry_read(files: DataFrame) -> DataFrame:
     """One row per entry of every schema's ``fields`` list.
 
     ``annotations`` unites listed names, listed ``{name: ..}`` objects and
-    keys that are true; ``keys`` holds the entry's keys.  Broken files and
-    lists that are no lists give nothing; an empty list gives one row without
-    position.
+    keys that are true; ``keys`` holds the entry's keys.  Values keep their
+    types: the text "true" is no flag, and a text entry is no object whatever
+    it spells.  Broken files and lists that are no lists give nothing; an
+    empty list gives one row without position.
     """
-    docs = yaml_documents(files).where("parse_ok").where(F.col("body").startswith("{"))
-    listed = F.coalesce(_as_map(F.col("body"))["fields"], F.lit("[]"))
-    rows = docs.select("project", F.col("path").alias("schema_path"), listed.alias("listed")).where(
-        F.col("listed").startswith("[")
-    ).select("project", "schema_path", F.posexplode_outer(F.from_json("listed", "array<string>")).alias("pos", "entry"))
-    members = _as_map(F.col("entry"))
-    typed = rows.select("project", "schema_path", F.col("pos").cast("bigint").alias("pos"), "entry", members.alias("m"))
+    docs = yaml_documents(files).where("parse_ok").withColumn("v", F.try_parse_json("body")).where(_is(F.col("v"), "OBJECT"))
+    listed = docs.select("project", F.col("path").alias("schema_path"), _member(F.col("v"), "$.fields", "variant").alias("listed"))
+    listed = listed.where(F.col("listed").isNull() | _is(F.col("listed"), "VOID") | _is(F.col("listed"), "ARRAY"))
+    entries = F.when(_is(F.col("listed"), "ARRAY"), _member(F.col("listed"), "$", "array<variant>"))
+    rows = listed.select("project", "schema_path", F.posexplode_outer(entries).alias("pos", "entry"))
+    typed = rows.withColumn("m", F.when(_is(F.col("entry"), "OBJECT"), _member(F.col("entry"), "$", "map<string,variant>")))
     raw = F.col("m")["annotations"]
-    names = F.when(
-        raw.startswith("["),
-        F.transform(
-            F.from_json(raw, "array<string>"),
-            lambda a: F.when(a.startswith("{"), F.get_json_object(a, "$.name")).otherwise(a),
-        ),
+    names = F.transform(
+        F.when(_is(raw, "ARRAY"), _member(raw, "$", "array<variant>")),
+        lambda a: F.when(_is(a, "STRING"), _member(a, "$", "string")).when(_is(a, "OBJECT"), F.when(_is(_member(a, "$.name", "variant"), "STRING"), _member(a, "$.name", "string"))),
     )
-    flags = F.map_keys(F.map_filter("m", lambda k, v: v == "true"))
+    flags = F.map_keys(F.map_filter("m", lambda k, v: _is(v, "BOOLEAN") & F.coalesce(_member(v, "$", "boolean"), F.lit(False))))
     classification = F.when(
         F.array_contains(F.map_keys("m"), "classification"),
-        F.coalesce(F.col("m")["classification"], F.lit("None")),
+        F.coalesce(_member(F.col("m")["classification"], "$", "string"), F.lit("None")),
     )
     empty = F.array().cast("array<string>")
     return typed.select(
         "project",
         "schema_path",
-        "pos",
-        F.col("m")["name"].alias("name"),
+        F.col("pos").cast("bigint").alias("pos"),
+        _member(F.col("m")["name"], "$", "string").alias("name"),
         classification.alias("classification"),
         F.array_distinct(F.concat(F.coalesce(F.array_compact(names), empty), F.coalesce(flags, empty))).alias("annotations"),
         F.coalesce(F.map_keys("m"), empty).alias("keys"),
@@ -195,11 +224,11 @@ MANIFEST_PLACES = [".sentinel/manifest.json", "sentinel_manifest.json"]
 
 def manifest_read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(manifests, manifest_entries) of JSON manifests."""
-    ok = F.try_parse_json("content").isNotNull()
-    manifests = files.select("project", "path", ok.alias("parse_ok"))
-    listed = _as_map(F.col("content"))["entries"]
+    read = files.select("project", "path", json_document(F.col("content")).alias("j"))
+    manifests = read.select("project", "path", F.col("j.ok").alias("parse_ok"))
+    listed = _as_map(F.col("j.body"))["entries"]
     entries = (
-        files.where(ok & listed.startswith("["))
+        read.where(listed.startswith("["))
         .select("project", F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "entry"))
         .where(F.col("entry").startswith("{"))
         .select("project", F.col("pos").cast("bigint").alias("pos"), F.from_json("entry", "map<string,string>").alias("e"))
@@ -235,8 +264,10 @@ def controls_read(files: DataFrame) -> DataFrame:
 
 
 def _flatten(node, prefix: str = ""):
-    """Every dotted key with the text of its value."""
+    """Every dotted key with the text of its value; a key that holds a dot or is no text can't be asked for."""
     for key, value in node.items():
+        if not isinstance(key, str) or "." in key:
+            continue
         name = f"{prefix}{key}"
         if value is not None:
             yield {"key": name, "value": str(value)}
