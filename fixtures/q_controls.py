@@ -176,6 +176,23 @@ def _(t):
     return C.registry_offenders(t.registry_fields, dets).select("project", names[F.col("ctl")].alias("id"), "item")
 
 
+_FORBIDDEN = [c for c in _GREP if c["detection"].get("none_of")]
+OFFENDERS_SQL = f"""SELECT f.project, c.id, concat(f.schema_path, ':', coalesce(f.name, '<unnamed>')) AS item FROM registry_fields f
+  JOIN ({sql_rows((c['id'], c['detection']['tier'].lower()) for c in _ENC)}) c(id, tier) ON lower(f.classification) = c.tier WHERE f.is_dict AND NOT list_contains(f.annotations, 'encrypted_at_rest')
+UNION ALL SELECT project, 'GDPR-ART17-ERASURE', concat(schema_path, ':', coalesce(name, '<unnamed>')) FROM registry_fields WHERE is_dict AND lower(classification) = 'pii' AND {_BARE}
+UNION ALL SELECT f.project, v.id, concat(f.path, ':', v.pattern) FROM code_corpus f JOIN ({sql_rows((c['id'], i, p) for c in _FORBIDDEN for i, p in enumerate(_pats(c)))}) v(id, pat, pattern)
+  ON regexp_matches(f.content, v.pattern) WHERE {EVIDENCE_OK} AND {_grep_files(_FORBIDDEN[0])}
+UNION ALL SELECT b.project, c.id, b.item FROM ({_BAD_ROUTES}) b CROSS JOIN ({sql_rows((c['id'],) for c in _GUARD)}) c(id)"""
+
+
+@query("control_offenders", OFFENDERS_SQL)
+def _(t):
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(CONTROLS) for x in (i, c["id"])])
+    texts = stage(C.text_stream(t.code_corpus, is_source_file()), "texts")
+    rows = C.control_offenders(control_tables(t) | {"texts": texts}, CONTROLS)
+    return rows.select("project", names[F.col("control")].alias("id"), "item")
+
+
 def _control(cid: str, detection: dict, **more) -> dict:
     return {"framework": "house", "id": cid, "title": cid, "severity": "must", "detection": detection, **more}
 

@@ -616,6 +616,32 @@ def text_stream(
     )
 
 
+def control_offenders(tables: dict[str, DataFrame], controls: list[dict], path_rules: dict | None = None) -> DataFrame:
+    """(project, control, item): everything that a detection finds wrong, a row each; ``uncovered`` shows the first few.
+
+    Registry fields that miss what is asked, hits of forbidden patterns,
+    routes without a guard; ``tables`` as for ``detect``.
+    """
+    dets = number_detections(controls)
+    texts = tables.get("texts")
+    of = lambda *methods: [d for d in dets if d["detection"]["method"] in methods]
+    frames = []
+    if registry := of("ledger_obligation", "ledger_tier_encrypted"):
+        frames.append(registry_offenders(tables["registry_fields"], registry).select("project", "ctl", "item"))
+    if forbidden := [d for d in of("source_grep") if _grep_params(d)[0] and not _as_list(d["detection"].get("any_of"))]:
+        hits = _hit_rows(texts) if texts is not None else grep_hits(tables["corpus"], forbidden, path_rules)
+        pats = constant_map({d["ctl"]: _grep_params(d)[0] for d in forbidden})
+        hits = hits.where(F.col("ctl").isin([d["ctl"] for d in forbidden]))
+        frames.append(hits.select("project", "ctl", F.concat("path", F.lit(":"), F.get(pats[F.col("ctl")], F.col("pat"))).alias("item")))
+    if guards := of("route_guard"):
+        routes = judged_routes(tables["sources"] if texts is None else texts, tables["project_config"], guards)
+        frames.append(routes.select("project", "ctl", "item"))
+    control_of = constant_map({d["ctl"]: d["control"] for d in dets})
+    if not frames:
+        return tables["projects"].select("project", F.lit(0).alias("control"), F.lit("").alias("item")).where(F.lit(False))
+    return union_all(frames).select("project", control_of[F.col("ctl")].alias("control"), "item")
+
+
 # --- dispatch, applicability, corroboration --------------------------------------------------
 
 
