@@ -19,8 +19,8 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterable
-from os.path import commonprefix
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,7 @@ from fleetlens.session import ship
 from . import common, wordbpe
 
 #: Distinct words a worker keeps at a time; chunks and token pairs twice as many.
-KEPT = 300_000
+KEPT = 400_000
 SPLIT_WHEN_CUT = ("'re", "'ve", "'ll")
 
 
@@ -41,13 +41,22 @@ def counter_of(vocabulary: str) -> PrefixCounter:
     return PrefixCounter(wordbpe.load(vocabulary))
 
 
+def _matcher(tokens: dict[bytes, int]) -> ahocorasick.Automaton:
+    """Finds all tokens that end at each byte of a text."""
+    found = ahocorasick.Automaton()
+    for token, i in tokens.items():
+        found.add_word(token.decode("latin-1"), i)
+    found.make_automaton()
+    return found
+
+
 class PrefixCounter:
     """Counts for one vocabulary."""
 
     def __init__(self, bpe: wordbpe.WordBpe):
         self.bpe = bpe
-        self.inner_tails = {t[k:] for t in bpe.inside for k in range(len(t))}
-        self.final_tails = {t[k:] for t in bpe.at_end for k in range(len(t))}
+        self.inner_ends, self.final_ends = _matcher(bpe.inside), _matcher(bpe.at_end)
+        self.length = {i: len(t) for tokens in (bpe.inside, bpe.at_end) for t, i in tokens.items()}
         self.base = {i: [bpe.inner[b] for b in t] for t, i in bpe.inside.items()}
         self.base |= {i: bpe.symbols(t) for t, i in bpe.at_end.items()}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -74,43 +83,49 @@ class PrefixCounter:
         return self.words[word]
 
     def count_words(self, words: Iterable[str]) -> None:
-        """Put the counts of all words into ``words``; in sorted order each goes on from the prefix it shares with the one before."""
+        """Put the counts of all words into ``words``."""
         words = {w for w in words if w not in self.words}
         cut = words.intersection(SPLIT_WHEN_CUT)
-        last_text, counts, last, whole = b"", [0], [-1], [0]
-        for text, word in sorted((w.encode(), w) for w in words | {w[1] for w in cut}):
-            same = len(commonprefix((last_text, text)))
-            del counts[same + 1 :], last[same + 1 :], whole[same + 1 :]
-            for i in range(same + 1, len(text) + 1):
-                self._next(text, i, counts, last, whole)
-            last_text = text
-            if len(text) == len(word):
-                self.words[word] = whole[1:]
-            else:
-                self.words[word] = [whole[i] for i in range(1, len(text) + 1) if i == len(text) or text[i] & 0xC0 != 0x80]
+        for word in words | {w[1] for w in cut}:
+            self.words[word] = self._prefixes(word)
         for word in cut:  # after its second character it is two words
             counts = self.words[word]
             self.words[word] = [counts[0], counts[0] + self.words[word[1]][0], counts[2]]
 
-    def _next(self, text: bytes, i: int, counts: list[int], last: list[int], whole: list[int]) -> None:
-        """Extend the table by the prefix of ``i`` bytes: inside a word, and as a whole word."""
-        ends = self.inner_tails, self.bpe.inside, self.final_tails, self.bpe.at_end
-        for tails, tokens in (ends[:2], ends[2:]):
-            start, starts = i - 1, []
-            while start >= 0 and (tail := text[start:i]) in tails:
-                if (token := tokens.get(tail)) is not None:
-                    starts.append((start, token))
-                start -= 1
-            for start, token in reversed(starts):
-                if self.fit(last[start], token):
-                    break
-            else:
-                raise ValueError(f"no encoding of {text[:i]!r} ends in a token")
-            if tokens is self.bpe.inside:
-                counts.append(counts[start] + 1)
-                last.append(token)
-            else:
-                whole.append(counts[start] + 1)
+    def _prefixes(self, word: str) -> list[int]:
+        """The dynamic program over a word's bytes: counts inside a word, then of each prefix as a whole word.
+
+        Only one of the tokens that end at a place can stand there, so the
+        first that fits is it.
+        """
+        text = word.encode()
+        n, shown = len(text), text.decode("latin-1")
+        fits, fit, length = self.fits, self.fit, self.length
+        counts, last, done = [0] * (n + 1), [-1] * (n + 1), 0
+        for end, token in self.inner_ends.iter(shown):
+            end += 1
+            if end == done:
+                continue
+            start = end - length[token]
+            left = last[start]
+            good = fits.get((left, token))
+            if good or good is None and fit(left, token):
+                counts[end], last[end], done = counts[start] + 1, token, end
+        whole, done = [0] * (n + 1), 0
+        for end, token in self.final_ends.iter(shown):
+            end += 1
+            if end == done:
+                continue
+            start = end - length[token]
+            left = last[start]
+            good = fits.get((left, token))
+            if good or good is None and fit(left, token):
+                whole[end], done = counts[start] + 1, end
+        if 0 in whole[1:] or 0 in counts[1:]:
+            raise ValueError(f"no encoding of a prefix of {word!r} ends in a token")
+        if n == len(word):
+            return whole[1:]
+        return [whole[i] for i in range(1, n + 1) if i == n or text[i] & 0xC0 != 0x80]
 
     def chunk(self, chunk: str) -> bytes:
         """Counts of every prefix of a piece without a blank and of the piece with one blank after it, as 32-bit numbers."""
