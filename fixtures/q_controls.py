@@ -316,6 +316,30 @@ def _(t):
     return C.controls_merge(base, t.project_controls).select("framework", "id", "layer", "ord", "title", "severity")
 
 
+_OWN = [("hub", "GDPR", _DOC[0]["id"], 1, {"evidence_path_key": _DOC[0]["detection"]["evidence_path_key"], "max_age_days": 30}),
+        ("src1_0", "gdpr", _DOC[0]["id"], 2, {"evidence_path_key": "risk_register", "max_age_days": 400}),
+        ("src2_0", "house", "OWN-DOC", 3, {"evidence_path_key": "ropa", "max_age_days": 400})]
+_OWN = [(p, _DOC[0]["framework"] if i == _DOC[0]["id"] else f, i, o, {"method": "evidence_doc", **d}) for p, f, i, o, d in _OWN]
+_EVERYWHERE = [(c["id"], c["detection"]["evidence_path_key"], c["detection"]["max_age_days"]) for c in _DOC]
+
+
+@query(
+    "controls_per_project",
+    f"""SELECT {RESULT} FROM ({_evidence_sql(_EVERYWHERE)}) e WHERE NOT (id = '{_DOC[0]["id"]}' AND project IN ('hub', 'src1_0'))"""
+    + "".join(
+        f""" UNION ALL SELECT {RESULT} FROM ({_evidence_sql([(i, d["evidence_path_key"], d["max_age_days"])])}) o WHERE project = '{p}'"""
+        for p, _, i, _, d in _OWN
+    ),
+)
+def _(t):
+    own = [{"framework": f, "id": i, "detection": d, "title": i} for _, f, i, _, d in _OWN]
+    base = [c | {"applicability": {}, "corroborating_detection": []} for c in _DOC]
+    projects = F.get(F.array(*[F.lit(o[0]) for o in _OWN]), F.col("ord").cast("int"))
+    mine = C.controls_table(t.spark, own).withColumn("project", projects)
+    controls = C.controls_list(C.controls_merge(C.controls_table(t.spark, base), mine))
+    return _evaluated(t, controls)
+
+
 @query(
     "controls_read",
     """SELECT lower(p.framework) AS framework, CASE v.n WHEN 0 THEN p.id ELSE concat('B', p.ord) END AS id, v.n::BIGINT AS ord, concat('R', p.ord * (1 - v.n // 2)) AS ref,

@@ -58,30 +58,46 @@ def controls_merge(base: DataFrame, project_controls: DataFrame, frameworks: lis
     """Later controls replace earlier ones of the same id but keep their place.
 
     Both tables hold at least (framework, id, ord); ``ord`` orders a table.
+    With a column ``project`` in ``project_controls`` each project has its own
+    later controls: ``project`` of the result is NULL for the controls that
+    hold everywhere else, and a project's own rows come besides them.
     """
-    body = [c for c in base.columns if c not in ("framework", "id", "ord")]
+    own = "project" in project_controls.columns
+    body = [c for c in base.columns if c not in ("framework", "id", "ord", "project")]
 
     def layered(df: DataFrame, layer: int) -> DataFrame:
         return df.select(
+            *(["project"] if own and layer else []),
             F.lower("framework").alias("framework"), "id",
             F.struct(F.lit(layer).alias("layer"), F.col("ord").cast("bigint").alias("ord")).alias("place"),
             F.struct(*body).alias("body"),
         )
 
-    merged = (
-        layered(base, 0).unionByName(layered(project_controls, 1))
-        .groupBy("framework", "id")
-        .agg(F.min("place").alias("place"), F.max_by("body", "place").alias("body"))
-    )
+    def last(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys, "framework", "id").agg(F.min("place").alias("place"), F.max_by("body", "place").alias("body"))
+
+    first, later = layered(base, 0), layered(project_controls, 1)
+    if own:
+        packaged = last(first)
+        places = packaged.select("framework", "id", F.col("place").alias("packaged"))
+        mine = last(later.where(F.col("project").isNotNull()), "project").join(places, ["framework", "id"], "left").withColumn("place", F.coalesce("packaged", "place"))
+        everywhere = packaged.withColumn("project", F.lit(None).cast("string"))
+        merged = everywhere.unionByName(mine.drop("packaged"))
+    else:
+        merged = last(first.unionByName(later))
     wanted = [f.lower() for f in frameworks or []]
     if wanted:
         merged = merged.where(F.col("framework").isin(wanted))
-    return merged.select("framework", "id", F.col("place.layer").alias("layer"), F.col("place.ord").alias("ord"), "body.*")
+    return merged.select(*(["project"] if own else []), "framework", "id", F.col("place.layer").alias("layer"), F.col("place.ord").alias("ord"), "body.*")
 
 
 def controls_list(table: DataFrame) -> list[dict]:
-    """The (small) control table as dictionaries, in order of evaluation."""
-    place = ["framework"] + (["layer"] if "layer" in table.columns else []) + ["ord"]
+    """The (small) control table as dictionaries, in order of evaluation.
+
+    A project's own control gets ``only``, its project; the control that it
+    replaces gets ``besides``, the projects it does not hold for.
+    """
+    place = ["framework"] + (["layer"] if "layer" in table.columns else []) + ["ord"] + (["project"] if "project" in table.columns else [])
     rows = table.orderBy(*place).limit(MAX_CONTROLS + 1).collect()
     if len(rows) > MAX_CONTROLS:
         raise ValueError(f"more than {MAX_CONTROLS} controls")
@@ -92,10 +108,28 @@ def controls_list(table: DataFrame) -> list[dict]:
         c["detection"] = json.loads(c["detection"])
         c["corroborating_detection"] = json.loads(c.pop("corroborating", None) or "[]")
         c["validation_test"] = json.loads(c["validation_test"]) if c.get("validation_test") else None
+        c["only"] = c.pop("project", None)
         out.append(c)
+    for c in out:
+        if c["only"] is None:
+            c["besides"] = [o["only"] for o in out if o["only"] is not None and (o["framework"], o["id"]) == (c["framework"], c["id"])]
     return out
 
 
+def _in_scope(controls: list[dict], number: str = "control") -> Column | None:
+    """Does a control hold for a project?  None if all controls hold everywhere."""
+    only = {i: c["only"] for i, c in enumerate(controls) if c.get("only") is not None}
+    besides = {i: c["besides"] for i, c in enumerate(controls) if c.get("besides")}
+    if not only and not besides:
+        return None
+    fits = F.lit(True)
+    if only:
+        fits = fits & F.coalesce(constant_map(only)[F.col(number)] == F.col("project"), F.lit(True))
+    if besides:
+        fits = fits & ~F.coalesce(F.array_contains(constant_map(besides)[F.col(number)], F.col("project")), F.lit(False))
+    return fits
+
+
 # --- helpers -----------------------------------------------------------------------
 
 
@@ -237,7 +271,7 @@ def _grep_array(dets: list[dict], path_rules: dict | None = None) -> Column:
     Distinct file rules and distinct patterns are evaluated once per file.
     """
     rules: list[tuple] = []
-    patterns: list[str] = []
+    patterns: dict[str, set] = {}  # and the projects that ask for them, None: all
     pairs: list[dict] = []
     for d in dets:
         pats, include, exclude = _grep_params(d)
@@ -245,11 +279,15 @@ def _grep_array(dets: list[dict], path_rules: dict | None = None) -> Column:
         if rule not in rules:
             rules.append(rule)
         for i, p in enumerate(pats):
-            if p not in patterns:
-                patterns.append(p)
-            pairs.append({"ctl": d["ctl"], "pat": i, "rule": rules.index(rule), "regex": patterns.index(p)})
+            patterns.setdefault(p, set()).add(d.get("only"))
+            pairs.append({"ctl": d["ctl"], "pat": i, "rule": rules.index(rule), "regex": list(patterns).index(p)})
+
+    def meets(pattern: str, projects: set) -> Column:
+        found = F.col("content").rlike(rx(pattern, multiline=True))
+        return found if None in projects else F.col("project").isin(sorted(projects)) & found
+
     allowed = F.array(*[evidence_path_ok(F.col("path"), list(inc), list(exc), **(path_rules or {})) for inc, exc in rules])
-    seen = F.array(*[F.col("content").rlike(rx(p, multiline=True)) for p in patterns])
+    seen = F.array(*[meets(p, projects) for p, projects in patterns.items()])
     table = _struct_array(pairs, "ctl:int,pat:int,rule:int,regex:int")
     hit = let(seen, lambda s: let(allowed, lambda ok: F.filter(table, lambda q: F.get(ok, q["rule"]) & F.get(s, q["regex"]))))
     return F.when(let(allowed, lambda ok: F.array_contains(ok, True)), F.transform(hit, lambda h: F.struct(h["ctl"].alias("ctl"), h["pat"].alias("pat"))))
@@ -639,7 +677,10 @@ def control_offenders(tables: dict[str, DataFrame], controls: list[dict], path_r
     control_of = constant_map({d["ctl"]: d["control"] for d in dets})
     if not frames:
         return tables["projects"].select("project", F.lit(0).alias("control"), F.lit("").alias("item")).where(F.lit(False))
-    return union_all(frames).select("project", control_of[F.col("ctl")].alias("control"), "item")
+    rows = union_all(frames)
+    if (fits := _in_scope([controls[d["control"]] for d in dets], "ctl")) is not None:
+        rows = rows.where(fits)
+    return rows.select("project", control_of[F.col("ctl")].alias("control"), "item")
 
 
 # --- dispatch, applicability, corroboration --------------------------------------------------
@@ -651,7 +692,7 @@ def number_detections(controls: list[dict]) -> list[dict]:
     for i, c in enumerate(controls):
         for slot, det in enumerate([c["detection"], *c.get("corroborating_detection", [])]):
             dets.append({"ctl": len(dets), "control": i, "slot": slot, "id": c["id"], "detection": det,
-                         "classification_tier": c.get("classification_tier")})
+                         "classification_tier": c.get("classification_tier"), "only": c.get("only")})
     return dets
 
 
@@ -758,6 +799,8 @@ def evaluate_controls(tables: dict[str, DataFrame], controls: list[dict], as_of:
     """
     dets = number_detections(controls)
     found = detect(tables, dets, as_of, path_rules)
+    if (fits := _in_scope([controls[d["control"]] for d in dets], "ctl")) is not None:
+        found = found.where(fits)
     slots = {d["ctl"]: d for d in dets}
     outcome = F.struct("verdict", "target", "message", "uncovered")
     if any(d["slot"] for d in dets):

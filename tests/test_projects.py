@@ -303,6 +303,28 @@ def test_controls_override(spark):
     assert base.where(F.col("framework") == "pcidss").count() == 7
 
 
+def test_projects_override_one_control_differently(spark):
+    grep = lambda *p: {"method": "source_grep", "any_of": list(p), "include_glob": "**/*"}
+    make = lambda i, d, title: {"framework": "F", "id": i, "detection": d, "title": title}
+    base = C.controls_table(spark, [make("A", grep("audit"), "base"), make("B", grep("tls"), "base")])
+    own = C.controls_table(spark, [make("A", grep("journal"), "p"), make("A", grep("ledger"), "q"), make("C", grep("own"), "q")])
+    own = own.withColumn("project", F.when(F.col("title") == "p", "p").otherwise("q"))
+    merged = C.controls_merge(base, own)
+    assert {(r.project, r.id, r.title, r.layer) for r in merged.collect()} == {(None, "A", "base", 0), (None, "B", "base", 0), ("p", "A", "p", 0), ("q", "A", "q", 0), ("q", "C", "q", 1)}
+    controls = C.controls_list(merged)
+    text = "audit ledger own"
+    corpus = spark.createDataFrame([(p, "src/a.py", text, "python") for p in "pqr"], "project string, path string, content string, lang string")
+    none = spark.createDataFrame([], "project string, schema_path string, pos long, name string, classification string, annotations array<string>, keys array<string>, is_dict boolean")
+    config = spark.createDataFrame([(p, [], []) for p in "pqr"], "project string, project_tags array<string>, public_route_patterns array<string>")
+    tables = {"projects": corpus.select("project"), "corpus": corpus, "sources": corpus, "registry_fields": none, "registries": none.select("project"), "project_config": config}
+    want = {("p", "A", "missing"), ("p", "B", "missing"), ("q", "A", "present"), ("q", "B", "missing"), ("q", "C", "present"), ("r", "A", "present"), ("r", "B", "missing")}
+    for more in ({}, {"texts": C.text_stream(corpus, is_source_file(), controls)}):
+        rows = C.evaluate_controls(tables | more, controls, AS_OF).collect()
+        assert {(r.project, controls[r.control]["id"], r.verdict) for r in rows} == want and len(rows) == len(want)
+    checks = C.verdict_to_check(C.evaluate_controls(tables, controls, AS_OF), controls)
+    assert {r.status for r in checks.where("project = 'q' AND check_id = 'A'").collect()} == {"PASS"}
+
+
 def test_streaming_scan(spark, tmp_path, corpus):
     from fleetlens.operators import code_scan, line_scan
     from fleetlens.streaming.scan_stream import corpus_stream, scan_to
