@@ -15,22 +15,19 @@ texts agree in a component with exactly their weighted Jaccard similarity.
 Candidates: texts whose signatures agree in one band of ``ROWS`` components.
 Texts of equal multisets are one node.  In every bucket all nodes are
 compared with one hub: first each node with the least of its hubs, then,
-where the classes still differ, with its other hubs.  Then the pairs of
-different classes that a bucket still holds are compared, in turns of a
-bounded number of pairs for each bucket; pairs of one class need no more
-comparison, and a bucket of copies never emits all its pairs.
-
-In that last step a pair has to share three bands: similar texts share ten of
-32 on average, and less than three in 4 of 10,000 cases at similarity 0.8
-exactly (2 of a million at 0.85).  Then two of a node's buckets may be passed
-over, and those of most members are, since a pair that shares three keeps its
-rarest.  This is what a passage in very many otherwise different texts needs:
-its buckets are the large ones.
-
-Before texts are compared, their sketches are (one byte of each component):
-a pair that agrees in less than ``AGREE`` of 160 is five standard deviations
-below a similarity of 0.8.  So only texts that are likely similar are read
-again and compared exactly.
+where the classes still differ, with its other hubs.  Sketches (one byte of
+each component) spare the comparison of pairs that agree in less than
+``AGREE`` of 160, five standard deviations below a similarity of 0.8.  A group
+of copies is one class after that, and its buckets need no more comparison.
+
+What is left are buckets that still hold several classes, like those of a
+passage in many otherwise different texts.  Their nodes are compared exactly:
+the shingles of these nodes have one order, the rarest first, and two
+similar texts must share one of the first ``size - 0.8 size + 1``.  So pairs of
+different classes that share such a shingle are compared, all of them, and no
+others.  A passage that many texts hold is no rare shingle of any of them
+unless it is nearly the whole text.  No similar pair of a bucket is lost,
+whatever its sketches say.
 
 Texts without a word are equal only to the same text.  Null is the empty
 text.  Rows of one id and text are one node too; null ids take part and are
@@ -56,12 +53,8 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
 SIZE = BANDS * ROWS
-#: Pairs of a bucket that are compared in one turn at most; a bucket with more takes several turns.
-AT_ONCE = 20_000
 #: Components that the sketches of a similar pair share at least: 128 are expected, the deviation is 5.
 AGREE = 101
-#: Bands that a pair has to share when it meets neither in a hub.
-SHARED = 3
 
 TICKS = 1 << 36  # of the unit of time
 NEVER = np.iinfo(np.int64).max
@@ -278,50 +271,37 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     """(rows: key, text_key, node, size; classes: node, class for nodes in a class of more than one)."""
     signed = common.stage(sign(docs, key, text), "signatures")
     rows = signed.select("key", "text_key", "node", "size")
-    nodes = signed.where("size > 0").select("node", "size", "bands").dropDuplicates(["node"])
-    sketches = signed.where("size > 0").select("node", "sketch").dropDuplicates(["node"])
-    named = rows.groupBy("node").agg(F.min(F.struct("text_key", "key")).alias("one"))
-    named = named.select("node", F.col("one.text_key").alias("k"), F.col("one.key").alias("i"))
-
-    def bags_of(pairs: DataFrame) -> DataFrame:
-        """The multisets of the nodes of some pairs, each from one of its texts."""
-        some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(named, "node")
-        texts = _texts(docs, key, text)
-        wanted = texts.join(some, (F.col("text_key") == F.col("k")) & F.col("key").eqNullSafe(F.col("i")))
-        return common.stage(bags(wanted.dropDuplicates(["node"])), "bags")
-
+    nodes = common.stage(signed.where("size > 0").select("node", "size", "bands", "sketch").dropDuplicates(["node"]), "nodes")
     entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.stage(entries.join(hubs, "bucket"), "members")
+    members = common.stage(entries.join(hubs.drop("n"), "bucket"), "members")
+    bag = common.stage(_bags_of(members.select("node").distinct(), rows, _texts(docs, key, text)), "bags")
 
     sizes = members.where("node = hub").select("hub", F.col("size").alias("size_b")).distinct()
     stars = members.where("node <> hub").select("node", "size", "hub").distinct().join(sizes, "hub")
     stars = _sized(stars.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("hub").alias("b"), "size_b"), similarity)
-    near = common.stage(alike(stars, sketches, similarity), "pairs")  # a is the hub: it is the least of its bucket
-    bag = bags_of(near)
+    near = common.stage(alike(stars, nodes.select("node", "sketch"), similarity), "pairs")  # a is the hub: it is the least of its bucket
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     classes = components.components(common.stage(verified(first, bag, similarity), "edges"))
     others = _apart(near.join(first, ["a", "b"], "left_anti"), classes)
     classes = _joined(classes, common.stage(verified(others, bag, similarity), "edges"))
 
-    live = _live(_classed(members.select("bucket", "node", "size", "n"), classes))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "bucket"))
-    rarer = members.select("bucket", "node", "size", "n").join(live, "bucket").withColumn("place", place).where(F.col("place") >= SHARED)
-    rarer = common.stage(rarer.select("bucket", "node", "size"), "rarer")
-    held = rarer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    turns = (F.col("n") * F.col("n") / (2 * AT_ONCE)).cast("long").alias("turns")
-    left = common.stage(rarer.join(held.select("bucket", turns), "bucket"), "members")
-    compared, turn = near, 0
-    while turn < _turns(left, classes):  # buckets whose nodes have become one class need no more turns
-        turn += 1
-        rest = _sized(_remaining(left, classes, turn), similarity)
-        rest = common.stage(alike(rest, sketches, similarity).join(compared, ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            classes = _joined(classes, common.stage(verified(rest, bags_of(rest), similarity), "edges"))
-            compared = compared.unionByName(rest)
+    at = _classed(members.select("bucket", "node", "size"), classes)
+    left = common.stage(at.join(_live(at), "bucket").select("node", "size", "class").distinct().join(bag, "node"), "left")
+    rest = common.stage(rare_pairs(left, similarity), "pairs")
+    classes = _joined(classes, common.stage(verified(rest, bag, similarity), "edges"))
+    common.discard(nodes, members, near, bag, left, rest)
     return rows, classes
 
 
+def _bags_of(nodes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, bag) of some nodes, each from one of its texts."""
+    named = rows.groupBy("node").agg(F.min(F.struct("text_key", "key")).alias("one"))
+    some = named.select("node", F.col("one.text_key").alias("k"), F.col("one.key").alias("i")).join(nodes, "node")
+    wanted = texts.join(some, (F.col("text_key") == F.col("k")) & F.col("key").eqNullSafe(F.col("i")))
+    return bags(wanted.dropDuplicates(["node"]))
+
+
 def _classed(members: DataFrame, classes: DataFrame) -> DataFrame:
     """The members with their class so far; a node without links is its own."""
     return members.join(classes.withColumnRenamed("class", "found"), "node", "left").withColumn("class", F.coalesce("found", "node")).drop("found")
@@ -332,22 +312,42 @@ def _live(at: DataFrame) -> DataFrame:
     return at.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
 
 
-def _turns(members: DataFrame, classes: DataFrame) -> int:
-    """Turns that some bucket with several classes still asks for, counted from the first."""
-    at = _classed(members, classes).groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("turns").alias("turns"))
-    most = at.where("x < y").agg(F.max("turns")).first()[0]
-    return 0 if most is None else 1 + most
+def _items(nodes: DataFrame) -> DataFrame:
+    """(node, size, class, item): every (shingle, occurrence) of packed multisets."""
 
+    def run(batches):
+        for batch in batches:
+            for k, bag in enumerate(batch.column("bag").to_pylist()):
+                items = np.frombuffer(bag, np.int64)
+                for start in range(0, len(items), 1 << 16):
+                    some = pa.array(items[start : start + (1 << 16)])
+                    own = [pa.repeat(batch.column(c)[k], len(some)) for c in ("node", "size", "class")]
+                    yield pa.RecordBatch.from_arrays([*own, some], ["node", "size", "class", "item"])
+
+    return nodes.select("node", "size", "class", "bag").mapInArrow(run, "node long, size long, class long, item long")
 
-def _remaining(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one bucket and different classes: a bucket's nodes are dealt to its turns, and those of this turn meet all others."""
-    at = _classed(members.where(F.col("turns") >= turn - 1), classes)
-    at = at.join(_live(at), "bucket")
-    now = F.pmod(F.xxhash64("node"), F.col("turns") + 1) == F.lit(turn - 1).cast("long")
-    left = at.where(now).select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"), "turns")
-    right = at.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))
-    pairs = left.join(right, "bucket").where((F.col("class_a") != F.col("class_b")) & ((F.col("turns") > 0) | (F.col("a") < F.col("b"))))
-    return pairs.select("a", "size_a", "b", "size_b")
+
+def rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, class, bag) of different classes that share one of their rarest items.
+
+    Items that one node has alone stand first in its order, so only the shared
+    ones are ranked.  In an item's group the nodes of its largest class meet
+    those of other classes only, and are never paired with each other.
+    """
+    items = _items(nodes)
+    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mine = Window.partitionBy("node")
+    place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "item"))
+    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    prefix = common.stage(items.join(shared, "item").withColumn("place", place).where(F.col("place") <= most).select("item", "node", "size", "class"), "prefix")
+    counts = prefix.groupBy("item", "class").agg(F.count(F.lit(1)).alias("m"))
+    largest = counts.groupBy("item").agg(F.max(F.struct("m", "class")).alias("most"), F.count(F.lit(1)).alias("classes"))
+    largest = largest.where("classes > 1").select("item", F.col("most.class").alias("largest"))
+    held = prefix.join(largest, "item")
+    left = held.where("class <> largest").select("item", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"))
+    right = held.select("item", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"), "largest")
+    pairs = left.join(right, "item").where("class_a <> class_b AND (class_b = largest OR a < b)")
+    return _sized(pairs, similarity)
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -190,6 +190,37 @@ def test_near_duplicates_around_a_common_passage(spark):
     assert found == {key: key - key % 2 for key, _ in rows}
 
 
+def test_rare_pairs_find_every_similar_pair(spark):
+    """All similar pairs of different classes, in a crowd that shares a passage and a large class."""
+    draw = np.random.default_rng(4)
+    passage = draw.integers(0, 1 << 60, 60)
+    sets = [np.concatenate([passage[: draw.integers(20, 60)], draw.integers(0, 1 << 60, draw.integers(5, 60))]) for _ in range(120)]
+    for k in range(0, 60, 2):  # neighbours at similarities around 0.8
+        other, new = sets[k].copy(), int(len(sets[k]) * draw.uniform(0.05, 0.16))
+        other[:new] = draw.integers(0, 1 << 60, new)
+        sets.append(other)
+    big = draw.integers(0, 1 << 60, 50)
+    sets += [np.concatenate([big, draw.integers(0, 1 << 60, 3)]) for _ in range(80)]
+    sets += [np.concatenate([big, draw.integers(0, 1 << 60, m)]) for m in (5, 12, 13, 40)]
+    sets = [np.unique(x) for x in sets]
+    classes = [k if not 150 <= k < 230 else 150 for k in range(len(sets))]
+    rows = [(k, len(x), classes[k], bytearray(x.astype(np.int64).tobytes())) for k, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, size long, class long, bag binary").repartition(5)
+    found = {(r.a, r.b) for r in bagminhash.rare_pairs(nodes, 0.8).collect()}
+    both = lambda x, y: len(np.intersect1d(x, y))
+    similar = {
+        (a, b)
+        for b in range(len(sets))
+        for a in range(b)
+        if classes[a] != classes[b] and 10 * both(sets[a], sets[b]) >= 8 * (len(sets[a]) + len(sets[b]) - both(sets[a], sets[b]))
+    }
+    assert len(similar) > 80
+    assert similar <= found
+    assert len(found) < len(sets) ** 2 / 20
+    kept = {(r.a, r.b) for r in bagminhash.verified(bagminhash.rare_pairs(nodes, 0.8), nodes.select("node", "bag"), 0.8).collect()}
+    assert kept == similar
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     kept = bagminhash.keep_one(odd)
     assert kept.columns == odd.columns
