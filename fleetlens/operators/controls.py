@@ -32,7 +32,7 @@ from fleetlens.sources.corpus import evidence_path_ok
 MAX_CONTROLS = 10_000
 RESULT = ["project", "ctl", "verdict", "target", "message", "uncovered"]
 CONTROL_SCHEMA = (
-    "framework string, id string, ord bigint, family string, framework_ref string, title string, severity string, "
+    "framework string, framework_version string, id string, ord bigint, family string, framework_ref string, title string, description string, severity string, "
     "classification_tier string, applicability string, detection string, corroborating string, validation_test string, evidence_owner string"
 )
 
@@ -45,8 +45,8 @@ def controls_table(spark: SparkSession, controls: list[dict] | None = None) -> D
     for i, c in enumerate(packaged_controls() if controls is None else controls):
         rows.append(
             (
-                c["framework"].lower(), c["id"], i, c.get("family"), c.get("framework_ref"), c.get("title"),
-                c.get("severity", "must"), c.get("classification_tier"), json.dumps(c.get("applicability") or {}),
+                c["framework"].lower(), c.get("framework_version"), c["id"], i, c.get("family"), c.get("framework_ref"), c.get("title"),
+                c.get("description"), c.get("severity", "must"), c.get("classification_tier"), json.dumps(c.get("applicability") or {}),
                 json.dumps(c["detection"]), json.dumps(c.get("corroborating_detection") or []),
                 json.dumps(c["validation_test"]) if c.get("validation_test") else None, c.get("evidence_owner"),
             )

@@ -8,6 +8,9 @@ explodes of this table.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import values as V
@@ -26,11 +29,16 @@ def _line_kind(kind: str, key_format: str) -> Column:
     return line_scan.env_var_facts(text) if kind == "env_vars" else line_scan.sensitive_facts(text)
 
 
+@functools.lru_cache(maxsize=8)
+def _facts(context: SparkContext, key_format: str) -> Column:
+    """All kinds in one struct; the expression is the same for every table, so a context builds it once."""
+    return F.struct(*[(code.fact_array(k) if k in STRUCTURE else _line_kind(k, key_format)).alias(k) for k in KINDS])
+
+
 def fact_stream(sources: DataFrame, key_format: str = V.PACT_KEY_FORMAT) -> DataFrame:
     """(project, path, lang_rank, facts) of every file; ``facts`` holds one array per kind."""
     parsed = code.with_syntax(sources.select("project", "path", "lang", code.TEXT))
-    arrays = [(code.fact_array(k) if k in STRUCTURE else _line_kind(k, key_format)).alias(k) for k in KINDS]
-    return once(parsed, "facts", F.struct(*arrays)).select("project", "path", code.language_rank().alias("lang_rank"), "facts")
+    return once(parsed, "facts", _facts(sources.sparkSession.sparkContext, key_format)).select("project", "path", code.language_rank().alias("lang_rank"), "facts")
 
 
 def kind_rows(stream: DataFrame, kind: str) -> DataFrame:

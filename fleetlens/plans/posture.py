@@ -120,9 +120,10 @@ def draft_tables(facts: dict[str, DataFrame], projects: DataFrame) -> DataFrame:
 def run(corpus: DataFrame, settings: Settings, folder: str, stamp: str, baseline: DataFrame | None = None) -> dict[str, DataFrame]:
     """One pass of the job; results lie below ``folder``.
 
-    The corpus, the facts and the check rows are each written once and read
-    back, so no text is scanned twice for two results and a lost executor
-    never forces an earlier step to run again.
+    The corpus, the facts, what checks and controls need of the texts, and the
+    check rows are each written once and read back: texts are read once for
+    the discovery and once for checks and controls, and a lost executor never
+    forces an earlier step to run again.
     """
     landed = land(corpus)
     facts = discovery.discover(source_files(landed, settings.source_dirs, settings.languages, settings.exclude), staged=True)

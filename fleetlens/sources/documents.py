@@ -247,12 +247,12 @@ def controls_read(files: DataFrame) -> DataFrame:
     """Framework YAML files as a control table (see ``operators.controls``)."""
     docs = yaml_documents(files).where("parse_ok").where(F.col("body").startswith("{")).withColumn("m", _as_map(F.col("body")))
     rows = docs.select(
-        F.lower(F.col("m")["framework"]).alias("framework"), "path", F.posexplode(F.from_json(F.col("m")["controls"], "array<string>")).alias("pos", "c")
-    ).select("framework", "path", "pos", _as_map(F.col("c")).alias("c"))
+        F.lower(F.col("m")["framework"]).alias("framework"), F.col("m")["framework_version"].alias("framework_version"), "path", F.posexplode(F.from_json(F.col("m")["controls"], "array<string>")).alias("pos", "c")
+    ).select("framework", "framework_version", "path", "pos", _as_map(F.col("c")).alias("c"))
     get = lambda k: F.col("c")[k]
     return rows.where(F.length(get("id")) > 0).where(~get("id").rlike(r"(?U)\s")).select(
-        "framework", get("id").alias("id"), F.col("pos").cast("bigint").alias("ord"), get("family").alias("family"),
-        get("framework_ref").alias("framework_ref"), get("title").alias("title"),
+        "framework", "framework_version", get("id").alias("id"), F.col("pos").cast("bigint").alias("ord"), get("family").alias("family"),
+        get("framework_ref").alias("framework_ref"), get("title").alias("title"), get("description").alias("description"),
         F.coalesce(get("severity"), F.lit("must")).alias("severity"), get("classification_tier").alias("classification_tier"),
         F.coalesce(get("applicability"), F.lit("{}")).alias("applicability"), get("detection").alias("detection"),
         F.coalesce(get("corroborating_detection"), F.lit("[]")).alias("corroborating"),
