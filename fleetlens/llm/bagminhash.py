@@ -340,6 +340,9 @@ def rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "item"))
     most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
     prefix = common.stage(items.join(shared, "item").withColumn("place", place).where(F.col("place") <= most).select("item", "node", "size", "class"), "prefix")
+    # items of the same nodes give the same pairs: one of them is enough
+    sets = prefix.groupBy("item").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    prefix = prefix.join(sets.groupBy("x", "y", "m").agg(F.min("item").alias("item")).select("item"), "item")
     counts = prefix.groupBy("item", "class").agg(F.count(F.lit(1)).alias("m"))
     largest = counts.groupBy("item").agg(F.max(F.struct("m", "class")).alias("most"), F.count(F.lit(1)).alias("classes"))
     largest = largest.where("classes > 1").select("item", F.col("most.class").alias("largest"))
