@@ -18,9 +18,11 @@ from fleetlens.session import stage
 
 
 LISTING = "path string, bytes bigint, mtime timestamp, is_dir boolean"
-RAW = "path string, bytes bigint, mtime timestamp, raw binary"
+RAW = "path string, bytes bigint, mtime timestamp, part bigint, raw binary"
 ENTRIES_PER_TASK = 100_000  # a folder walk stops here and hands the rest on
 BATCH_BYTES = 32 << 20
+PART_BYTES = 16 << 20  # a larger file is read in parts
+COMPRESSED = r"\.(bz2|gz|lz4|zst)$"  # such files are decompressed as they are read, so always whole
 TASK_BYTES = 128 << 20
 
 
@@ -60,18 +62,26 @@ def _lister(root: str, budget: int):
 
 
 _LISTED = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("is_dir", pa.bool_())])
-_READ = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("raw", pa.binary())])
+_READ = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("part", pa.int64()), ("raw", pa.binary())])
 
 
 def _reader(root: str):
+    """Reads each row's part of a file; the last part ends with the file."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(root)
         rows, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
+                name, last = posixpath.join(base, row["path"]), row.pop("last")
                 try:
-                    with system.open_input_stream(posixpath.join(base, row["path"])) as f:
-                        row["raw"] = f.read()
+                    if row["part"] == 0 and last:
+                        with system.open_input_stream(name) as f:
+                            row["raw"] = f.read()
+                    else:
+                        with system.open_input_file(name) as f:
+                            f.seek(min(row["part"] * PART_BYTES, f.size()))
+                            row["raw"] = f.read() if last else f.read(PART_BYTES)
                 except OSError:  # unreadable files are left out
                     continue
                 rows.append(row)
@@ -107,6 +117,18 @@ def list_tree(spark: SparkSession, root: str, budget: int = ENTRIES_PER_TASK) ->
         todo = folders.repartition(tasks)
 
 
+def _parts() -> Column:
+    return F.ceil(F.col("bytes") / PART_BYTES)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """Files of the parts read, those with all their parts."""
+    pieces = F.array_sort(F.collect_list(F.struct("part", "raw")))
+    text = F.array_join(F.transform(pieces, lambda p: p["raw"].cast("string")), "")
+    files = parts.groupBy("path", "bytes", "mtime").agg(F.count("raw").alias("n"), text.cast("binary").alias("raw"))
+    return files.where(F.col("n") == _parts()).drop("n")
+
+
 def corpus_read(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
     """Every file below ``root``; text is decoded lossily.
 
@@ -116,7 +138,12 @@ def corpus_read(spark: SparkSession, root: str, project: str | None = None) -> D
     listing = list_tree(spark, root)
     total = listing.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
-    table = in_project(listing.repartition(tasks).mapInArrow(_reader(root), RAW), project)
+    large = (F.col("bytes") > PART_BYTES) & ~F.col("path").rlike(COMPRESSED)
+    parts = listing.where(large).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts() - 1)))
+    read = lambda some: some.repartition(tasks).mapInArrow(_reader(root), RAW)
+    whole = read(listing.where(~large).select("*", F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("last"))).drop("part")
+    joined = _joined(read(parts.withColumn("last", F.col("part") == _parts() - 1)))
+    table = in_project(whole.unionByName(joined), project)
     return corpus_language(table, keep_unknown=True).select(
         "project", "path", "lang", F.col("raw").cast("string").alias("content"), is_binary(F.col("raw"), V.BINARY_PROBE_BYTES).alias("is_binary"), "raw", "mtime", "bytes"
     )
