@@ -39,6 +39,25 @@ def test_matches_equal_finditer(spark, pattern):
     assert found == want
 
 
+CONTEXT = [r"(\w+)(?=\n)", r"(?<=class )(\w)", r"\b(c)l(a|e)", r"^(\w)", r"(\w*)$", r"([^\n])\Z", r"(x)?(\w++)"]
+
+
+@pytest.mark.parametrize("pattern", CONTEXT)
+def test_groups_that_hang_on_the_text_around(spark, pattern):
+    assert not R.stands_alone(R.rx(pattern, multiline=True))
+    texts = _texts()[:30]
+    groups = tuple(range(1, re.compile(pattern).groups + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    got = df.select("id", F.explode(R.match_structs("content", R.rx(pattern, multiline=True), groups)).alias("m")).select("id", "m.start", *[f"m.g{g}" for g in groups])
+    want = sorted((i, m.start(), *[g or "" for g in m.groups()]) for i, t in enumerate(texts) for m in re.finditer(pattern, t, re.M) if m.group())
+    assert sorted(tuple(r) for r in got.collect() if any(r[2:])) == [w for w in want if any(w[2:])]
+
+
+def test_groups_are_read_from_the_matches():
+    for pattern in [*PATTERNS, V.EXPRESS_ROUTE, V.GO_HTTP_ROUTE, V.GIN_ROUTE, V.JAVA_CLASS]:
+        assert R.match_sql("content", R.rx(pattern), (1,)).count("regexp_extract_all(content") == 1
+
+
 def test_rx_translates_python_notation():
     assert R.rx(r"(?P<a>\w)(?P=a)\Z") == r"(?Ud)(?<a>[\p{L}\p{N}_])\k<a>\z"
     assert R.rx(r"\\w", multiline=True, ignore_case=True) == r"(?Udmiu)\\w"

@@ -1,5 +1,6 @@
 """Rows of a table dealt out over tasks whose work does not grow with the table."""
 
+from fixtures.registry import Tables
 from fleetlens.session import spread
 
 
@@ -26,3 +27,17 @@ def test_small_and_empty_tables_stay(spark, tmp_path):
     spark.range(0).write.parquet(f"{tmp_path}/e")
     assert tasks(spread(spark.read.parquet(f"{tmp_path}/t"))) == 1
     assert spread(spark.read.parquet(f"{tmp_path}/e")).count() == 0
+
+
+def test_rows_that_are_only_read_stay(spark, tmp_path):
+    spark.range(40_000).repartition(8).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert tasks(spread(table, rows=1_000, costly=False)) == tasks(table)
+
+
+def test_only_costly_views_have_their_tables_dealt_out(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "'t' AS text")
+    rows.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tables(spark, str(tmp_path))
+    before = tasks(t.code_docs)
+    assert tasks(t.code_corpus) >= before and tasks(t.evidence_index_lines) == before
