@@ -23,11 +23,17 @@ of copies is one class after that, and its buckets need no more comparison.
 What is left are buckets that still hold several classes, like those of a
 passage in many otherwise different texts.  Their nodes are compared exactly:
 the shingles of these nodes have one order, the rarest first, and two
-similar texts must share one of the first ``size - 0.8 size + 1``.  So pairs of
-different classes that share such a shingle are compared, all of them, and no
-others.  A passage that many texts hold is no rare shingle of any of them
-unless it is nearly the whole text.  No similar pair of a bucket is lost,
-whatever its sketches say.
+similar texts must share one of the first ``size - 0.8 size + 1``.  A passage
+that many texts hold is no rare shingle of any of them unless it is nearly the
+whole text.  Of the pairs of different classes that share such a shingle, those
+are compared that no bound rules out: behind the first shingle two texts share
+there must be enough left in both, and the parities of their shingles, counted
+by kind, must not differ in more kinds than the texts may in shingles.  Both
+bounds are exact.  A crowd of near copies would have a number of such pairs
+that grows with its square; so every rare shingle's texts are first compared
+with the one that has the least of its own, then the closest pair of every two
+classes, and the rest only where the classes still differ.  No similar pair of
+a bucket is lost, whatever its sketches say.
 
 Texts without a word are equal only to the same text.  Null is the empty
 text.  Rows of one id and text are one node too; null ids take part and are
@@ -36,12 +42,14 @@ never the name of a class unless it has no other.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.session import ship
@@ -55,6 +63,10 @@ ROWS = 5
 SIZE = BANDS * ROWS
 #: Components that the sketches of a similar pair share at least: 128 are expected, the deviation is 5.
 AGREE = 101
+#: Words of 64 parities that tell apart pairs of packed multisets.
+PARITIES = tuple(f"parity{k}" for k in range(8))
+#: Items that stand directly before one in its node's order; a pair that shares one of them has met there.
+EARLIER = 8
 
 TICKS = 1 << 36  # of the unit of time
 NEVER = np.iinfo(np.int64).max
@@ -288,9 +300,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
 
     at = _classed(members.select("bucket", "node", "size"), classes)
     left = common.stage(at.join(_live(at), "bucket").select("node", "size", "class").distinct().join(bag, "node"), "left")
-    rest = common.stage(rare_pairs(left, similarity), "pairs")
-    classes = _joined(classes, common.stage(verified(rest, bag, similarity), "edges"))
-    common.discard(nodes, members, near, bag, left, rest)
+    ranks = common.stage(ranked(left, similarity), "ranks")
+    central = common.stage(central_pairs(ranks, similarity), "pairs")
+    classes = _joined(classes, common.stage(verified(central, bag, similarity), "edges"))
+    rest = common.stage(_met(_classed(ranks.drop("class"), classes), similarity), "pairs")
+    closest = rest.groupBy("one", "two").agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+    classes = _joined(classes, common.stage(verified(closest, bag, similarity), "edges"))
+    others = _apart(rest.select("a", "b").join(closest, ["a", "b"], "left_anti"), classes)
+    classes = _joined(classes, common.stage(verified(others, bag, similarity), "edges"))
+    common.discard(nodes, members, near, bag, left, ranks, central, rest)
     return rows, classes
 
 
@@ -327,30 +345,90 @@ def _items(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "size", "class", "bag").mapInArrow(run, "node long, size long, class long, item long")
 
 
-def rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, size, class, bag) of different classes that share one of their rarest items.
+def _parities(nodes: DataFrame) -> DataFrame:
+    """(node, parity0, ...): for each of 512 kinds of items, whether a packed multiset has an odd number of them."""
+    kinds = 64 * len(PARITIES)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bags_ = [np.frombuffer(bag, np.uint64) for bag in batch.column("bag").to_pylist()]
+            odd = np.stack([np.bincount((bag % np.uint64(kinds)).astype(np.int64), minlength=kinds) & 1 for bag in bags_])
+            words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(w) for w in words.T)], ["node", *PARITIES])
+
+    return nodes.select("node", "bag").mapInArrow(run, "node long, " + ", ".join(f"{p} long" for p in PARITIES))
+
+
+def ranked(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(item, node, size, class, place, own, earlier, parities): the rarest items of nodes (node, size, class, bag).
 
     Items that one node has alone stand first in its order, so only the shared
-    ones are ranked.  In an item's group the nodes of its largest class meet
-    those of other classes only, and are never paired with each other.
+    ones are ranked; ``own`` is the share of the others.  ``earlier`` holds
+    the shared items right before this one.
     """
     items = _items(nodes)
     shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mine = Window.partitionBy("node")
-    place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "item"))
+    alone = F.col("size") - F.count(F.lit(1)).over(mine)
+    placed = items.join(shared, "item").withColumn("alone", alone).withColumn("place", F.col("alone") + F.row_number().over(mine.orderBy("n", "item")))
     most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    prefix = common.stage(items.join(shared, "item").withColumn("place", place).where(F.col("place") <= most).select("item", "node", "size", "class"), "prefix")
-    # items of the same nodes give the same pairs: one of them is enough
-    sets = prefix.groupBy("item").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    prefix = prefix.join(sets.groupBy("x", "y", "m").agg(F.min("item").alias("item")).select("item"), "item")
-    counts = prefix.groupBy("item", "class").agg(F.count(F.lit(1)).alias("m"))
+    before = F.collect_list("item").over(mine.orderBy("n", "item").rowsBetween(-EARLIER, -1))
+    prefix = placed.where(F.col("place") <= most).withColumn("earlier", before).withColumn("own", F.col("alone") / F.col("size"))
+    return prefix.join(_parities(nodes), "node").select("item", "node", "size", "class", "place", "own", "earlier", *PARITIES)
+
+
+def _side(ranks: DataFrame, end: str, *more: str) -> DataFrame:
+    return ranks.select("item", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "size", "class", "place", *more, *PARITIES)))
+
+
+def _differing() -> Column:
+    """Kinds of items of which one of two nodes has an odd and the other an even number."""
+    return functools.reduce(operator.add, (F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES))
+
+
+def _possible(similarity: float) -> Column:
+    """Whether two nodes may be similar whose first common item is this one.
+
+    By their sizes, by what is left from that item on, and because multisets
+    of differing parities differ in as many items at least.
+    """
+    both = F.col("size_a") + F.col("size_b")
+    sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
+    return sizes & (left * (1 + similarity) >= both * similarity - 1e-6) & (_differing() * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+
+
+def central_pairs(ranks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of an item's most central node, that with the least share of its own, and those of other classes."""
+    least = F.min(F.struct("own", "node", "size", "class", "place", *PARITIES)).alias("least")
+    hubs = ranks.groupBy("item").agg(least, F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("item", "least.*")
+    pairs = _side(ranks, "a").join(_side(hubs, "b"), "item").where(F.col("class_a") != F.col("class_b")).where(_possible(similarity))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _met(ranks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, one, two, apart): possible pairs of nodes of classes one and two, at their first common item.
+
+    In an item's group the nodes of its largest class meet those of other
+    classes only, and are never paired with each other.
+    """
+    counts = ranks.groupBy("item", "class").agg(F.count(F.lit(1)).alias("m"))
     largest = counts.groupBy("item").agg(F.max(F.struct("m", "class")).alias("most"), F.count(F.lit(1)).alias("classes"))
     largest = largest.where("classes > 1").select("item", F.col("most.class").alias("largest"))
-    held = prefix.join(largest, "item")
-    left = held.where("class <> largest").select("item", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"))
-    right = held.select("item", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"), "largest")
-    pairs = left.join(right, "item").where("class_a <> class_b AND (class_b = largest OR a < b)")
-    return _sized(pairs, similarity)
+    held = ranks.join(largest, "item")
+    left, right = _side(held.where("class <> largest"), "a", "earlier"), _side(held.withColumn("top", F.col("class") == F.col("largest")), "b", "earlier", "top")
+    pairs = left.join(right, "item").where("class_a <> class_b AND (top_b OR node_a < node_b)").where(_possible(similarity))
+    first = pairs.where(~F.arrays_overlap("earlier_a", "earlier_b"))
+    ends = (F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    between = (F.least("class_a", "class_b").alias("one"), F.greatest("class_a", "class_b").alias("two"))
+    return first.select(*ends, *between, (_differing() / (F.col("size_a") + F.col("size_b"))).alias("apart")).distinct()
+
+
+def rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, class, bag) of different classes that share one of their rarest items and may be similar."""
+    return _met(ranked(nodes, similarity), similarity).select("a", "b")
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

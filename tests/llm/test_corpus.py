@@ -221,6 +221,26 @@ def test_rare_pairs_find_every_similar_pair(spark):
     assert kept == similar
 
 
+def test_a_crowd_of_near_copies_needs_few_pairs(spark):
+    """Pairwise just below the similarity: bounds rule most pairs out; similar ones stay, and central ones are among them."""
+    draw = np.random.default_rng(8)
+    base, sets = draw.integers(0, 1 << 60, 150), []
+    for k in range(200):
+        own = draw.integers(2, 8) if k % 20 == 0 else draw.integers(12, 16)
+        held = base.copy()
+        held[draw.choice(150, own, replace=False)] = draw.integers(0, 1 << 60, own)
+        sets.append(np.unique(held))
+    rows = [(k, len(x), k, bytearray(x.astype(np.int64).tobytes())) for k, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, size long, class long, bag binary").repartition(5)
+    found = [(r.a, r.b) for r in bagminhash.rare_pairs(nodes, 0.8).collect()]
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for b in range(len(sets)) for a in range(b)}
+    similar = {(a, b) for (a, b), n in both.items() if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert similar and similar <= set(found)
+    assert len(found) == len(set(found)) < len(both) / 4
+    central = {(r.a, r.b) for r in bagminhash.central_pairs(bagminhash.ranked(nodes, 0.8), 0.8).collect()}
+    assert central <= set(found) and len(central) < 10 * len(sets) and central & similar
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     kept = bagminhash.keep_one(odd)
     assert kept.columns == odd.columns
