@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetlens import values as V
 from fleetlens.control_table import packaged_controls
-from fleetlens.functions.regexkit import let, once, rx
+from fleetlens.functions.regexkit import holds, let, once, rx
 from fleetlens.functions.text import constant_map, constant_rows
 from fleetlens.operators.checks import CHECK_COLUMNS, check_order, source_signals, union_all
 from fleetlens.operators.code_scan import fact_array, files_with, language_rank, with_syntax
@@ -283,8 +283,8 @@ def _grep_array(dets: list[dict], path_rules: dict | None = None) -> Column:
             pairs.append({"ctl": d["ctl"], "pat": i, "rule": rules.index(rule), "regex": list(patterns).index(p)})
 
     def meets(pattern: str, projects: set) -> Column:
-        found = F.col("content").rlike(rx(pattern, multiline=True))
-        return found if None in projects else F.col("project").isin(sorted(projects)) & found
+        seen = holds(F.col("content"), pattern, multiline=True)
+        return seen if None in projects else F.col("project").isin(sorted(projects)) & seen
 
     allowed = F.array(*[evidence_path_ok(F.col("path"), list(inc), list(exc), **(path_rules or {})) for inc, exc in rules])
     seen = F.array(*[meets(p, projects) for p, projects in patterns.items()])
@@ -357,7 +357,7 @@ def _guard_lines(guard_sets: list[list[str]], radius: int) -> Column:
         window = F.array_join(F.slice(all_lines, start, line + radius - start + 1), "\n")
         return let(
             window,
-            lambda w: F.array(*[_any([w.rlike(rx(p)) for p in guards]) for guards in guard_sets]),
+            lambda w: F.array(*[_any([holds(w, p) for p in guards]) for guards in guard_sets]),
         )
 
     route_lines = F.array_distinct(F.transform("facts", lambda r: r["line"]))
@@ -632,7 +632,7 @@ def text_stream(
     (project, path, lang, is_source, signals, facts, by_line, hits): the
     signals of the source checks, routes with the flags of their guards, and
     the patterns of grep controls that the file meets.  Syntax is looked at in
-    source files only.  Stage it once and pass it to ``run_checks`` and
+    source files only, and only where a decorator can be.  Stage it once and pass it to ``run_checks`` and
     ``run_compliance`` (with the same controls) as table ``texts``.
     """
     dets = number_detections(packaged_controls() if controls is None else controls)
@@ -640,7 +640,8 @@ def text_stream(
     guards = [d for d in dets if d["detection"]["method"] == "route_guard"]
     none = F.array().cast("array<struct<ctl:int,pat:int>>")
     files = once(corpus.select("project", "path", "lang", "content"), "is_source", is_source)
-    files = with_syntax(files, F.col("is_source"))
+    # of the syntax only routes are asked for, which are decorated functions
+    files = with_syntax(files, F.col("is_source") & F.col("content").contains("@"))
     scanned = F.struct(
         F.when(F.col("is_source"), fact_array("routes")).alias("facts"),
         F.when(F.col("is_source") & (F.col("lang") == "python"), source_signals(key_format)).alias("signals"),

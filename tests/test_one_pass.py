@@ -4,10 +4,12 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import catalog
 from fixtures.registry import Tables
-from fleetlens.operators import code_scan as code, drafts as D, line_scan
+from fleetlens.operators import code_scan as code, controls as C, drafts as D, line_scan
+from fleetlens.sources.corpus import is_source_file
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +39,19 @@ def test_texts_are_read_once(spark, folder, name, plain):
     assert "documents.parquet" not in out.getvalue() and "ArrowEvalPython" not in out.getvalue()
     expected = plain(of_scanners(Tables(spark, folder)))
     assert df.count() > 0 and sorted(map(str, df.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_only_files_with_a_decorator_are_parsed_for_checks_and_controls(spark, corpus, monkeypatch):
+    route = "@app.get('/a')\ndef a():\n    return None\n"
+    files = corpus({"src/a.py": route, "src/b.py": "def b():\n    return None\n", "src/c.py": "x = 'me@home'\n", "src/d.py": "@bad(\n", "src/e.ts": "app.get('/e', f) // @"})
+    sent = []
+    whole = code.with_syntax
+
+    def seen(frame, wanted):
+        sent.extend(frame.where(wanted).select("path").collect())
+        return whole(frame, wanted)
+
+    monkeypatch.setattr(C, "with_syntax", seen)
+    stream = C.text_stream(files, is_source_file()).select("path", F.transform("facts", lambda f: f["route"]).alias("routes"))
+    assert dict(stream.collect()) == {"src/a.py": ["/a"], "src/b.py": [], "src/c.py": [], "src/d.py": [], "src/e.ts": ["/e"]}
+    assert {r.path for r in sent} == {"src/a.py", "src/c.py", "src/d.py", "src/e.ts"}

@@ -58,6 +58,39 @@ def test_groups_are_read_from_the_matches():
         assert R.match_sql("content", R.rx(pattern), (1,)).count("regexp_extract_all(content") == 1
 
 
+HELD = [
+    "cla", "class X1", "(cla|get)", "(?:put|T)", "(class|get|module).*(struct|Map|=)", "class.*Foo", "cla.*X1.*(y|Q)", "absent", "absent.*Foo", "Foo.*absent",
+    "class.*", "a|class.*Foo", "(cla(?=s)|x).*Foo", "clas[st].*Foo", "(get|put)?", "^class.*Foo$", "(get||x)y", "(export|put)\\s", "é",
+]
+
+
+@pytest.mark.parametrize("pattern", HELD)
+def test_words_are_searched_before_the_pattern(spark, pattern):
+    texts = _texts()
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, content string")
+    got = dict(df.select("id", R.holds(F.col("content"), pattern, multiline=True)).collect())
+    assert got == {-1: None} | {i: bool(re.search(pattern, t, re.M)) for i, t in enumerate(texts)}
+
+
+def test_a_text_without_the_words_never_meets_the_pattern():
+    assert "rlike" in str(R.holds(F.col("c"), "clas[st].*Foo"))
+    for words in ("audit", "do not sell", "(cvv|track2)"):
+        assert "rlike" not in str(R.holds(F.col("c"), words))
+    both = str(R.holds(F.col("c"), "(store|log).*(cvv|cvc)"))
+    assert both.index("cvc") < both.index("rlike") and both.lower().count("contains") == 4
+
+
+@pytest.mark.parametrize("pattern", [V.RAILS_ROUTE, V.EXPRESS_ROUTE, V.GO_HTTP_ROUTE, "(keep|Set|stop)x", "(get|put)?b", "(get||put)x", "(?:app|b)c|d"])
+def test_a_look_at_the_next_character_changes_no_match(spark, pattern):
+    plain = R.rx(pattern, ignore_case=True)
+    texts = [*_texts(), "\u212aeepx \u017fetx \u017ftopx", "app.get('x') APP.Post(\n'y' router.put('z'", "bc d ac appc b", "mux.Get(\"/a\" r.get(\"/b\" xapp.HANDLE(\""]
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    hits = [F.expr(f"regexp_extract_all(content, {R.sql_text(p)}, 0)").alias(n) for n, p in (("a", plain), ("b", R.hasten(plain)))]
+    rows = df.select(*hits).collect()
+    assert any(r.a for r in rows) and all(r.a == r.b for r in rows)
+    assert ("(?=[" in R.hasten(plain)) == (pattern not in ("(get|put)?b", "(get||put)x"))
+
+
 def test_rx_translates_python_notation():
     assert R.rx(r"(?P<a>\w)(?P=a)\Z") == r"(?Ud)(?<a>[\p{L}\p{N}_])\k<a>\z"
     assert R.rx(r"\\w", multiline=True, ignore_case=True) == r"(?Udmiu)\\w"
