@@ -13,6 +13,9 @@ from fleetlens.session import stage
 STATUSES = ("INFO", "PASS", "WARN", "FAIL")
 COUNTED = [f"score_{s.lower()}" for s in STATUSES]
 
+#: The rows of one branch of checks may all come from one task: they are sorted by several.
+CHECKS_PER_FILE = 50_000
+
 
 def check_log(checks: DataFrame) -> DataFrame:
     """Check rows in reading order, written once, with their place ``seq``.
@@ -21,7 +24,7 @@ def check_log(checks: DataFrame) -> DataFrame:
     in order of (project, ord), so the first and last row of a group are plain
     minima and maxima of numbers; a project of any size is cut by its order.
     """
-    made = stage(checks, "checks")
+    made = stage(checks, "checks", rows=CHECKS_PER_FILE)
     ordered = made.orderBy("project", "ord", "status", "target", "message")
     return stage(ordered.withColumn("seq", F.monotonically_increasing_id()), "check-log")
 

@@ -1,7 +1,10 @@
 """Rows of a table dealt out over tasks whose work does not grow with the table."""
 
+from pyspark.sql import functions as F
+
 from fixtures.registry import Tables
-from fleetlens.session import spread
+from fleetlens.operators import report as R
+from fleetlens.session import spread, stage
 
 
 def tasks(df):
@@ -41,3 +44,21 @@ def test_only_costly_views_have_their_tables_dealt_out(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     before = tasks(t.code_docs)
     assert tasks(t.code_corpus) >= before and tasks(t.evidence_index_lines) == before
+
+
+def test_checks_of_one_task_are_sorted_by_several(spark, monkeypatch):
+    staged = []
+
+    def kept(df, name, **options):
+        staged.append(stage(df, name, **options))
+        return staged[-1]
+
+    monkeypatch.setattr(R, "stage", kept)
+    order = F.struct(F.lit("pact").alias("tool"), F.col("id").alias("pos"))
+    rows = spark.range(0, 120_000, 1, 1).select(
+        F.lit("p").alias("project"), F.lit("pact").alias("tool"), F.lit("c").alias("check_id"), F.lit("t").alias("target"),
+        F.lit("WARN").alias("severity"), F.lit("WARN").alias("status"), F.col("id").cast("string").alias("message"), order.alias("ord"),
+    )
+    log = R.check_log(rows)
+    assert [len(df.inputFiles()) for df in staged[:1]] == [3] and log.count() == 120_000
+    assert [r.ord.pos for r in log.orderBy("seq").select("ord").collect()] == list(range(120_000))
