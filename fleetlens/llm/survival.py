@@ -22,7 +22,9 @@ those named are not read, whatever their names.
 Rows that reach a shuffle are narrow (id, text digest, part, bits).  Hot texts
 meet only in a partial minimum; the first of each text is found by the key
 (digest, id), which no group of copies makes hot; the join with labels is
-salted, so that a repeated id is split.
+salted, so that a repeated id is split.  Both joins are told to merge: either
+side grows with the input, and the size of files, by which Spark would send a
+table through the driver, says little of the rows that come of it.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def failures(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
     first = own.groupBy("digest").agg(F.min("key").alias("key")).withColumn("first", F.lit(True))
     late = F.col("key").isNotNull() & F.col("first").isNull()
     bits = F.col("bits") + F.when(late, F.lit(1 << LETTERS.index("E"))).otherwise(F.lit(0))
-    return rows.join(first, ["digest", "key"], "left").select("key", "part", "digest", bits.alias("bits"), "n")
+    return rows.join(first.hint("merge"), ["digest", "key"], "left").select("key", "part", "digest", bits.alias("bits"), "n")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -85,7 +87,7 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFra
     marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]
-    return salted.join(marks, ["key", "salt"], "left").select(*rows.columns, *flags)
+    return salted.join(marks.hint("merge"), ["key", "salt"], "left").select(*rows.columns, *flags)
 
 
 def popcounts(words: np.ndarray, times: np.ndarray) -> np.ndarray:

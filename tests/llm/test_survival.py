@@ -99,6 +99,20 @@ def test_empty_tables(spark):
     assert found(survival.report(some, labels)) == brute([(1, "x", "s")], [])
 
 
+def test_no_table_goes_through_the_driver(spark, tmp_path):
+    """Both joins merge, however small the files by which Spark would broadcast a side."""
+    rows = [(k, f"w{k % 7} $", "st"[k % 2]) for k in range(40)]
+    labels = [(k, k % 4 // 2, int(k % 3 == 0)) for k in range(0, 40, 2)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    df = queries.op12_filter_audit(spark, str(tmp_path))
+    plans = [df._jdf.queryExecution().executedPlan().toString()]
+    assert found(df) == brute(rows, labels)
+    plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_popcounts():
     draw = random.Random(5)
     for n in (0, 1, 2, 3, 4, 5, 64, 1000):
