@@ -136,14 +136,14 @@ def corpus_read(spark: SparkSession, root: str, project: str | None = None) -> D
     ``root`` is the project and ``path`` is relative to that folder.
     """
     listing = list_tree(spark, root)
-    total = listing.agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     large = (F.col("bytes") > PART_BYTES) & ~F.col("path").rlike(COMPRESSED)
+    total, some_large = listing.agg(F.sum("bytes"), F.max(large)).first()
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((total or 0) / TASK_BYTES))
     parts = listing.where(large).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts() - 1)))
     read = lambda some: some.repartition(tasks).mapInArrow(_reader(root), RAW)
     whole = read(listing.where(~large).select("*", F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("last"))).drop("part")
     joined = _joined(read(parts.withColumn("last", F.col("part") == _parts() - 1)))
-    table = in_project(whole.unionByName(joined), project)
+    table = in_project(whole.unionByName(joined) if some_large else whole, project)
     return corpus_language(table, keep_unknown=True).select(
         "project", "path", "lang", F.col("raw").cast("string").alias("content"), is_binary(F.col("raw"), V.BINARY_PROBE_BYTES).alias("is_binary"), "raw", "mtime", "bytes"
     )

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 
@@ -113,6 +114,21 @@ def test_no_table_goes_through_the_driver(spark, tmp_path):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_sql_on_documents_and_labels(spark, tmp_path):
+    draw = random.Random(12)
+    texts = [" ".join(draw.choices(["w", "x", "Y", "$", "zz"], k=draw.choice([3, 60]))) for _ in range(20)]
+    rows = [(k // 2, draw.choice([*texts, None]), draw.choice(["s", "t", None])) for k in range(120)]
+    labels = [(k % 70, draw.choice([0, 1, None]), draw.choice([0, 1])) for k in range(90)]
+    with duckdb.connect() as db:
+        for name, values, schema in (("documents", rows, DOCS), ("labels", labels, LABELS)):
+            spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        expected = db.execute(queries.oracle_sql()["op12_filter_audit"]).fetchall()
+        columns = [d[0] for d in db.description]
+    ours = [tuple(r[c] for c in columns) for r in queries.op12_filter_audit(spark, str(tmp_path)).collect()]
+    assert sorted(ours) == sorted(expected) and len(ours) == 3 * 120 * 5
+
+
 def test_popcounts():
     draw = random.Random(5)
     for n in (0, 1, 2, 3, 4, 5, 64, 1000):
